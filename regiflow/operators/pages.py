@@ -191,17 +191,18 @@ def page_title(html: Column) -> Column:
 
 
 def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
-                 min_cells: int = 5) -> DataFrame:
+                 min_cells: int = 5, keep: Sequence[str] = ()) -> DataFrame:
     """P6+P11: one row per table row of a parsed listing page, cells zipped to
     the listing's column names (longer rows cut), with the content key.
 
     Rows with fewer than ``min_cells`` cells (header rows) have no key parts;
     they are not listing rows and are skipped (``skipped_rows`` counts them)."""
-    rows = parsed.select(krs, page, F.posexplode("rows").alias("_pos", "_cells"))
+    keep = list(keep)
+    rows = parsed.select(*keep, krs, page, F.posexplode("rows").alias("_pos", "_cells"))
     rows = rows.filter(F.size("_cells") >= min_cells)
     cell = lambda i: F.try_element_at(F.col("_cells"), F.lit(i + 1))
     named = rows.select(
-        krs, page, (F.col("_pos") + 1).alias("position"),
+        *keep, krs, page, (F.col("_pos") + 1).alias("position"),
         *[cell(i).alias(name) for i, name in enumerate(K.LISTING_COLUMNS)],
     )
     return named.withColumn("document_hash_id", keys.document_key(
@@ -209,7 +210,8 @@ def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
         F.col("document_from"), F.col("document_to")))
 
 
-def skipped_rows(parsed: DataFrame, min_cells: int = 5) -> Column:
+def skipped_rows(min_cells: int = 5) -> Column:
+    """Rows of a parsed page that are not listing rows (too few cells)."""
     return F.size(F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) < min_cells))
 
 

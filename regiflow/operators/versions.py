@@ -30,13 +30,30 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def _top(df: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
+    """Greatest order tuple per key, as ``_key_<k>`` and ``_max_<c>`` columns
+    (fresh names, so joining it back to ``df`` is never ambiguous)."""
+    top = F.max(F.struct(*[F.col(c).alias(c) for c in order])).alias("_top")
+    return df.groupBy(*keys).agg(top).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        *[F.col(f"_top.{c}").alias(f"_max_{c}") for c in order])
+
+
 def latest_per_key(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
     """One row per key with the greatest ``order`` tuple, as columns
     ``_max_<name>``."""
     keys = _as_list(key)
-    top = F.max(F.struct(*[F.col(c).alias(c) for c in order])).alias("_top")
-    out = df.groupBy(*keys).agg(top)
-    return out.select(*keys, *[F.col(f"_top.{c}").alias(f"_max_{c}") for c in order])
+    t = _top(df, keys, order)
+    return t.select(*[F.col(f"_key_{k}").alias(k) for k in keys],
+                    *[F.col(f"_max_{c}") for c in order])
+
+
+def _join_top(df: DataFrame, keys: list[str], order: Sequence[str], how: str, exact: bool):
+    t = _top(df, keys, order)
+    cond = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    if exact:
+        cond += [F.col(c) == F.col(f"_max_{c}") for c in order]
+    return df.join(t, cond, how)
 
 
 def mark_current(df: DataFrame, key, order: Sequence[str], flag: str = "is_current") -> DataFrame:
@@ -44,27 +61,18 @@ def mark_current(df: DataFrame, key, order: Sequence[str], flag: str = "is_curre
     greatest ``order`` tuple of its key (order columns should end with a
     unique id so that ties cannot give two current rows)."""
     keys = _as_list(key)
-    top = latest_per_key(df, keys, order).alias("_t")
-    d = df.alias("_d")
-    cond = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in keys]
     is_top = None
     for c in order:
-        eq = F.col(f"_d.{c}").eqNullSafe(F.col(f"_t._max_{c}"))
+        eq = F.col(c).eqNullSafe(F.col(f"_max_{c}"))
         is_top = eq if is_top is None else (is_top & eq)
-    return d.join(top, cond, "inner").select(
-        *[F.col(f"_d.{c}") for c in df.columns if c != flag], is_top.alias(flag)
-    )
+    joined = _join_top(df, keys, order, "inner", exact=False)
+    return joined.select(*[F.col(c) for c in df.columns if c != flag], is_top.alias(flag))
 
 
 def current_rows(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
-    """The current row of every key (an inner join on the key and the
+    """The current row of every key (a semi-join on the key and the
     order tuple, so no window and no per-key sort)."""
-    keys = _as_list(key)
-    top = latest_per_key(df, keys, order).alias("_t")
-    d = df.alias("_d")
-    cond = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in keys]
-    cond += [F.col(f"_d.{c}") == F.col(f"_t._max_{c}") for c in order]
-    return d.join(top, cond, "left_semi")
+    return _join_top(df, _as_list(key), order, "left_semi", exact=True)
 
 
 def current_row_of(df: DataFrame, key: str, value, order: Sequence[str]) -> DataFrame:

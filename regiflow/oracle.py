@@ -315,6 +315,11 @@ SQL: dict[str, str] = {
         LEFT JOIN ({_JOB_STATUS}) j ON j.queue = q.queue
         GROUP BY q.queue
     """,
+    "stream_current_versions": f"""
+        SELECT {_KRS_USER} AS krs_number, ts AS record_created_at, event_id AS id
+        FROM events WHERE event_type NOT IN ('view', 'error')
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    """,
     "log_level_report": """
         SELECT CAST(user_id AS VARCHAR) AS logger_session_id, upper(event_type) AS level,
                count(*) AS n_rows, min(date_trunc('second', ts)) AS first_at,

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from regiflow.functions import keys, text, validate, variant
 from regiflow.operators import archives, documents, jobs, pages, versions
 from regiflow.plans import requests
-from regiflow.sources.tables import read_table
+from regiflow.session import fresh_checkpoint_path
+from regiflow.sources.tables import read_table, stream_table
+from regiflow.streaming import changes
 
 # --- fixed values: stand-in parameters used by the registered queries -----
 SWEEP_DAYS = 3                       # days each sweep looks back
@@ -400,6 +402,36 @@ def q_log_level_report(spark, sf_dir):
     return jobs.log_report(jobs.log_rows(records))
 
 
+# --- streams ----------------------------------------------------------------
+
+def change_events(events: DataFrame) -> DataFrame:
+    """Change events (S3 stand-in) of the raw versions: views are flag
+    updates ('u'), errors are tombstones, the rest are creates ('c')."""
+    after = F.struct(
+        F.col("event_id").alias("id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("record_created_at"),
+        F.lit(True).alias("is_current"),
+        _company(F.col("user_id")).alias("krs_number"),
+        F.col("props").alias("raw_data"),
+    )
+    op = F.when(F.col("event_type") == "view", F.lit("u")).otherwise(F.lit("c"))
+    envelope = F.to_json(F.struct(F.lit(None).cast("string").alias("before"), after.alias("after"),
+                                  op.alias("op"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")))
+    value = F.when(F.col("event_type") != "error", envelope)
+    return events.select(_company(F.col("user_id")).alias("key"), value.alias("value"))
+
+
+def q_stream_current_versions(spark, sf_dir):
+    """ST1+ST2+ST5+S5: the events table read as a file stream of change
+    events, processed with availableNow into history and pointer folders under
+    the shared checkpoint root; answer = current pointer per company."""
+    stream = stream_table(spark, sf_dir, "events")
+    root = fresh_checkpoint_path(spark, "stream_current_versions")
+    changes.stream_versions_to_history(change_events(stream), f"{root}/history", f"{root}/pointers",
+                                       name="stream_current_versions", checkpoint=f"{root}/ckpt")
+    return changes.current_from_pointers(spark, f"{root}/pointers")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "current_flag": q_current_flag,
     "current_company": q_current_company,
@@ -428,4 +460,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "job_status": q_job_status,
     "queue_state_counts": q_queue_state_counts,
     "log_level_report": q_log_level_report,
+    "stream_current_versions": q_stream_current_versions,
 }

@@ -23,6 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream (S3 stand-in for a topic).  A file
+    stream source lists a folder or a glob, so the one file is named by a
+    glob that matches only it; new files matching it arrive as new batches."""
+    schema = read_table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"[{name[0]}]{name[1:]}.parquet"))
+
+
 def documents_of_company(documents: DataFrame, krs: str, key: str = "krs_number",
                          columns=("hash_id",)) -> DataFrame:
     """Stored documents of one company, only the needed columns (the
