@@ -56,20 +56,26 @@ def insert_if_absent(incoming: DataFrame, existing: DataFrame, key: str = "hash_
 
 
 def pending_work(listing: DataFrame, stored: DataFrame, key: str = "hash_id",
-                 company: str = "krs_number", page: str = "page",
-                 position: str = "position", page_size: int = K.LISTING_PAGE_SIZE) -> DataFrame:
+                 page: str = "page", position: str = "position",
+                 page_size: int = K.LISTING_PAGE_SIZE) -> DataFrame:
     """What is left to fetch, in the listing's own order.
 
     A listing row's place is fixed by its page and its position on the page,
-    so the work order is ``(page - 1) * page_size + position`` - no window
-    over the company (which would put a hot company in one task).  ``is_next``
-    marks each company's first pending row (the cursor's next)."""
-    todo = new_rows(listing, stored, key).withColumn(
+    so the work order is ``(page - 1) * page_size + position`` - a column, not
+    a window over the company (which would put a hot company in one task).
+    Consumers walk each company's rows by ``work_order``."""
+    return new_rows(listing, stored, key).withColumn(
         "work_order", (F.col(page) - 1) * F.lit(page_size) + F.col(position))
-    first = todo.groupBy(company).agg(F.min("work_order").alias("_next"))
-    return (todo.join(first, company, "inner")
-                .withColumn("is_next", F.col("work_order") == F.col("_next"))
-                .drop("_next"))
+
+
+def next_pending(pending: DataFrame, company: str = "krs_number") -> DataFrame:
+    """The cursor's next row of each company: least ``work_order`` (a partial
+    aggregate, so a company with a third of the rows is one row per map task
+    before the shuffle)."""
+    cols = [c for c in pending.columns if c not in (company, "work_order")]
+    first = F.min(F.struct("work_order", *cols)).alias("_next")
+    return (pending.groupBy(company).agg(first)
+                   .select(company, *[F.col(f"_next.{c}").alias(c) for c in ("work_order", *cols)]))
 
 
 def per_company_count(df: DataFrame, company: str = "krs_number",

@@ -252,7 +252,23 @@ SQL: dict[str, str] = {
             SELECT krs_number, page, position, hash_id, (page - 1) * 10 + position AS work_order
             FROM listing l
             WHERE NOT EXISTS (SELECT 1 FROM listing s WHERE s.l_returnflag = 'R' AND s.hash_id = l.hash_id))
-        SELECT *, work_order = min(work_order) OVER (PARTITION BY krs_number) AS is_next FROM todo
+        SELECT * FROM todo
+    """,
+    "next_pending_documents": """
+        SELECT krs_number, work_order, hash_id, page, position FROM (
+        WITH listing AS (
+            SELECT lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS krs_number, l_orderkey + 1 AS page,
+                   l_linenumber AS position,
+                   sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)) AS hash_id,
+                   l_returnflag
+            FROM lineitem),
+        todo AS (
+            SELECT krs_number, page, position, hash_id, (page - 1) * 10 + position AS work_order
+            FROM listing l
+            WHERE NOT EXISTS (SELECT 1 FROM listing s WHERE s.l_returnflag = 'R' AND s.hash_id = l.hash_id))
+        SELECT * FROM todo
+        )
+        QUALIFY row_number() OVER (PARTITION BY krs_number ORDER BY work_order) = 1
     """,
     "document_file_names": """
         SELECT p_partkey, file_name, CASE WHEN file_name IS NOT NULL

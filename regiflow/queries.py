@@ -276,6 +276,11 @@ def q_pending_documents(spark, sf_dir):
     return documents.pending_work(listing, stored, "hash_id")
 
 
+def q_next_pending_documents(spark, sf_dir):
+    """W3 cursor: each supplier listing's next row to fetch."""
+    return documents.next_pending(q_pending_documents(spark, sf_dir))
+
+
 # --- files and archives -------------------------------------------------------
 
 def file_headers(spark, sf_dir):
@@ -451,6 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_documents": q_missing_documents,
     "insert_new_documents": q_insert_new_documents,
     "pending_documents": q_pending_documents,
+    "next_pending_documents": q_next_pending_documents,
     "document_file_names": q_document_file_names,
     "archive_manifest": q_archive_manifest,
     "archive_totals": q_archive_totals,

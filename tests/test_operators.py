@@ -94,8 +94,10 @@ def test_pending_work_order(spark):
         ("K", 1, 1, "a"), ("K", 1, 2, "b"), ("K", 2, 1, "c"), ("L", 1, 3, "d")],
         "krs_number string, page int, position int, hash_id string")
     stored = spark.createDataFrame([("a",)], "hash_id string")
-    out = {r.hash_id: (r.work_order, r.is_next) for r in documents.pending_work(listing, stored).collect()}
-    assert out == {"b": (2, True), "c": (11, False), "d": (3, True)}
+    pending = documents.pending_work(listing, stored)
+    assert {r.hash_id: r.work_order for r in pending.collect()} == {"b": 2, "c": 11, "d": 3}
+    nxt = {r.krs_number: (r.hash_id, r.work_order) for r in documents.next_pending(pending).collect()}
+    assert nxt == {"K": ("b", 2), "L": ("d", 3)}
 
 
 def test_listing_record_and_collisions(spark):
