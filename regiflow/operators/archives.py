@@ -73,4 +73,8 @@ def build_archives(docs: DataFrame, krs: str = "krs_number",
         archive_entry_name(F.col(krs), F.col(save_name)).alias("entry_name"),
         F.col(content).alias("document_content"),
     )
-    return parted.groupBy("krs_number", "part").applyInPandas(_zip_group, ARCHIVE_SCHEMA)
+    # Shuffle on (company, part) explicitly: grouping right after a join on
+    # the company alone could reuse that partitioning and keep a hot company
+    # in one task, which is what the parts are for.
+    spread = parted.repartition("krs_number", "part")
+    return spread.groupBy("krs_number", "part").applyInPandas(_zip_group, ARCHIVE_SCHEMA)

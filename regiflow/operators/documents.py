@@ -97,23 +97,23 @@ def available_listing(stored: DataFrame) -> DataFrame:
     )
 
 
-def nested_listing(stored: DataFrame, max_per_company: int | None = None) -> DataFrame:
+def nested_listing(stored: DataFrame, max_per_company: int) -> DataFrame:
     """A4: the listing of each company nested in one row.
 
-    One row holds all of a company's entries, so this is only for companies
-    whose listing is known to be small (the flat ``available_listing`` is the
-    scalable form); ``max_per_company`` makes the caller state that bound and
-    the rows beyond it fail the job rather than being dropped."""
+    One row holds all of a company's entries, so the caller states the bound
+    of a listing.  Entries are counted first (a partial aggregate) and only
+    companies within the bound are collected; a company over it gets no list
+    and ``too_large`` - its entries stay available from the flat
+    ``available_listing``, nothing is dropped or cut."""
     flat = available_listing(stored)
+    counts = flat.groupBy("krs_number").agg(F.count(F.lit(1)).alias("entries"))
+    small = counts.filter(F.col("entries") <= max_per_company)
     entries = F.struct("document_name", "document_date_from", "document_date_to",
                        "document_hash_id")
-    out = flat.groupBy("krs_number").agg(
-        F.sort_array(F.collect_list(entries)).alias("document_list"),
-        F.count(F.lit(1)).alias("_n"))
-    if max_per_company is not None:
-        out = out.withColumn("_n", F.when(F.col("_n") <= max_per_company, F.col("_n"))
-                             .otherwise(F.raise_error(F.lit("listing larger than its bound"))))
-    return out.drop("_n")
+    lists = (flat.join(small.select("krs_number"), "krs_number", "left_semi")
+                 .groupBy("krs_number").agg(F.sort_array(F.collect_list(entries)).alias("document_list")))
+    return (counts.join(lists, "krs_number", "left")
+                  .withColumn("too_large", F.col("entries") > max_per_company))
 
 
 def document_record(rows: DataFrame, created_at=None) -> DataFrame:

@@ -23,8 +23,10 @@ SCALE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches for the few Python steps (page parser, NFKD, archives).
+    # Arrow batches for the few Python steps (page parser, NFKD, archives):
+    # bounded in rows and in bytes, since one landed page can be large.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

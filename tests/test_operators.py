@@ -113,7 +113,9 @@ def test_listing_record_and_collisions(spark):
     lst = documents.available_listing(rec).first()
     assert lst.document_name == lst.document_type == "ab"
     nested = documents.nested_listing(rec, max_per_company=10).first()
-    assert nested.krs_number == "K" and len(nested.document_list) == 2
+    assert nested.krs_number == "K" and len(nested.document_list) == 2 and not nested.too_large
+    over = documents.nested_listing(rec, max_per_company=1).first()
+    assert over.document_list is None and over.too_large and over.entries == 2
 
 
 def test_job_status_and_counters(spark):
