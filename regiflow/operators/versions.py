@@ -13,6 +13,11 @@ task does a third of the job.  The current flag is computed instead as
 2. an equi-join of the rows with that per-key maximum.  AQE broadcasts the
    per-key side when its *measured* size is under the broadcast threshold and
    otherwise runs a shuffled join whose skewed partitions it splits.
+
+``max(struct(time, id))`` is planned as a sort-based partial aggregate (a
+struct buffer is not fixed-width).  Measured on 20M rows / 1M keys (local[8]):
+7.6 s, against 6.0 s for ``max(time)`` alone and 11.0 s for packing both into
+one ``decimal(38,0)`` for a hash aggregate - so the struct stays.
 """
 
 from __future__ import annotations

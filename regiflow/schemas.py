@@ -2,9 +2,11 @@
 
 from pyspark.sql import types as T
 
+# Times of versions are UTC wall-clock times (timestamp_ntz), whatever the
+# session time zone.
 RAW_EXTRACT = T.StructType([
     T.StructField("id", T.LongType(), False),
-    T.StructField("record_created_at", T.TimestampType(), True),
+    T.StructField("record_created_at", T.TimestampNTZType(), True),
     T.StructField("is_current", T.BooleanType(), True),
     T.StructField("krs_number", T.StringType(), False),
     T.StructField("raw_data", T.StringType(), False),

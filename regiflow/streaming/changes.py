@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import AnalysisException
@@ -31,6 +31,13 @@ from regiflow.session import fresh_checkpoint_path
 VERSION_ORDER = ["record_created_at", "id"]
 
 
+def utc_wall_clock(text: Column) -> Column:
+    """An ISO instant (``...Z`` or with an offset) as its UTC wall-clock time,
+    ``timestamp_ntz``, whatever the session time zone."""
+    local = F.to_timestamp(text).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+
+
 def parse_changes(events: DataFrame) -> DataFrame:
     """ST1: change events -> version rows.
 
@@ -44,7 +51,7 @@ def parse_changes(events: DataFrame) -> DataFrame:
     a = "_e.after."
     return kept.select(
         F.col(a + "id").alias("id"),
-        F.to_timestamp(F.col(a + "record_created_at")).alias("record_created_at"),
+        utc_wall_clock(F.col(a + "record_created_at")).alias("record_created_at"),
         F.col(a + "krs_number").alias("krs_number"),
         F.col(a + "raw_data").alias("raw_data"),
         F.col("_e.ts_ms").alias("ts_ms"),

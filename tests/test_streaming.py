@@ -125,3 +125,18 @@ def test_flatten_company_in_foreach_batch(spark, tmp_root):
     out = spark.read.parquet(f"{tmp_root}/out")
     assert out.count() == 2 and set(out.columns) >= {"full_name", "county", "extract_kind"}
     assert {r.extract_kind for r in out.collect()} == {"Pełny"}
+
+
+def test_change_times_are_utc_whatever_the_session_zone(spark):
+    import datetime as dt
+
+    raw = spark.createDataFrame([event(1, "0000057814", "2025-03-30T01:30:00Z"),
+                                 event(2, "0000057814", "2025-03-30T03:30:00+02:00")], schemas.CHANGE_EVENTS)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Warsaw", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r.record_created_at for r in changes.parse_changes(raw).orderBy("id").collect()]
+            assert got == [dt.datetime(2025, 3, 30, 1, 30), dt.datetime(2025, 3, 30, 1, 30)], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
