@@ -209,6 +209,16 @@ def q_document_hash_id(spark, sf_dir):
                     reason.alias("reason"))
 
 
+def q_document_content_keys(spark, sf_dir):
+    """P9-P11 over whole non-ASCII texts: the content key of every document
+    (company = source, type = language, name = the whole text).  French,
+    German and Spanish texts take the NFKD path; DuckDB has no NFKD, so this
+    key is checked against Python's ``unicodedata``/``hashlib`` in pytest."""
+    d = _t(spark, sf_dir, "documents")
+    key = keys.document_key(F.col("source"), F.col("lang"), F.col("text"), F.lit(""), F.lit(""))
+    return d.select("doc_id", keys.is_ascii(F.col("text")).alias("ascii"), key.alias("document_hash_id"))
+
+
 def q_docs_of_company(spark, sf_dir):
     """The served listing of every company."""
     return documents.available_listing(stored_documents(spark, sf_dir))
@@ -449,6 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bulletin_requests": q_bulletin_requests,
     "page_requests": q_page_requests,
     "document_hash_id": q_document_hash_id,
+    "document_content_keys": q_document_content_keys,
     "docs_of_company": q_docs_of_company,
     "documents_per_company": q_documents_per_company,
     "new_documents": q_new_documents,
