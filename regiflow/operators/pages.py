@@ -159,6 +159,13 @@ def parse_pages(pages: DataFrame, body: str = "body", keep: Sequence[str] = ("re
     return pages.select(*keep, body).mapInPandas(run, schema)
 
 
+MIN_CELLS = 5   # a listing row has at least the five key parts
+
+
+def _data_rows(min_cells: int) -> Column:
+    return F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) >= min_cells)
+
+
 def diagnose(checks: Sequence[tuple[str, Column]], default: str = "ok") -> Column:
     """F8: the first check that holds, in the given (precedence) order."""
     expr = None
@@ -168,10 +175,13 @@ def diagnose(checks: Sequence[tuple[str, Column]], default: str = "ok") -> Colum
     return expr.otherwise(F.lit(default))
 
 
-def register_page_checks(parsed_title: Column | None = None) -> list[tuple[str, Column]]:
+def register_page_checks(parsed_title: Column | None = None,
+                         listing: bool = True) -> list[tuple[str, Column]]:
     """F8/F9 for register pages, in precedence order.  Each marker is looked
     for only in its own scope: the page title (equality), the first message
-    update, the view-root update.  A missing scope never flags."""
+    update, the view-root update.  A missing scope never flags.  With
+    ``listing`` (answers to listing requests) a missing listing block or an
+    empty table is flagged after the markers."""
     checks = []
     if parsed_title is not None:
         checks.append(("maintenance", parsed_title == F.lit(K.MAINTENANCE_TITLE)))
@@ -181,6 +191,13 @@ def register_page_checks(parsed_title: Column | None = None) -> list[tuple[str,
         ("cannot_display", F.col("viewroot_text").contains(K.CANNOT_DISPLAY_TEXT)),
         ("throttled", F.col("message_text").contains(K.THROTTLED_TEXT)),
     ]
+    if listing:
+        # a listing answer without its listing block, or without any table
+        # row, is an error upstream (not an empty listing)
+        checks += [
+            ("no_listing", ~F.col("has_listing")),
+            ("no_table", F.size(_data_rows(MIN_CELLS)) == 0),
+        ]
     return checks
 
 
@@ -191,15 +208,17 @@ def page_title(html: Column) -> Column:
 
 
 def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
-                 min_cells: int = 5, keep: Sequence[str] = ()) -> DataFrame:
+                 min_cells: int = MIN_CELLS, keep: Sequence[str] = ()) -> DataFrame:
     """P6+P11: one row per table row of a parsed listing page, cells zipped to
     the listing's column names (longer rows cut), with the content key.
 
     Rows with fewer than ``min_cells`` cells (header rows) have no key parts;
-    they are not listing rows and are skipped (``skipped_rows`` counts them)."""
+    they are not listing rows and are skipped (``skipped_rows`` counts them).
+    ``position`` counts listing rows only, from 1, so ``(page - 1) * 10 +
+    position`` is the row's index in the whole listing."""
     keep = list(keep)
-    rows = parsed.select(*keep, krs, page, F.posexplode("rows").alias("_pos", "_cells"))
-    rows = rows.filter(F.size("_cells") >= min_cells)
+    data = _data_rows(min_cells)
+    rows = parsed.select(*keep, krs, page, F.posexplode(data).alias("_pos", "_cells"))
     cell = lambda i: F.try_element_at(F.col("_cells"), F.lit(i + 1))
     named = rows.select(
         *keep, krs, page, (F.col("_pos") + 1).alias("position"),
@@ -210,7 +229,7 @@ def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
         F.col("document_from"), F.col("document_to")))
 
 
-def skipped_rows(min_cells: int = 5) -> Column:
+def skipped_rows(min_cells: int = MIN_CELLS) -> Column:
     """Rows of a parsed page that are not listing rows (too few cells)."""
     return F.size(F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) < min_cells))
 

@@ -35,14 +35,21 @@ def extract_requests(companies: DataFrame, kind: str = "pelny", key: str = "krs_
 
 
 def extract_refresh(companies: DataFrame, landed: DataFrame, key: str = "krs_number") -> tuple[DataFrame, DataFrame]:
-    """(new versions, outcome per company).
+    """(new versions, outcome per company).  A company key that fails F1
+    gets outcome ``invalid_<reason>`` (upstream raises) and no request.
 
     The version of a found company is the body of the latest 200 answer of
     the registry that stopped the walk; its id is derived from the request id
     (deterministic, so a rerun yields the same rows) and its time is the
     fetch time."""
     resp = extract_responses(landed)
-    outcome = versions.first_found(companies, resp, key=key)
+    checked = validate.with_reason(companies.select(key).distinct(),
+                                   validate.company_key_reason(F.col(key)))
+    walked = versions.first_found(checked.filter("valid"), resp, key=key)
+    invalid = checked.filter(~F.col("valid")).select(
+        key, F.lit(None).cast("string").alias("registry"), F.lit(None).cast("int").alias("status_code"),
+        F.concat(F.lit("invalid_"), F.col("reason")).alias("outcome"))
+    outcome = walked.unionByName(invalid)
     found = outcome.filter(F.col("outcome") == "ok").select(key, "registry")
     answers = versions.current_rows(resp, [key, "registry"], ["ts", "response_id"])
     new_versions = answers.join(found, [key, "registry"], "left_semi").select(

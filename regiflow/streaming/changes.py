@@ -34,7 +34,7 @@ VERSION_ORDER = ["record_created_at", "id"]
 def utc_wall_clock(text: Column) -> Column:
     """An ISO instant (``...Z`` or with an offset) as its UTC wall-clock time,
     ``timestamp_ntz``, whatever the session time zone."""
-    local = F.to_timestamp(text).cast("timestamp_ntz")
+    local = F.try_to_timestamp(text).cast("timestamp_ntz")
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 

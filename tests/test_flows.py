@@ -32,10 +32,11 @@ def test_extract_refresh(spark):
         ("r4", URL.format(krs="0000000002", reg="P"), 200, "", "{}", T0),
         ("r5", URL.format(krs="0000000002", reg="P"), 200, "", body, T0 + dt.timedelta(hours=1)),
     ], L.LANDED)
-    comp = spark.createDataFrame([("0000057814",), ("0000000001",), ("0000000002",)], "krs_number string")
+    comp = spark.createDataFrame([("0000057814",), ("0000000001",), ("0000000002",), ("12ab",)],
+                                 "krs_number string")
     new, outcome = flows.extract_refresh(comp, landed)
     assert {r.krs_number: r.outcome for r in outcome.collect()} == \
-        {"0000057814": "ok", "0000000001": "error", "0000000002": "ok"}
+        {"0000057814": "ok", "0000000001": "error", "0000000002": "ok", "12ab": "invalid_wrong_length"}
     got = {r.krs_number: (r.raw_data, r.record_created_at) for r in new.collect()}
     assert got == {"0000057814": (body, T0), "0000000002": (body, T0 + dt.timedelta(hours=1))}
 
@@ -50,7 +51,7 @@ def test_listing_refresh_and_records(spark):
     assert {r.request_id: (r.diagnosis, r.num_pages) for r in diag.collect()} == \
         {"q1": ("ok", 2), "q2": ("throttled", None)}
     rows = pending.orderBy("work_order").collect()
-    assert [r.position for r in rows] == [2, 3] and [r.work_order for r in rows] == [2, 3]
+    assert [r.position for r in rows] == [1, 2] and [r.work_order for r in rows] == [1, 2]
     stored = pending.limit(1).select("hash_id")          # first row stored already
     _, pending2 = flows.listing_refresh(pages, stored)
     assert pending2.count() == 1

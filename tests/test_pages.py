@@ -53,7 +53,7 @@ def test_listing_rows_and_keys(spark):
     first = rows[0]
     assert first.document_type == "Roczne sprawozdanie finansowe"
     assert first.internal_element_id == "searchForm:docTable:0:j_idt1"
-    assert first.position == 2                  # header row is position 1
+    assert first.position == 1                  # the header row does not count
     assert first.document_hash_id == py_key("0000057814", "Roczne sprawozdanie finansowe", "Bilans",
                                             "01.01.2023", "31.12.2023")
     second = rows[1]
@@ -90,8 +90,12 @@ def test_diagnosis_precedence_and_scopes(spark):
     parsed = parsed_df(spark, bodies)
     out = parsed.select("request_id", pages.diagnose(pages.register_page_checks()).alias("d"))
     got = [r.d for r in out.orderBy(F.col("request_id").cast("int")).collect()]
-    assert got == ["no_documents", "cannot_display", "throttled", "cannot_display", "ok", "ok",
-                   "malformed", "ok"]
+    assert got == ["no_documents", "cannot_display", "throttled", "cannot_display", "no_listing",
+                   "no_listing", "malformed", "ok"]
+    plain = parsed.select(pages.diagnose(pages.register_page_checks(listing=False)).alias("d"))
+    assert [r.d for r in plain.collect()].count("ok") == 3
+    empty = parsed_df(spark, [listing(rows="")])
+    assert empty.select(pages.diagnose(pages.register_page_checks()).alias("d")).first().d == "no_table"
 
 
 def test_maintenance_title(spark):
