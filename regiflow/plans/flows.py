@@ -8,6 +8,8 @@ whole composition at once.
 * ``listing_refresh`` / ``files_to_records`` - refresh document listings:
   diagnose landed pages, read their rows, keep what is not stored, turn
   landed files into records (E2).
+* ``download`` - requested documents from the store as archives, and the
+  requested ids that are missing (E2, read side).
 * ``daily_sweep`` - bulletins of the last days to the dispatch plan (E3).
 """
 
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from regiflow import constants as K
 from regiflow.functions import text, validate
-from regiflow.operators import documents, pages, versions
+from regiflow.operators import archives, documents, pages, versions
 from regiflow.plans import requests
+from regiflow.sources import tables
 from regiflow.sources.landed import extract_responses
 
 
@@ -103,6 +106,23 @@ def files_to_records(pending: DataFrame, landed_files: DataFrame,
     return records, contents, bad.select("hash_id", "krs_number", "reason")
 
 
+def download(spark, store_root: str, request: DataFrame,
+             part_bytes: int = archives.DEFAULT_PART_BYTES) -> tuple[DataFrame, DataFrame]:
+    """E2 read side: (archives of the requested documents, requested ids not
+    stored).  Upstream refuses the whole request when any id is missing; the
+    caller does the same by checking the second frame before using the
+    first.  Only the request's prefix folders of the store are read."""
+    prefixes = tables.prefixes_of(request)
+    records = tables.read_store(spark, store_root, "records")
+    contents = tables.read_store(spark, store_root, "contents")
+    missing_ids = documents.missing(request.select("hash_id"),
+                                    tables.stored_keys_near(records, request, prefixes=prefixes))
+    found = tables.by_keys(records, request, prefixes=prefixes).select(
+        "hash_id", "krs_number", "document_content_save_name")
+    data = tables.by_keys(contents, request, prefixes=prefixes).select("hash_id", "document_content")
+    return archives.build_archives(found.join(data, "hash_id"), part_bytes=part_bytes), missing_ids
+
+
 def daily_sweep(bulletins: DataFrame) -> DataFrame:
     """Landed bulletins -> distinct changed companies -> two update
     requests each."""

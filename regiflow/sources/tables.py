@@ -71,3 +71,56 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
                                upperBound=upper, numPartitions=num_partitions,
                                properties=properties or {})
     return spark.read.jdbc(url, table, properties=properties or {})
+
+
+# --- document store ----------------------------------------------------------
+# Records and contents are stored apart (listings never read bytes), both
+# partitioned by the first two hex digits of the content key (256 folders) and
+# sorted by key inside each folder.  A request for a few keys then reads only
+# the folders of their prefixes (a partition filter built from the request's
+# prefixes - at most 256 values, so collecting them is bounded), and Parquet
+# min/max statistics on the sorted key skip most row groups inside.
+
+PREFIX = "hash_prefix"
+
+
+def hash_prefix(key: str = "hash_id"):
+    return F.substring(F.col(key), 1, 2)
+
+
+def write_documents(records: DataFrame, contents: DataFrame, root: str, mode: str = "append") -> None:
+    """Append document records and their contents to the store at ``root``."""
+    for name, df in (("records", records), ("contents", contents)):
+        (df.withColumn(PREFIX, hash_prefix())
+           .repartition(PREFIX).sortWithinPartitions(PREFIX, "hash_id")
+           .write.mode(mode).partitionBy(PREFIX).parquet(os.path.join(root, name)))
+
+
+def read_store(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(root, name))
+
+
+def prefixes_of(df: DataFrame, key: str = "hash_id") -> list[str]:
+    """Distinct key prefixes of a request or batch: at most 256 values (two
+    hex digits), the one collect in this package, bounded by construction."""
+    return [r[0] for r in df.select(hash_prefix(key).alias(PREFIX)).distinct().collect()]
+
+
+def by_keys(stored: DataFrame, request: DataFrame, key: str = "hash_id",
+            prefixes: list[str] | None = None) -> DataFrame:
+    """Stored rows whose key is in a request list (J2 on the store): only the
+    folders of the request's prefixes are read, then a semi-join on
+    (prefix, key)."""
+    prefixes = prefixes_of(request, key) if prefixes is None else prefixes
+    pruned = stored.filter(F.col(PREFIX).isin(prefixes))
+    req = request.select(key).withColumn(PREFIX, hash_prefix(key))
+    return pruned.join(req, [PREFIX, key], "left_semi")
+
+
+def stored_keys_near(stored: DataFrame, incoming: DataFrame, key: str = "hash_id",
+                     prefixes: list[str] | None = None) -> DataFrame:
+    """The stored keys that share a prefix with an incoming batch - the only
+    ones an insert-if-absent or missing-key anti-join can hit - read from
+    those folders only."""
+    prefixes = prefixes_of(incoming, key) if prefixes is None else prefixes
+    return stored.filter(F.col(PREFIX).isin(prefixes)).select(key)

@@ -102,3 +102,58 @@ def test_documents_of_company_pushes_filter(spark, capsys):
     assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
     assert df.count() == o.filter("krs_number = 7").count()
+
+
+def test_document_store_prunes_by_prefix(spark, tmp_root, capsys):
+    import hashlib
+
+    from regiflow.operators import documents
+
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(400)]
+    recs = spark.createDataFrame([(k, "0000057814", f"d{i}") for i, k in enumerate(keys)],
+                                 "hash_id string, krs_number string, document_name string")
+    cont = spark.createDataFrame([(k, bytearray(k.encode())) for k in keys], "hash_id string, document_content binary")
+    tables.write_documents(recs, cont, tmp_root)
+    contents = tables.read_store(spark, tmp_root, "contents")
+    assert contents.select(tables.PREFIX).distinct().count() > 200
+    request = spark.createDataFrame([(keys[3],), (keys[7],), ("f" * 64,)], "hash_id string")
+    got = tables.by_keys(contents, request)
+    got.explain()
+    plan = capsys.readouterr().out
+    wanted = sorted({keys[3][:2], keys[7][:2], "ff"})
+    part_filter = plan.split("PartitionFilters:")[1].split("\n")[0]
+    assert f"IN ({','.join(wanted)})" in part_filter          # only the request's folders
+    assert sorted(r.hash_id for r in got.collect()) == sorted([keys[3], keys[7]])
+    missing = documents.missing(request, contents)
+    assert [r.hash_id for r in missing.collect()] == ["f" * 64]
+    incoming = spark.createDataFrame([(keys[5], 1), ("0" * 64, 2)], "hash_id string, doc_id long")
+    near = tables.stored_keys_near(tables.read_store(spark, tmp_root, "records"), incoming)
+    fresh = documents.insert_if_absent(incoming, near, "hash_id", ["doc_id"])
+    assert [r.hash_id for r in fresh.collect()] == ["0" * 64]
+
+
+def test_download_from_store(spark, tmp_root):
+    import io
+    import zipfile
+
+    pages = spark.createDataFrame([("q1", "0000057814", 1, listing(rows=R1 + R2))],
+                                  "request_id string, krs_number string, page int, body string")
+    _, pending = flows.listing_refresh(pages, spark.createDataFrame([], "hash_id string"))
+    rows = pending.orderBy("work_order").collect()
+    files = spark.createDataFrame([(rows[0].hash_id, 'attachment; filename="bilans.xml"', bytearray(b"<b/>")),
+                                   (rows[1].hash_id, 'attachment; filename="opinia.pdf"', bytearray(b"%PDF"))],
+                                  "hash_id string, content_disposition string, content binary")
+    recs, contents, bad = flows.files_to_records(pending, files, created_at=T0)
+    assert bad.count() == 0
+    tables.write_documents(recs, contents, tmp_root)
+    request = spark.createDataFrame([(rows[0].hash_id,), (rows[1].hash_id,)], "hash_id string")
+    built, missing = flows.download(spark, tmp_root, request)
+    assert missing.count() == 0
+    names = {}
+    for r in built.collect():
+        with zipfile.ZipFile(io.BytesIO(r.archive)) as zf:
+            names.update({n: zf.read(n) for n in zf.namelist()})
+    assert names == {"0000057814_bilans.xml": b"<b/>", "0000057814_opinia.pdf": b"%PDF"}
+    refused = spark.createDataFrame([(rows[0].hash_id,), ("e" * 64,)], "hash_id string")
+    _, missing = flows.download(spark, tmp_root, refused)
+    assert [r.hash_id for r in missing.collect()] == ["e" * 64]
