@@ -157,3 +157,29 @@ def test_download_from_store(spark, tmp_root):
     refused = spark.createDataFrame([(rows[0].hash_id,), ("e" * 64,)], "hash_id string")
     _, missing = flows.download(spark, tmp_root, refused)
     assert [r.hash_id for r in missing.collect()] == ["e" * 64]
+
+
+def test_service_answers(spark):
+    from regiflow.plans import answers
+
+    recs = spark.createDataFrame([("h1", "0000057814", "Bilans", "Roczne", "2023-01-01", "2023-12-31"),
+                                  ("h2", "0000000001", "X", "Y", "a", "b")],
+                                 "hash_id string, krs_number string, document_name string, document_type string, "
+                                 "document_date_from string, document_date_to string")
+    got = answers.available_documents(recs, "0000057814").collect()
+    assert [(r.document_name, r.document_hash_id) for r in got] == [("Roczne", "h1")]
+    assert answers.available_documents(recs, "9999999999").count() == 0
+    ev = spark.createDataFrame([("j1", "KRSAPI", "queued", T0, 1, None, None),
+                                ("j1", "KRSAPI", "finished", T0 + dt.timedelta(seconds=3), 2, "ok", None)],
+                               "job_id string, queue string, state string, ts timestamp, seq long, result string, "
+                               "exc_info string")
+    assert answers.job_status_of(ev, "j1").first().job_status == "finished"
+    assert answers.job_status_of(ev, "nope").count() == 0
+    assert {r.queue for r in answers.queue_information(ev).collect()} == {"KRSAPI", "KRSDF"}
+    doc = json.dumps({"odpis": {"rodzaj": "Pełny", "dane": {"dzial1": {"danePodmiotu": {"nazwa": "NEW"}}}}})
+    old = json.dumps({"odpis": {"rodzaj": "Pełny", "dane": {"dzial1": {"danePodmiotu": {"nazwa": "OLD"}}}}})
+    hist = spark.createDataFrame([(1, T0, True, "0000057814", old), (2, T0 + dt.timedelta(1), True, "0000057814", doc)],
+                                 schemas.RAW_EXTRACT)
+    info = answers.company_information(hist, "0000057814").collect()
+    assert [r.full_name for r in info] == ["NEW"]
+    assert answers.company_information(hist, "0000000000").count() == 0
