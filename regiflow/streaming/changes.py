@@ -27,6 +27,7 @@ from regiflow import schemas
 from regiflow.functions import variant
 from regiflow.operators import versions
 from regiflow.session import fresh_checkpoint_path
+from regiflow.sources import tables
 
 VERSION_ORDER = ["record_created_at", "id"]
 
@@ -177,18 +178,27 @@ def dedup_stream(rows: DataFrame, key: str = "hash_id") -> DataFrame:
 def insert_new_batch(stored_root: str, key: str = "hash_id") -> Callable[[DataFrame, int], None]:
     """ST3 sink: per batch, append only keys not stored by an earlier batch
     (or by another writer); a replayed batch overwrites its own folder, so it
-    adds nothing twice."""
+    adds nothing twice.
+
+    Each batch folder is partitioned by key prefix, and the anti-join reads
+    only the stored folders of the batch's prefixes (at most 256 values), so
+    a micro-batch does not scan the whole store."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
+        df = df.withColumn(tables.PREFIX, tables.hash_prefix(key)).persist()
         try:
-            stored = spark.read.parquet(stored_root)
-        except AnalysisException:  # nothing stored yet
-            fresh = df
-        else:
-            if "batch_id" in stored.columns:  # a replay must not see its own rows
-                stored = stored.filter(F.col("batch_id") != batch_id)
-            fresh = df.join(stored.select(key), key, "left_anti")
-        write_batch_folder(fresh, stored_root, batch_id)
+            try:
+                stored = spark.read.parquet(stored_root)
+            except AnalysisException:  # nothing stored yet
+                fresh = df
+            else:
+                if "batch_id" in stored.columns:  # a replay must not see its own rows
+                    stored = stored.filter(F.col("batch_id") != batch_id)
+                near = tables.stored_keys_near(stored, df, key)
+                fresh = df.join(near, key, "left_anti")
+            write_batch_folder(fresh, stored_root, batch_id, [tables.PREFIX])
+        finally:
+            df.unpersist()
 
     return run
