@@ -191,6 +191,15 @@ SQL: dict[str, str] = {
                     || '?godzinaOd=' || hour_from || '&godzinaDo=' || hour_to END AS url
         FROM (SELECT *, {_DAY_REASON} AS reason FROM ({_DAY_PARSED}))
     """,
+    "extract_requests": f"""
+        SELECT c.krs_number, r.priority, r.registry,
+               'https://api-krs.ms.gov.pl/api/krs/OdpisPelny/' || c.krs_number || '?rejestr=' || r.registry
+               || '&format=json' AS url
+        FROM (SELECT {_zfill('CAST(c_custkey AS VARCHAR)')} AS krs_number FROM customer
+              UNION ALL SELECT c_name FROM customer) c
+        CROSS JOIN (VALUES (0, 'P'), (1, 'S')) r(priority, registry)
+        WHERE length(c.krs_number) = 10 AND regexp_full_match(c.krs_number, '[0-9]+')
+    """,
     "changed_companies": _CHANGED,
     "dispatch_plan": f"""
         SELECT c.krs_number, r.kind, replace(r.path, '{{krs}}', c.krs_number) AS path

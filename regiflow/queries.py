@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from regiflow.functions import keys, text, validate, variant
 from regiflow.operators import archives, documents, jobs, pages, versions
-from regiflow.plans import requests
+from regiflow.plans import flows, requests
 from regiflow.session import fresh_checkpoint_path
 from regiflow.sources.tables import read_table, stream_table
 from regiflow.streaming import changes
@@ -143,6 +143,16 @@ def q_validate_day_hour(spark, sf_dir):
 
 # --- plans ------------------------------------------------------------------
 
+def q_extract_requests(spark, sf_dir):
+    """E1 request plan (F1 + P3): customers' padded keys and raw names as
+    candidate companies; valid ones x both registries with the full-extract
+    address, invalid ones left out."""
+    cust = _t(spark, sf_dir, "customer")
+    cand = (cust.select(_company(F.col("c_custkey")).alias("krs_number"))
+            .unionByName(cust.select(F.col("c_name").alias("krs_number"))))
+    return flows.extract_requests(cand)
+
+
 def bulletins(spark, sf_dir):
     """Landed bulletins (stand-in): each event lists its user and its ``k``;
     error events carry a malformed body."""
@@ -454,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_company_key": q_validate_company_key,
     "validate_registry": q_validate_registry,
     "validate_day_hour": q_validate_day_hour,
+    "extract_requests": q_extract_requests,
     "changed_companies": q_changed_companies,
     "dispatch_plan": q_dispatch_plan,
     "bulletin_requests": q_bulletin_requests,

@@ -3,8 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from regiflow import schemas
 from regiflow.operators import versions
 from regiflow.streaming import changes
