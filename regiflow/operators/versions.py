@@ -95,28 +95,29 @@ def first_found(companies: DataFrame, responses: DataFrame, key: str = "krs_numb
     any other answer stops the walk.
 
     ``responses`` may hold retries: the latest one per (company, option) by
-    ``order`` counts.  A response that has not landed yet has a null status
-    and stops the walk as ``pending``.  Output: key, ``registry`` (the option
-    that stopped the walk, null when every option was 404), ``status_code``,
-    ``outcome`` in {ok, error, pending, not_found}.
-    """
-    latest = current_rows(responses, [key, option], order).select(key, option, status)
-    ranked = F.array(*[
-        F.struct(F.lit(i).alias("_priority"), F.lit(o).alias(option))
-        for i, o in enumerate(options)
-    ])
-    # companies x options as an explode of a literal array: no join needed
-    candidates = (companies.select(key).distinct()
-                  .select(key, F.inline(ranked)))
-    walked = candidates.join(latest, [key, option], "left")
-    stop = F.coalesce(F.col(status), F.lit(0)) != K.NOT_FOUND_STATUS
-    first = F.min_by(F.struct(F.col(option), F.col(status)), F.when(stop, F.col("_priority")))
-    per_company = walked.groupBy(key).agg(first.alias("_first"))
-    return per_company.select(
-        key,
-        F.col(f"_first.{option}").alias(option),
-        F.col(f"_first.{status}").alias(status),
-        F.when(F.col("_first").isNull(), F.lit("not_found"))
-        .otherwise(response_outcome(F.col(f"_first.{status}"))).alias("outcome"),
-    )
-
+    ``order`` counts.  An option whose answer has not landed yet has a null
+    status and stops the walk as ``pending``.  Output: key, ``registry`` (the
+    option that stopped the walk, null when every option was 404),
+    ``status_code``, ``outcome`` in {ok, error, pending, not_found}.
+
+    One aggregate per company: for each option the status of its latest
+    answer, ``max_by(status, when(option = o, order))`` (rows of other
+    options have a null ordering and are ignored).  The responses are read
+    once and aggregated on the map side; the walk is a CASE chain over the
+    options; the only join is the (left) one with the company list."""
+    ordering = F.struct(*[F.col(c) for c in order])
+    latest = [F.max_by(F.col(status), F.when(F.col(option) == F.lit(o), ordering)).alias(f"_status{i}")
+              for i, o in enumerate(options)]
+    per_company = responses.groupBy(key).agg(*latest)
+    walked = companies.select(key).distinct().join(per_company, key, "left")
+    chosen_option, chosen_status = None, None
+    for i, o in enumerate(options):
+        st = F.col(f"_status{i}")
+        stop = F.coalesce(st, F.lit(0)) != K.NOT_FOUND_STATUS
+        chosen_option = (F.when(stop, F.lit(o)) if chosen_option is None
+                         else chosen_option.when(stop, F.lit(o)))
+        chosen_status = (F.when(stop, st) if chosen_status is None
+                         else chosen_status.when(stop, st))
+    out = walked.select(key, chosen_option.alias(option), chosen_status.cast("int").alias(status))
+    return out.withColumn("outcome", F.when(F.col(option).isNull(), F.lit("not_found"))
+                          .otherwise(response_outcome(F.col(status))))
