@@ -107,10 +107,17 @@ def _read_html(fragment: str | None) -> _TableReader | None:
     return reader
 
 
-def parse_partial_response(body: str | None) -> dict:
-    """Structure of one landed page (see ``PARSED_FIELDS``)."""
+UPDATES_FIELD = T.StructField("updates", T.MapType(T.StringType(), T.StringType()))
+
+
+def parse_partial_response(body: str | None, keep_updates: bool = False) -> dict:
+    """Structure of one landed page (see ``PARSED_FIELDS``); with
+    ``keep_updates`` also every update block's text by id (first of each
+    id), for P8 lookups."""
     out = {"malformed": False, "has_listing": False, "message_text": None,
            "viewroot_text": None, "pager_text": None, "rows": None}
+    if keep_updates:
+        out["updates"] = None
     if body is None:
         out["malformed"] = True
         return out
@@ -130,6 +137,8 @@ def parse_partial_response(body: str | None) -> dict:
         out["message_text"] = "".join(_read_html(message).text)
     if K.VIEWROOT_UPDATE_ID in by_id:
         out["viewroot_text"] = "".join(_read_html(by_id[K.VIEWROOT_UPDATE_ID]).text)
+    if keep_updates:
+        out["updates"] = by_id
     listing = next((by_id[i] for i in K.LISTING_UPDATE_IDS if i in by_id), None)
     if listing is not None:
         out["has_listing"] = True
@@ -140,19 +149,24 @@ def parse_partial_response(body: str | None) -> dict:
     return out
 
 
-def parse_pages(pages: DataFrame, body: str = "body", keep: Sequence[str] = ("request_id",)) -> DataFrame:
-    """Parse every landed page; output ``keep`` columns + ``PARSED_FIELDS``.
+def parse_pages(pages: DataFrame, body: str = "body", keep: Sequence[str] = ("request_id",),
+                keep_updates: bool = False) -> DataFrame:
+    """Parse every landed page; output ``keep`` columns + ``PARSED_FIELDS``
+    (+ ``updates``, id -> text of every update block, with
+    ``keep_updates``: P8 is then ``F.col("updates")[id]``).
 
     Runs per Arrow batch inside the executors; the body is not carried past
     this step."""
     keep = list(keep)
-    schema = T.StructType([pages.schema[c] for c in keep] + PARSED_FIELDS.fields)
+    fields = PARSED_FIELDS.fields + ([UPDATES_FIELD] if keep_updates else [])
+    schema = T.StructType([pages.schema[c] for c in keep] + fields)
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parsed = [parse_partial_response(b) for b in pdf[body].tolist()]
+            parsed = [parse_partial_response(b, keep_updates) for b in pdf[body].tolist()]
             out = pdf[keep].reset_index(drop=True)
-            for f in PARSED_FIELDS.fieldNames():
+            for f in names:
                 out[f] = [p[f] for p in parsed]
             yield out
 

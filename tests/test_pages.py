@@ -111,3 +111,11 @@ def test_parser_is_total():
     for body in [None, "", "<x>", "<partial-response/>", listing(rows="<tr></tr>")]:
         out = pages.parse_partial_response(body)
         assert set(out) == set(pages.PARSED_FIELDS.fieldNames())
+
+
+def test_update_block_by_id(spark):
+    df = spark.createDataFrame([("1", listing(rows=R1))], "request_id string, body string")
+    parsed = pages.parse_pages(df, "body", ["request_id"], keep_updates=True)
+    row = parsed.select(F.col("updates")["j_id1:javax.faces.ViewState:0"].alias("vs"),
+                        F.col("updates")["nope"].alias("none")).first()
+    assert row.vs == "123:456" and row.none is None
