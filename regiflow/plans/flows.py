@@ -123,7 +123,7 @@ def download(spark, store_root: str, request: DataFrame,
     return archives.build_archives(found.join(data, "hash_id"), part_bytes=part_bytes), missing_ids
 
 
-def daily_sweep(bulletins: DataFrame) -> DataFrame:
-    """Landed bulletins -> distinct changed companies -> two update
-    requests each."""
-    return requests.dispatch_plan(requests.changed_companies(bulletins))
+def daily_sweep(bulletins: DataFrame, as_of=None, n_days: int | None = None) -> DataFrame:
+    """Landed bulletins (of the ``n_days`` days ending at ``as_of``, when
+    given) -> distinct changed companies -> two update requests each."""
+    return requests.dispatch_plan(requests.changed_companies(bulletins, as_of=as_of, n_days=n_days))

@@ -88,11 +88,22 @@ def bulletin_numbers(body: Column) -> Column:
     return F.from_json(body, "array<string>")
 
 
-def changed_companies(bulletins: DataFrame, body: str = "body") -> DataFrame:
-    """P5+P1+U1+A3: distinct companies named by any bulletin, zero-padded.
+def in_window(day: Column, as_of, n_days: int) -> Column:
+    """P2 as a filter: ``day`` is one of the ``n_days`` days ending at
+    ``as_of`` (a plain range predicate, so it reaches the scan)."""
+    end = F.lit(as_of).cast("date")
+    return (day >= F.date_sub(end, n_days - 1)) & (day <= end)
+
+
+def changed_companies(bulletins: DataFrame, body: str = "body", day: str = "day",
+                      as_of=None, n_days: int | None = None) -> DataFrame:
+    """P5+P1+U1+A3: distinct companies named by the bulletins, zero-padded;
+    with ``as_of``/``n_days`` only the bulletins of those days (P2).
 
     ``distinct`` aggregates partially on the map side, so a number repeated
     in a third of all bulletins is one row per map task before the shuffle."""
+    if as_of is not None and n_days is not None:
+        bulletins = bulletins.filter(in_window(F.col(day), as_of, n_days))
     numbers = bulletins.select(F.explode(bulletin_numbers(F.col(body))).alias("_n"))
     return (numbers.filter(F.col("_n").isNotNull())
                    .select(keys.zfill(F.col("_n")).alias("krs_number"))

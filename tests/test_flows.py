@@ -183,3 +183,17 @@ def test_service_answers(spark):
     info = answers.company_information(hist, "0000057814").collect()
     assert [r.full_name for r in info] == ["NEW"]
     assert answers.company_information(hist, "0000000000").count() == 0
+
+
+def test_daily_sweep_window(spark, tmp_root, capsys):
+    b = spark.createDataFrame([(dt.date(2025, 1, 3), '["1"]'), (dt.date(2025, 1, 4), '["2"]'),
+                               (dt.date(2025, 1, 5), '["3"]'), (dt.date(2025, 1, 6), '["4"]')],
+                              schemas.BULLETINS)
+    b.write.parquet(f"{tmp_root}/b")
+    landed_b = spark.read.parquet(f"{tmp_root}/b")
+    plan = flows.daily_sweep(landed_b, as_of="2025-01-05", n_days=2)
+    assert {r.krs_number for r in plan.collect()} == {"0000000002", "0000000003"}
+    plan.explain()
+    assert "GreaterThanOrEqual(day,2025-01-04)" in capsys.readouterr().out
+    one = flows.daily_sweep(landed_b, as_of=dt.date(2025, 1, 6), n_days=1)
+    assert {r.krs_number for r in one.collect()} == {"0000000004"}
