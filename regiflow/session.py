@@ -68,6 +68,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def stream_checkpoint_path(spark: SparkSession, name: str) -> str:
+    """The stable checkpoint folder of the stream ``name``: the same on
+    every start, so a restarted stream resumes where it stopped."""
+    return os.path.join(checkpoint_root(spark), "streams", name)
+
+
 def fresh_checkpoint_path(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the shared checkpoint root for one run of ``name``."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")

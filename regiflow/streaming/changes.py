@@ -26,7 +26,7 @@ from regiflow import constants as K
 from regiflow import schemas
 from regiflow.functions import variant
 from regiflow.operators import versions
-from regiflow.session import fresh_checkpoint_path
+from regiflow.session import stream_checkpoint_path
 from regiflow.sources import tables
 
 VERSION_ORDER = ["record_created_at", "id"]
@@ -128,9 +128,11 @@ def run_available_now(stream_df: DataFrame, on_batch: Callable[[DataFrame, int],
                       name: str, checkpoint: str | None = None,
                       output_mode: str = "append") -> StreamingQuery:
     """ST5: process everything available now, then stop (the user's scheduler
-    starts it every N hours; missed runs merge into one)."""
+    starts it every N hours; missed runs merge into one).  Without an explicit
+    ``checkpoint`` the stream's stable folder under ``spark.checkpoint.dir``
+    is used, so the next start resumes from the last committed batch."""
     spark = stream_df.sparkSession
-    ckpt = checkpoint or fresh_checkpoint_path(spark, name)
+    ckpt = checkpoint or stream_checkpoint_path(spark, name)
     q = (stream_df.writeStream.queryName(name).outputMode(output_mode)
          .option("checkpointLocation", ckpt)
          .trigger(availableNow=True)

@@ -138,3 +138,11 @@ def test_change_times_are_utc_whatever_the_session_zone(spark):
             assert got == [dt.datetime(2025, 3, 30, 1, 30), dt.datetime(2025, 3, 30, 1, 30)], zone
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_default_checkpoint_is_stable(spark):
+    from regiflow.session import checkpoint_root, stream_checkpoint_path
+
+    a = stream_checkpoint_path(spark, "raw_extract_changes")
+    assert a == stream_checkpoint_path(spark, "raw_extract_changes")
+    assert a.startswith(checkpoint_root(spark))
