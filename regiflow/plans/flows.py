@@ -22,6 +22,7 @@ from regiflow import constants as K
 from regiflow.functions import text, validate
 from regiflow.operators import archives, documents, pages, versions
 from regiflow.plans import requests
+from regiflow.session import checkpoint_root
 from regiflow.sources import tables
 from regiflow.sources.landed import extract_responses
 
@@ -65,13 +66,20 @@ def extract_refresh(companies: DataFrame, landed: DataFrame, key: str = "krs_num
 
 
 def listing_refresh(landed_pages: DataFrame, stored: DataFrame,
-                    title: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                    title: Column | None = None, share_parse: bool = True) -> tuple[DataFrame, DataFrame]:
     """(diagnosis per landed page, pending listing rows).
 
     ``landed_pages`` carries ``request_id, krs_number, page, body``; only
     pages diagnosed 'ok' contribute rows; rows already stored (by content
-    key) are dropped before anything is fetched."""
+    key) are dropped before anything is fetched.
+
+    Both answers come from one parse of the pages: with ``share_parse`` the
+    parsed pages (cells, no bodies) are checkpointed once in the shared
+    ``spark.checkpoint.dir``, so the Python parser does not run twice."""
     parsed = pages.parse_pages(landed_pages, "body", ["request_id", "krs_number", "page"])
+    if share_parse:
+        checkpoint_root(parsed.sparkSession)
+        parsed = parsed.checkpoint()
     diagnosed = parsed.withColumn("diagnosis", pages.diagnose(pages.register_page_checks(title)))
     diagnosis = diagnosed.select("request_id", "krs_number", "page", "diagnosis",
                                  text.pages_count(F.col("pager_text")).alias("num_pages"),
