@@ -23,6 +23,7 @@ from regiflow.functions.text import archive_entry_name
 ARCHIVE_SCHEMA = ("krs_number string, part int, n_parts int, n_entries bigint, "
                   "n_bytes bigint, archive binary")
 DEFAULT_PART_BYTES = 64 << 20
+ZIP_TIME = (1980, 1, 1, 0, 0, 0)
 
 
 def manifest(docs: DataFrame, krs: str = "krs_number", save_name: str = "document_content_save_name",
@@ -51,7 +52,10 @@ def _zip_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("entry_name", kind="stable")
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for name, content in zip(pdf["entry_name"], pdf["document_content"]):
-            zf.writestr(name, b"" if content is None else bytes(content))
+            # fixed entry time: a retried task writes the same bytes
+            info = zipfile.ZipInfo(name, date_time=ZIP_TIME)
+            info.compress_type = zipfile.ZIP_DEFLATED
+            zf.writestr(info, b"" if content is None else bytes(content))
     first = pdf.iloc[0]
     return pd.DataFrame({
         "krs_number": [first["krs_number"]],

@@ -162,3 +162,12 @@ def test_archives_split_and_unzip(spark):
     assert names == {f"K_doc{i}.txt" for i in range(40)}
     man = archives.manifest(docs).filter("krs_number = 'L'").first()
     assert (man.entry_name, man.n_bytes) == ("L_one.pdf", 4)
+
+
+def test_archives_are_deterministic(spark):
+    docs = spark.createDataFrame([("K", f"h{i}", f"d{i}.txt", bytes([i]) * 100) for i in range(10)],
+                                 "krs_number string, hash_id string, document_content_save_name string, "
+                                 "document_content binary")
+    a = {(r.krs_number, r.part): r.archive for r in archives.build_archives(docs, part_bytes=300).collect()}
+    b = {(r.krs_number, r.part): r.archive for r in archives.build_archives(docs, part_bytes=300).collect()}
+    assert a == b and len(a) > 1
