@@ -8,7 +8,9 @@ gives null (``try_parse_json``), never an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROOT = "$.odpis"
@@ -47,9 +49,13 @@ def get(v: Column, path: str, dtype: str = "string") -> Column:
 
 
 def _present(v: Column) -> Column:
-    """Python truthiness of a JSON value: not null, not '', {}, [] or false."""
-    text = F.to_json(v)
-    return v.isNotNull() & ~F.is_variant_null(v) & ~text.isin('""', "{}", "[]", "false", "0")
+    """Python truthiness of a JSON value: not null, not '', {}, [], false or
+    0.  Objects (the common case here) are tested by their number of keys,
+    which is far cheaper than writing them out as JSON text."""
+    as_object = F.try_variant_get(v, "$", "map<string,variant>")
+    other = ~F.to_json(v).isin('""', "[]", "false", "0")
+    return v.isNotNull() & ~F.is_variant_null(v) & F.when(as_object.isNotNull(), F.size(as_object) > 0) \
+        .otherwise(other)
 
 
 def first_present(*values: Column) -> Column:
@@ -74,20 +80,26 @@ def extract_kind(raw: Column) -> Column:
     return get(parse(raw), KIND_PATH)
 
 
-def company_fields(raw: Column) -> list[Column]:
-    """The company record of a raw extract, one column per field.
-
-    County takes ``powiat`` and municipality ``gmina`` (upstream had them
-    swapped)."""
-    v = parse(raw)
-    section = get(v, SECTION1, "variant")
-    scopes = {
-        "entity": first_present(*[get(section, f"$.{k}", "variant") for k in ENTITY_KEYS]),
-        "seat": first_present(*[get(section, f"$.{k}", "variant") for k in SEAT_KEYS]),
-    }
-    cols = []
+def company_record(df: DataFrame, raw: str = "raw_data", keep: Sequence[str] = ()) -> DataFrame:
+    """P18+P19: the extract kind and the company record of every raw extract,
+    one column per field; ``keep`` columns pass through.
+
+    Staged projections: parse once, take section 1 once, resolve the entity
+    and the seat (domestic or foreign, P20) once, then read the fields.  Each
+    stage is used several times by the next, so Catalyst keeps it as its own
+    projection instead of copying the parse into every field.  County takes
+    ``powiat`` and municipality ``gmina`` (upstream had them swapped)."""
+    keep = list(keep)
+    parsed = df.select(*keep, parse(F.col(raw)).alias("_v"))
+    section = parsed.select(*keep, get(F.col("_v"), KIND_PATH).alias("extract_kind"),
+                            get(F.col("_v"), SECTION1, "variant").alias("_d"))
+    scoped = section.select(
+        *keep, "extract_kind",
+        first_present(*[get(F.col("_d"), f"$.{k}", "variant") for k in ENTITY_KEYS]).alias("_entity"),
+        first_present(*[get(F.col("_d"), f"$.{k}", "variant") for k in SEAT_KEYS]).alias("_seat"))
+    fields = []
     for name, scope, paths in COMPANY_FIELDS:
-        options = [get(scopes[scope], f"$.{p}", "variant") for p in paths]
+        options = [get(F.col(f"_{scope}"), f"$.{p}", "variant") for p in paths]
         value = options[0] if len(options) == 1 else first_present(*options)
-        cols.append(scalar(value).alias(name))
-    return cols
+        fields.append(scalar(value).alias(name))
+    return scoped.select(*keep, "extract_kind", *fields)

@@ -320,6 +320,23 @@ SQL: dict[str, str] = {
                                               '<a href="([^"]*)"', 1) AS l
                     FROM pages))
     """,
+    "company_records": f"""
+        SELECT {_zfill('CAST(c_custkey AS VARCHAR)')} AS krs_number, 'Pełny' AS extract_kind,
+               c_name AS full_name, c_mktsegment AS legal_form,
+               lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS nip_number,
+               lpad(CAST((c_custkey * 7919) % 1000000000 AS VARCHAR), 9, '0') AS regon_number,
+               n_name AS country, r_name AS voivodeship,
+               'P' || CAST(c_nationkey AS VARCHAR) AS county,
+               'G' || CAST(c_custkey % 10 AS VARCHAR) AS municipality,
+               'CITY ' || CAST(c_nationkey AS VARCHAR) AS city,
+               substr(lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0'), 1, 2) || '-'
+                   || substr(lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0'), 3, 3) AS postal_number,
+               'UL. ' || upper(c_mktsegment) AS street,
+               CAST(c_custkey % 200 + 1 AS VARCHAR) AS house_number,
+               CASE WHEN c_custkey % 3 = 0 THEN lower(replace(c_name, '#', '.')) || '@example.pl' END AS email,
+               CAST(NULL AS VARCHAR) AS webpage
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    """,
     "json_props": """
         SELECT event_id, json_extract_string(props, '$.odpis.rodzaj') AS extract_kind,
                json_extract_string(props, '$.k') AS k,

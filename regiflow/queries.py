@@ -370,6 +370,54 @@ def q_page_links(spark, sf_dir):
 
 # --- JSON ---------------------------------------------------------------------
 
+def register_extracts(spark, sf_dir):
+    """Full register extracts (JSON text) built by Spark from customer,
+    nation and region: one per customer.  Customers of every fifth nation are
+    foreign entities (their domestic blocks are empty objects, so the
+    fallback is taken); every third customer has an e-mail address."""
+    c = _t(spark, sf_dir, "customer")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    d = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+    foreign = F.col("c_nationkey") % 5 == 0
+    code = F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0")
+    entity = F.struct(
+        F.col("c_name").alias("nazwa"),
+        F.when(foreign, F.lit("")).otherwise(F.col("c_mktsegment")).alias("formaPrawna"),
+        F.when(foreign, F.col("c_mktsegment")).alias("nazwaFormaPrawnaPrzedsiebiorcyZagranicznego"),
+        F.struct(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("nip"),
+                 F.lpad(((F.col("c_custkey") * 7919) % 1000000000).cast("string"), 9, "0").alias("regon"))
+        .alias("identyfikatory"))
+    seat = F.struct(
+        F.struct(F.col("n_name").alias("kraj"), F.col("r_name").alias("wojewodztwo"),
+                 F.concat(F.lit("P"), F.col("c_nationkey").cast("string")).alias("powiat"),
+                 F.concat(F.lit("G"), (F.col("c_custkey") % 10).cast("string")).alias("gmina")).alias("siedziba"),
+        F.struct(F.col("n_name").alias("kraj"),
+                 F.concat(F.lit("CITY "), F.col("c_nationkey").cast("string")).alias("miejscowosc"),
+                 F.concat(F.substring(code, 1, 2), F.lit("-"), F.substring(code, 3, 3)).alias("kodPocztowy"),
+                 F.concat(F.lit("UL. "), F.upper("c_mktsegment")).alias("ulica"),
+                 ((F.col("c_custkey") % 200) + 1).cast("string").alias("nrDomu")).alias("adres"),
+        F.when(F.col("c_custkey") % 3 == 0,
+               F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.pl")))
+        .alias("adresPocztyElektronicznej"))
+    empty_entity = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name)
+                              for f in d.select(entity.alias("e")).schema["e"].dataType.fields])
+    section1 = F.struct(
+        F.when(foreign, empty_entity).otherwise(entity).alias("danePodmiotu"),
+        F.when(foreign, entity).alias("danePodmiotuZagranicznego"),
+        F.when(~foreign, seat).alias("siedzibaIAdres"),
+        F.when(foreign, seat).alias("siedzibaIAdresPodmiotuZagranicznego"))
+    doc = F.struct(F.struct(F.lit("Pełny").alias("rodzaj"),
+                            F.struct(section1.alias("dzial1")).alias("dane")).alias("odpis"))
+    return d.select(_company(F.col("c_custkey")).alias("krs_number"), F.to_json(doc).alias("raw_data"))
+
+
+def q_company_records(spark, sf_dir):
+    """P18-P20 / ST4 flatten: the company record of every extract, with the
+    domestic-or-foreign fallback and county/municipality the right way round."""
+    return variant.company_record(register_extracts(spark, sf_dir), "raw_data", keep=["krs_number"])
+
+
 def q_json_props(spark, sf_dir):
     """P18-P20 on event documents: kind tag, a field, a falsy fallback."""
     ev = _t(spark, sf_dir, "events").select("event_id", "props")
@@ -484,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "archive_totals": q_archive_totals,
     "diagnose_pages": q_diagnose_pages,
     "page_links": q_page_links,
+    "company_records": q_company_records,
     "json_props": q_json_props,
     "job_status": q_job_status,
     "queue_state_counts": q_queue_state_counts,

@@ -84,11 +84,7 @@ def latest_pointers(version_rows: DataFrame) -> DataFrame:
 
 def flatten_company(version_rows: DataFrame) -> DataFrame:
     """ST4 transform: the company record (P19) of each version."""
-    return version_rows.select(
-        "id", "krs_number", "record_created_at",
-        variant.extract_kind(F.col("raw_data")).alias("extract_kind"),
-        *variant.company_fields(F.col("raw_data")),
-    )
+    return variant.company_record(version_rows, "raw_data", keep=["id", "krs_number", "record_created_at"])
 
 
 def write_batch_folder(df: DataFrame, root: str, batch_id: int,

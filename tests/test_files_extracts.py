@@ -53,9 +53,9 @@ HISTORY = {"odpis": {"rodzaj": "Pełny", "dane": {"dzial1": {
 def test_company_record(spark):
     docs = [json.dumps(DOMESTIC, ensure_ascii=False), json.dumps(FOREIGN), json.dumps(HISTORY),
             "{not json", None]
-    df = spark.createDataFrame([(d,) for d in docs], "raw string")
-    out = df.select(variant.extract_kind(F.col("raw")).alias("kind"),
-                    *variant.company_fields(F.col("raw"))).collect()
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, raw string")
+    out = variant.company_record(df, "raw", keep=["i"]).withColumnRenamed("extract_kind", "kind").orderBy("i").collect()
+    assert variant.extract_kind(F.col("raw")) is not None
     d, f, h, bad, none = out
     assert d.kind == "Pełny" and d.full_name == "ACME SPÓŁKA Z O.O."
     assert (d.county, d.municipality) == ("WARSZAWA", "WARSZAWA-ŚRÓDMIEŚCIE")   # not swapped
