@@ -102,19 +102,25 @@ def hour_reason(c: Column) -> Column:
     )
 
 
-def bulletin_params_reason(day: Column, hour_from: Column, hour_to: Column) -> Column:
-    """F3-F5 in the client's order: day, start hour, end hour, start < end."""
-    def prefixed(prefix: str, reason: Column) -> Column:
-        return F.concat(F.lit(prefix), reason)
-
+def combine_bulletin_reasons(day: Column, parsed_day: Column, hour_from_reason: Column,
+                             hour_to_reason: Column, hour_from: Column, hour_to: Column) -> Column:
+    """F3-F5 in the client's order - day, start hour, end hour, start < end -
+    from the already computed parts (parsed day, per-hour reasons)."""
     return (
-        F.when(day_reason(day).isNotNull(), day_reason(day))
-        .when(hour_reason(hour_from).isNotNull(), prefixed("hour_from_", hour_reason(hour_from)))
-        .when(hour_reason(hour_to).isNotNull(), prefixed("hour_to_", hour_reason(hour_to)))
+        F.when(day.isNull(), F.lit(NOT_STRING))
+        .when(parsed_day.isNull(), F.lit(BAD_DAY))
+        .when(hour_from_reason.isNotNull(), F.concat(F.lit("hour_from_"), hour_from_reason))
+        .when(hour_to_reason.isNotNull(), F.concat(F.lit("hour_to_"), hour_to_reason))
         .when(hour_from.cast("int") >= hour_to.cast("int"), F.lit(HOUR_ORDER))
     )
 
 
+def bulletin_params_reason(day: Column, hour_from: Column, hour_to: Column) -> Column:
+    """F3-F5 in the client's order: day, start hour, end hour, start < end."""
+    return combine_bulletin_reasons(day, parse_day(day), hour_reason(hour_from), hour_reason(hour_to),
+                                    hour_from, hour_to)
+
+
 def response_outcome(status: Column) -> Column:
     """404 is 'not_found', any other non-200 is 'error', a missing
     response (not landed yet) is 'pending'."""

@@ -64,11 +64,21 @@ def bulletin_requests(sweeps: DataFrame, as_of: str = "as_of", n_days: int | str
 def bulletin_request_checked(df: DataFrame, day: str, hour_from: str, hour_to: str) -> DataFrame:
     """F3-F5 + P3 (client form, D1 repaired): validate the parameters and
     build the address for the valid rows; hours are sent as given (two
-    digits by F4)."""
-    reason = validate.bulletin_params_reason(F.col(day), F.col(hour_from), F.col(hour_to))
-    parsed = validate.parse_day(F.col(day))
-    url = F.when(reason.isNull(), bulletin_url(parsed, F.col(hour_from), F.col(hour_to)))
-    return df.withColumn("reason", reason).withColumn("url", url)
+    digits by F4).
+
+    Two projections: the day is parsed and each parameter checked once, then
+    the reasons are combined in the client's order."""
+    cols = df.columns
+    checked = df.select(
+        *cols,
+        validate.parse_day(F.col(day)).alias("_day"),
+        validate.hour_reason(F.col(hour_from)).alias("_hf"),
+        validate.hour_reason(F.col(hour_to)).alias("_ht"))
+    reason = validate.combine_bulletin_reasons(F.col(day), F.col("_day"), F.col("_hf"), F.col("_ht"),
+                                               F.col(hour_from), F.col(hour_to))
+    staged = checked.select(*cols, "_day", reason.alias("reason"))
+    url = F.when(F.col("reason").isNull(), bulletin_url(F.col("_day"), F.col(hour_from), F.col(hour_to)))
+    return staged.select(*cols, "reason", url.alias("url"))
 
 
 def page_plan(df: DataFrame, num_pages: str = "num_pages",
