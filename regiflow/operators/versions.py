@@ -80,6 +80,16 @@ def current_rows(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
     return _join_top(df, _as_list(key), order, "left_semi", exact=True)
 
 
+def refresh_current(snapshot: DataFrame, new_versions: DataFrame, key="krs_number",
+                    order: Sequence[str] = ("record_created_at", "id")) -> DataFrame:
+    """The current row of every key from the previous current rows and only
+    the versions added since: "latest" is associative, so this equals
+    ``current_rows`` over the whole history while reading one row per key
+    plus the new versions."""
+    cols = snapshot.columns
+    return current_rows(snapshot.unionByName(new_versions.select(*cols)), key, order)
+
+
 def current_row_of(df: DataFrame, key: str, value, order: Sequence[str]) -> DataFrame:
     """L1 for one company: the filter reaches the Parquet scan, then the
     first row in ``order`` descending (none when the company is unknown)."""

@@ -124,3 +124,28 @@ def stored_keys_near(stored: DataFrame, incoming: DataFrame, key: str = "hash_id
     those folders only."""
     prefixes = prefixes_of(incoming, key) if prefixes is None else prefixes
     return stored.filter(F.col(PREFIX).isin(prefixes)).select(key)
+
+
+# --- published snapshots ------------------------------------------------------
+# A derived table (e.g. the current row of every company) is written to a new
+# folder per version; a one-row pointer is appended to ``<root>/_pointers``
+# only after the folder is complete.  Readers follow the newest pointer, so a
+# reader never sees a half-written snapshot and no table is ever rewritten in
+# place (Spark's built-in tables have no MERGE).
+
+
+def publish_snapshot(df: DataFrame, root: str, version: int) -> str:
+    """Write ``df`` as snapshot ``version`` and then point readers at it."""
+    spark = df.sparkSession
+    path = os.path.join(root, f"v={version}")
+    df.write.mode("overwrite").parquet(path)
+    pointer = spark.createDataFrame([(int(version), path)], "version long, path string")
+    pointer.write.mode("append").parquet(os.path.join(root, "_pointers"))
+    return path
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest published snapshot (one small aggregate over the pointer
+    rows, then a plain read)."""
+    newest = spark.read.parquet(os.path.join(root, "_pointers")).agg(F.max_by("path", "version")).first()[0]
+    return spark.read.parquet(newest)

@@ -143,3 +143,16 @@ def test_changed_companies_match_literal_eval(spark, bodies):
     df = spark.createDataFrame([(dt.date(2025, 1, 1), b) for b in bodies], "day date, body string")
     got = {r.krs_number for r in requests.changed_companies(df).collect()}
     assert got == python_changed(bodies)
+
+
+@SETTINGS
+@given(ROWS, st.integers(0, 40))
+def test_refresh_current_equals_full(spark, rows, cut):
+    t0 = dt.datetime(2025, 1, 1)
+    data = [(i, k, t0 + dt.timedelta(hours=h)) for i, (k, h) in enumerate(rows)]
+    schema = "id long, k string, ts timestamp_ntz"
+    old, new = data[:cut], data[cut:]
+    snap = versions.current_rows(spark.createDataFrame(old, schema), "k", ["ts", "id"])
+    got = versions.refresh_current(snap, spark.createDataFrame(new, schema), "k", ["ts", "id"])
+    full = versions.current_rows(spark.createDataFrame(data, schema), "k", ["ts", "id"])
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in full.collect())
