@@ -161,10 +161,39 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
     return run_available_now(events, on_batch, name, checkpoint)
 
 
-def current_from_pointers(spark: SparkSession, pointers_root: str) -> DataFrame:
-    """Current pointer per company from all pointer batches (a partial
-    aggregate over one row per company and batch)."""
-    return latest_pointers(spark.read.parquet(pointers_root).drop("batch_id"))
+def current_from_pointers(spark: SparkSession, pointers_root: str,
+                          snapshot_root: str | None = None) -> DataFrame:
+    """Current pointer per company: the last compacted snapshot (if any) and
+    only the pointer batches written after it (``batch_id`` is a partition
+    column, so older batch folders are not read)."""
+    batches = spark.read.parquet(pointers_root)
+    if snapshot_root is None or not _has_snapshot(spark, snapshot_root):
+        return latest_pointers(batches.drop("batch_id"))
+    snap_version = _snapshot_version(spark, snapshot_root)
+    newer = batches.filter(F.col("batch_id") > snap_version).drop("batch_id")
+    snap = tables.read_snapshot(spark, snapshot_root)
+    return latest_pointers(snap.unionByName(newer.select(*snap.columns)))
+
+
+def compact_pointers(spark: SparkSession, pointers_root: str, snapshot_root: str) -> int:
+    """Publish the current pointers as a snapshot whose version is the last
+    batch it includes; later reads start from it.  Returns that version."""
+    last = spark.read.parquet(pointers_root).agg(F.max("batch_id")).first()[0]
+    current = current_from_pointers(spark, pointers_root, snapshot_root)
+    tables.publish_snapshot(current, snapshot_root, int(last))
+    return int(last)
+
+
+def _has_snapshot(spark: SparkSession, snapshot_root: str) -> bool:
+    try:
+        spark.read.parquet(os.path.join(snapshot_root, "_pointers")).schema
+        return True
+    except AnalysisException:
+        return False
+
+
+def _snapshot_version(spark: SparkSession, snapshot_root: str) -> int:
+    return spark.read.parquet(os.path.join(snapshot_root, "_pointers")).agg(F.max("version")).first()[0]
 
 
 def dedup_stream(rows: DataFrame, key: str = "hash_id") -> DataFrame:

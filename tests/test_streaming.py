@@ -146,3 +146,18 @@ def test_default_checkpoint_is_stable(spark):
     a = stream_checkpoint_path(spark, "raw_extract_changes")
     assert a == stream_checkpoint_path(spark, "raw_extract_changes")
     assert a.startswith(checkpoint_root(spark))
+
+
+def test_compacted_pointers_equal_full_read(spark, tmp_root):
+    src = os.path.join(tmp_root, "in")
+    write_batches(src, BATCHES[:2])
+    args = (f"{tmp_root}/hist", f"{tmp_root}/ptr")
+    changes.stream_versions_to_history(source(spark, src), *args, name="t_compact", checkpoint=f"{tmp_root}/ckpt")
+    assert changes.compact_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap") == 1
+    with open(os.path.join(src, "part-009.json"), "w") as f:
+        f.write(json.dumps(event(8, "0000057814", "2025-03-01T00:00:00Z")) + "\n")
+    changes.stream_versions_to_history(source(spark, src), *args, name="t_compact", checkpoint=f"{tmp_root}/ckpt")
+    full = {(r.krs_number, r.id) for r in changes.current_from_pointers(spark, f"{tmp_root}/ptr").collect()}
+    quick = {(r.krs_number, r.id) for r in
+             changes.current_from_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap").collect()}
+    assert quick == full == {("0000057814", 8), ("0000000001", 4)}
