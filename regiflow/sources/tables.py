@@ -49,10 +49,17 @@ def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{part} LOCATION '{path}'")
 
 
-def append_versions(df: DataFrame, path: str, created_col: str = "record_created_at") -> None:
+def append_versions(df: DataFrame, path: str, created_col: str = "record_created_at",
+                    key: str = "krs_number") -> None:
     """Append raw extract versions to the history, partitioned by the day
-    they were taken, so readers prune days and writers never rewrite files."""
+    they were taken, so readers prune days and writers never rewrite files.
+
+    Range partitioning on (day, company) before the write: tasks stay
+    balanced even when one day is most of the batch, each writes few files,
+    and files are sorted by company, so one company's read skips most row
+    groups by their min/max statistics."""
     (df.withColumn("ingest_day", F.to_date(F.col(created_col)))
+       .repartitionByRange("ingest_day", key).sortWithinPartitions("ingest_day", key)
        .write.mode("append").partitionBy("ingest_day").parquet(path))
 
 
