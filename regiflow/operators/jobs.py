@@ -1,9 +1,9 @@
 """Job status (W2), queue counters (A1) and log reports.
 
 Job events are ``(job_id, queue, state, ts, seq, result, exc_info)``; one job
-has few events, a queue has many.  Everything is a hash aggregate with
-map-side partial aggregation, so a busy queue or a chatty job cannot load one
-task.
+has few events, a queue has many.  Everything is an aggregate with map-side
+partial aggregation (``max_by`` over a (time, seq) struct plans as a
+sort-based one), so a busy queue or a chatty job cannot load one task.
 """
 
 from __future__ import annotations
