@@ -222,6 +222,14 @@ SQL: dict[str, str] = {
         SELECT o_orderkey, krs_number, hash_id AS document_hash_id, CAST(NULL AS VARCHAR) AS reason
         FROM ({_STORED_H})
     """,
+    "document_key_collisions": """
+        SELECT document_hash_id, count(DISTINCT parts) AS part_tuples
+        FROM (SELECT sha256(lower(trim(k || t || n || f))) AS document_hash_id,
+                     k || chr(31) || t || chr(31) || n || chr(31) || f AS parts
+              FROM (SELECT lpad(CAST(p_size % 3 AS VARCHAR), 10, '0') AS k, p_brand AS t,
+                           CAST(p_size AS VARCHAR) AS n, lower(p_type) AS f FROM part))
+        GROUP BY document_hash_id HAVING count(DISTINCT parts) > 1
+    """,
     "docs_of_company": f"""
         SELECT krs_number, document_type AS document_name, document_type, document_date_from,
                document_date_to, hash_id AS document_hash_id

@@ -229,6 +229,22 @@ def q_document_content_keys(spark, sf_dir):
     return d.select("doc_id", keys.is_ascii(F.col("text")).alias("ascii"), key.alias("document_hash_id"))
 
 
+def q_document_key_collisions(spark, sf_dir):
+    """Content keys shared by different part tuples.  Parts as key
+    parts (brand and size as type and name: "Brand#1"+"33" and
+    "Brand#13"+"3" concatenate alike, as the key has no separator)."""
+    p = _t(spark, sf_dir, "part")
+    rows = p.select(
+        _company(F.col("p_size") % 3).alias("krs_number"),
+        F.col("p_brand").alias("document_type"),
+        F.col("p_size").cast("string").alias("document_name"),
+        F.lower("p_type").alias("document_from"),
+        F.lit("").alias("document_to"))
+    keyed = rows.withColumn("document_hash_id", keys.document_key(
+        *[F.col(c) for c in ("krs_number", "document_type", "document_name", "document_from", "document_to")]))
+    return documents.key_collisions(keyed)
+
+
 def q_docs_of_company(spark, sf_dir):
     """The served listing of every company."""
     return documents.available_listing(stored_documents(spark, sf_dir))
@@ -519,6 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_requests": q_page_requests,
     "document_hash_id": q_document_hash_id,
     "document_content_keys": q_document_content_keys,
+    "document_key_collisions": q_document_key_collisions,
     "docs_of_company": q_docs_of_company,
     "documents_per_company": q_documents_per_company,
     "new_documents": q_new_documents,
