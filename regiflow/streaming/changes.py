@@ -175,6 +175,21 @@ def current_from_pointers(spark: SparkSession, pointers_root: str,
     return latest_pointers(snap.unionByName(newer.select(*snap.columns)))
 
 
+def current_versions(spark: SparkSession, history_root: str, pointers_root: str,
+                     snapshot_root: str | None = None) -> DataFrame:
+    """ST2 read side: the current version rows (documents included) - the
+    history joined back to the current pointers on (company, id, time).  The
+    pointers are one small row per company, so the join keys spread even a
+    company with many versions by hash.  A change event delivered twice
+    (at-least-once sources) leaves two equal history rows; the answer keeps
+    one per (company, id) - a small de-duplication over about one row per
+    company."""
+    history = spark.read.parquet(history_root)
+    current = current_from_pointers(spark, pointers_root, snapshot_root)
+    return (history.join(current, ["krs_number", "id", "record_created_at"], "left_semi")
+                   .dropDuplicates(["krs_number", "id"]))
+
+
 def compact_pointers(spark: SparkSession, pointers_root: str, snapshot_root: str) -> int:
     """Publish the current pointers as a snapshot whose version is the last
     batch it includes; later reads start from it.  Returns that version."""

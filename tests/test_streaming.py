@@ -161,3 +161,14 @@ def test_compacted_pointers_equal_full_read(spark, tmp_root):
     quick = {(r.krs_number, r.id) for r in
              changes.current_from_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap").collect()}
     assert quick == full == {("0000057814", 8), ("0000000001", 4)}
+
+
+def test_current_versions_join_documents_back(spark, tmp_root):
+    src = os.path.join(tmp_root, "in")
+    write_batches(src, BATCHES)
+    changes.stream_versions_to_history(source(spark, src), f"{tmp_root}/hist", f"{tmp_root}/ptr",
+                                       name="t_docs", checkpoint=f"{tmp_root}/ckpt")
+    cur = changes.current_versions(spark, f"{tmp_root}/hist", f"{tmp_root}/ptr").collect()
+    # id 3 arrived twice (a repeated event): one row per company all the same
+    assert sorted((r.krs_number, r.id) for r in cur) == [("0000000001", 4), ("0000057814", 3)]
+    assert all(json.loads(r.raw_data)["odpis"]["n"] == r.id for r in cur)
