@@ -147,10 +147,14 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
     The current pointer of a company is the greatest over all pointer
     batches (``current_from_pointers``) - the same answer as a stateful
     update-mode aggregate (``latest_pointers`` on the stream), without a state
-    store; both write folders keyed by batch id, so a replay is a no-op."""
+    store; both write folders keyed by batch id, so a replay is a no-op.
+
+    An event delivered twice within a batch is stored once; one delivered
+    again in a later batch is stored again (equal rows) and readers keep one
+    per (company, id) (``current_versions``) - no unbounded stream state."""
 
     def on_batch(raw: DataFrame, batch_id: int) -> None:
-        rows = parse_changes(raw).persist()
+        rows = parse_changes(raw).dropDuplicates(["krs_number", "id"]).persist()
         try:
             write_batch_folder(rows.withColumn("ingest_day", F.to_date("record_created_at")),
                                history_root, batch_id, ["ingest_day"])
