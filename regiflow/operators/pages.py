@@ -54,12 +54,26 @@ class _TableReader(HTMLParser):
         self._link: dict | None = None      # first link of the current cell
         self._in_link = 0
 
+    def _close_cell(self) -> None:
+        """Finish the open cell (also when its end tag is missing)."""
+        if self._cell is None or self._row is None:
+            self._cell, self._link = None, None
+            return
+        link = self._link
+        if link is not None and K.DETAILS_LINK_TEXT in "".join(link["text"]):
+            self._row.append(link["id"])
+        else:
+            self._row.append("".join(p.strip() for p in self._cell if p.strip()))
+        self._cell, self._link, self._in_link = None, None, 0
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "tr":
+            self._close_cell()
             self._row = []
             self.rows.append(self._row)
         elif tag == "td" and self._row is not None:
+            self._close_cell()
             self._cell, self._link = [], None
         elif tag == "a" and self._cell is not None:
             if self._link is None:
@@ -76,14 +90,10 @@ class _TableReader(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a" and self._in_link:
             self._in_link -= 1
-        elif tag == "td" and self._cell is not None and self._row is not None:
-            link = self._link
-            if link is not None and K.DETAILS_LINK_TEXT in "".join(link["text"]):
-                self._row.append(link["id"])
-            else:
-                self._row.append("".join(p.strip() for p in self._cell if p.strip()))
-            self._cell, self._link = None, None
+        elif tag == "td":
+            self._close_cell()
         elif tag == "tr":
+            self._close_cell()
             self._row = None
         if tag == "span" and self._pager_depth:
             self._pager_depth -= 1
@@ -104,6 +114,7 @@ def _read_html(fragment: str | None) -> _TableReader | None:
     reader = _TableReader()
     reader.feed(fragment)
     reader.close()
+    reader._close_cell()
     return reader
 
 

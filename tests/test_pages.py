@@ -119,3 +119,13 @@ def test_update_block_by_id(spark):
     row = parsed.select(F.col("updates")["j_id1:javax.faces.ViewState:0"].alias("vs"),
                         F.col("updates")["nope"].alias("none")).first()
     assert row.vs == "123:456" and row.none is None
+
+
+def test_unclosed_cells_are_kept():
+    html = ("<table><tr><td>1<td>Roczne<td>Bilans<td>01.01.2023<td>31.12.2023<td>Złożony"
+            "<td><a id='x:1'>Pokaż szczegóły</a><tr><td>2<td>A<td>B<td>C<td>D</table>")
+    body = ("<partial-response><changes><update id='searchForm'><![CDATA[" + html
+            + "]]></update></changes></partial-response>")
+    rows = pages.parse_partial_response(body)["rows"]
+    assert rows == [["1", "Roczne", "Bilans", "01.01.2023", "31.12.2023", "Złożony", "x:1"],
+                    ["2", "A", "B", "C", "D"]]
