@@ -366,7 +366,7 @@ SQL: dict[str, str] = {
         GROUP BY q.queue
     """,
     "stream_current_versions": f"""
-        SELECT {_KRS_USER} AS krs_number, ts AS record_created_at, event_id AS id
+        SELECT {_KRS_USER} AS krs_number, event_id AS id, ts AS record_created_at, props AS raw_data
         FROM events WHERE event_type NOT IN ('view', 'error')
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
     """,

@@ -513,12 +513,14 @@ def change_events(events: DataFrame) -> DataFrame:
 def q_stream_current_versions(spark, sf_dir):
     """ST1+ST2+ST5+S5: the events table read as a file stream of change
     events, processed with availableNow into history and pointer folders under
-    the shared checkpoint root; answer = current pointer per company."""
+    the shared checkpoint root; answer = the current version of every company
+    (pointers joined back to the written history, documents included)."""
     stream = stream_table(spark, sf_dir, "events")
     root = fresh_checkpoint_path(spark, "stream_current_versions")
     changes.stream_versions_to_history(change_events(stream), f"{root}/history", f"{root}/pointers",
                                        name="stream_current_versions", checkpoint=f"{root}/ckpt")
-    return changes.current_from_pointers(spark, f"{root}/pointers")
+    current = changes.current_versions(spark, f"{root}/history", f"{root}/pointers")
+    return current.select("krs_number", "id", "record_created_at", "raw_data")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
