@@ -41,7 +41,10 @@ class _TableReader(HTMLParser):
     A cell is the ``id`` of its first link when that link's text contains the
     details label, else the cell's text pieces stripped and joined.  Also
     keeps the text of the first ``span.ui-paginator-current`` and the whole
-    text of the fragment."""
+    text of the fragment.  Text inside ``script``/``style`` and comments is
+    not page text."""
+
+    _NOT_TEXT = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -53,6 +56,7 @@ class _TableReader(HTMLParser):
         self._cell: list[str] | None = None
         self._link: dict | None = None      # first link of the current cell
         self._in_link = 0
+        self._hidden = 0                    # depth inside script/style
 
     def _close_cell(self) -> None:
         """Finish the open cell (also when its end tag is missing)."""
@@ -68,6 +72,9 @@ class _TableReader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if tag in self._NOT_TEXT:
+            self._hidden += 1
+            return
         if tag == "tr":
             self._close_cell()
             self._row = []
@@ -88,6 +95,9 @@ class _TableReader(HTMLParser):
                 self.pager, self._pager_depth = [], 1
 
     def handle_endtag(self, tag):
+        if tag in self._NOT_TEXT:
+            self._hidden = max(0, self._hidden - 1)
+            return
         if tag == "a" and self._in_link:
             self._in_link -= 1
         elif tag == "td":
@@ -99,6 +109,8 @@ class _TableReader(HTMLParser):
             self._pager_depth -= 1
 
     def handle_data(self, data):
+        if self._hidden:
+            return
         self.text.append(data)
         if self._cell is not None:
             self._cell.append(data)

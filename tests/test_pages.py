@@ -129,3 +129,14 @@ def test_unclosed_cells_are_kept():
     rows = pages.parse_partial_response(body)["rows"]
     assert rows == [["1", "Roczne", "Bilans", "01.01.2023", "31.12.2023", "Złożony", "x:1"],
                     ["2", "A", "B", "C", "D"]]
+
+
+def test_script_style_and_comments_are_not_text():
+    msg = ("<div><script>var m='Brak dokumentów dla KRS:';</script><style>p{}</style>"
+           "<!-- Brak dokumentów dla KRS: -->ok</div>")
+    out = pages.parse_partial_response(message_page(("unloggedForm:j_idt1", msg)))
+    assert out["message_text"] == "ok"
+    cell = ("<table><tr><td>1<script>x()</script></td><td>T</td><td>N</td><td>F</td><td>D</td></tr></table>")
+    body = ("<partial-response><changes><update id='searchForm'><![CDATA[" + cell
+            + "]]></update></changes></partial-response>")
+    assert pages.parse_partial_response(body)["rows"] == [["1", "T", "N", "F", "D"]]
