@@ -51,3 +51,10 @@ def test_document_content_keys_brute_force(spark):
     got = {r.doc_id: r.document_hash_id for r in E.queries()["document_content_keys"](spark, SF_SMALL).collect()}
     assert got == want
     assert len(docs) >= 200
+
+
+def test_readme_lists_every_registered_query():
+    import os
+
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
+    assert [k for k in E.queries() if f"`{k}`" not in readme] == []
