@@ -52,7 +52,7 @@ NOTES = {
     "company_records": "Spark-built extracts, staged VARIANT flattening",
     "job_status": "one aggregate per job (max_by state)",
     "queue_state_counts": "job aggregate, then conditional counts per queue",
-    "stream_current_versions": "file stream, availableNow, foreachBatch: history + pointer folders per batch",
+    "stream_current_versions": "file stream, availableNow, foreachBatch: history + pointer folders per batch; answer = pointers joined back to the history",
 }
 
 HEADER = [
