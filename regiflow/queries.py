@@ -7,6 +7,9 @@ by Spark from the whole tables:
   ``event_id``, version time = ``ts``, extract document = ``props``;
 * stored documents = ``orders`` (status, priority and dates as the key
   parts) or ``documents``; landed pages = ``pages``;
+* register extracts = JSON built by Spark from ``customer``, ``nation`` and
+  ``region``; content-key collisions = ``part`` (brand and size);
+* change events = ``events`` read as a file stream;
 * job events and log rows = ``events`` (queue by user parity, state and
   level by event type).
 
