@@ -156,3 +156,23 @@ def test_refresh_current_equals_full(spark, rows, cut):
     got = versions.refresh_current(snap, spark.createDataFrame(new, schema), "k", ["ts", "id"])
     full = versions.current_rows(spark.createDataFrame(data, schema), "k", ["ts", "id"])
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in full.collect())
+
+
+INCOMING = st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(0, 50)), max_size=30)
+
+
+@SETTINGS
+@given(INCOMING, st.sets(st.sampled_from("abcdef")))
+def test_insert_if_absent_matches_model(spark, incoming, stored):
+    from regiflow.operators import documents
+
+    inc = spark.createDataFrame(incoming, "hash_id string, doc_id long")
+    existing = spark.createDataFrame([(h,) for h in sorted(stored)], "hash_id string")
+    got = {(r.hash_id, r.doc_id) for r in documents.insert_if_absent(inc, existing, "hash_id", ["doc_id"]).collect()}
+    firsts = {}
+    for h, i in incoming:
+        firsts[h] = min(i, firsts.get(h, i))
+    assert got == {(h, i) for h, i in firsts.items() if h not in stored}
+    # appending what was inserted and running again inserts nothing
+    after = existing.unionByName(spark.createDataFrame(sorted(got), "hash_id string, doc_id long").select("hash_id"))
+    assert documents.insert_if_absent(inc, after, "hash_id", ["doc_id"]).count() == 0
