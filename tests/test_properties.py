@@ -176,3 +176,23 @@ def test_insert_if_absent_matches_model(spark, incoming, stored):
     # appending what was inserted and running again inserts nothing
     after = existing.unionByName(spark.createDataFrame(sorted(got), "hash_id string, doc_id long").select("hash_id"))
     assert documents.insert_if_absent(inc, after, "hash_id", ["doc_id"]).count() == 0
+
+
+LISTING = st.lists(st.tuples(st.sampled_from("KL"), st.integers(1, 4), st.integers(1, 10)), max_size=30, unique=True)
+
+
+@SETTINGS
+@given(LISTING, st.sets(st.integers(0, 29)))
+def test_next_pending_matches_model(spark, listing, stored_idx):
+    from regiflow.operators import documents
+
+    rows = [(k, p, pos, f"h{i}") for i, (k, p, pos) in enumerate(listing)]
+    stored = sorted({f"h{i}" for i in stored_idx})
+    lst = spark.createDataFrame(rows, "krs_number string, page int, position int, hash_id string")
+    st_df = spark.createDataFrame([(h,) for h in stored], "hash_id string")
+    got = {r.krs_number: r.hash_id for r in documents.next_pending(documents.pending_work(lst, st_df)).collect()}
+    want = {}
+    for k, p, pos, h in sorted(rows, key=lambda r: ((r[1] - 1) * 10 + r[2], r[3])):
+        if h not in stored and k not in want:
+            want[k] = h
+    assert got == want
