@@ -1,0 +1,122 @@
+"""SimHash near-dedup against brute force, and its edge cases."""
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from conftest import SF_CHECK
+from regiflow.llm import components, simhash
+
+
+def brute_fingerprint(text, n=3):
+    words = [w for w in (text or "").translate({i: i + 32 for i in range(65, 91)}).replace("\t", " ").replace("\n", " ")
+             .replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(ids, fps, k):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    values = np.array(fps, np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= k):
+            parent[find(i)] = find(int(j))
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(fps))]
+
+
+def result(spark, df, **kw):
+    out = simhash.near_duplicates(spark, df, **kw).collect()
+    return sorted([(r.doc_id, r.fingerprint, r.component_id) for r in out], key=str)
+
+
+def brute(rows, k=2):
+    fps = [brute_fingerprint(t) for _, t in rows]
+    comp = brute_components([d for d, _ in rows], fps, k)
+    return sorted([(d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, comp)], key=str)
+
+
+def test_whole_table_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert result(spark, docs) == brute(rows)
+
+
+def test_hash_is_sparks_xxhash64(spark):
+    text = "Ärger über drei"
+    row = spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t").alias("h")).first()
+    assert row.h % 2**64 == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_nulls_empty_repeats_and_clashing_columns(spark):
+    rows = [(5, None), (3, ""), (4, " \t\n"), (None, "one two three four"), (9, "one two three four"), (9, "one two three four"),
+            (7, "ONE two\x0bthree  four"), (8, "zwei"), (None, "ganz allein hier unten"), (6, "a b  c")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, fp int, root int")
+    assert result(spark, df) == brute(rows)
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(spark, df).count() == 0
+
+
+def test_very_long_text_is_hashed_whole():
+    text = " ".join(f"w{i % 977}x{i % 31}" for i in range(200_000))
+    assert len(text) > 1 << 20
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_links_lose_no_pair(spark, k):
+    rng = np.random.default_rng(k)
+    base = rng.integers(0, 2**64, 120, dtype=np.uint64)
+    values = set(map(int, base))
+    for b in base[:60]:
+        for flips in (1, 2, 3, 4):
+            x = int(b)
+            for bit in rng.choice(64, flips, replace=False):
+                x ^= 1 << int(bit)
+            values.add(x)
+    values = sorted(values)
+    df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
+    edges = simhash.links(spark, df, k)
+    got = {r.node % 2**64: r.root % 2**64 for r in components.connected_components(spark, edges).collect()}
+    assert all((r.u ^ r.v) % 2**64 and ((r.u ^ r.v) % 2**64).bit_count() <= k for r in edges.collect())
+    want = brute_components(list(range(len(values))), values, k)
+    classes = {}
+    for v, c in zip(values, want):
+        classes.setdefault(c, set()).add(v)
+    mine = {}
+    for v in values:
+        mine.setdefault(got.get(v, v), set()).add(v)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_every_value_has_an_anchor_and_group_sizes_are_bounded():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    masks = simhash.anchor_masks(2)
+    for value, s in zip(x, simhash.syndromes(x)):
+        assert min(int(m).bit_count() for m in masks[s]) <= simhash.COVERING_RADIUS
+        assert not simhash.syndromes(value ^ masks[s]).any()
+    assert sum(map(len, masks)) == 1 + 64 + 64 * 63 // 2
+
+
+def test_components_of_chains_hubs_and_self_edges(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(7, 7), (500, 500), (None, 3), (3, None)]
+    got = {r.node: r.root for r in components.connected_components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(300)}}
