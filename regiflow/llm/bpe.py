@@ -27,7 +27,8 @@ from .common import whole_text
 from .tokens import PieceCache, ids_of
 
 # Code points that are white space to the tokenizer's patterns (fixed values).
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                           0x205F, 0x3000]))
 CACHE_PIECES = 300_000
 
 
