@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,23 @@ def whole_text(text: str | Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tagged(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``(tag, doc)``: each row of ``docs`` as a struct beside a string that
+    no other row has: its file and place there.  Both are fixed for a table
+    read from files; any other frame is written first."""
+    def rows(df):
+        place = df.metadataColumn("_metadata")
+        return df.select(F.concat_ws(":", place["file_path"], place["row_index"].cast("string")).alias("tag"),
+                         F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("doc"))
+
+    try:
+        return rows(docs)
+    except AnalysisException:                # not read from Parquet files
+        return rows(materialize(spark, docs, "tagged"))
+
+
+def only_tags(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """The documents of ``tagged`` rows whose tag is among ``tags (tag)``."""
+    return rows.join(tags, "tag", "left_semi").select("doc.*")

@@ -21,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize, only_tags, tagged, whole_text
 
 BLOCK_BYTES = 1024
-_CARRIED = ["row", "pos", "n", "doc_id", "digest"]
-_CARRIED_DDL = "row long, pos long, n long, doc_id long, digest binary"
+_CARRIED = ["row", "pos", "n", "doc_id", "digest", "tag"]
+_CARRIED_DDL = "row long, pos long, n long, doc_id long, digest binary, tag string"
 
 
 def _ranks(batches):
@@ -94,34 +94,34 @@ def _pair_key(a: str, b: str):
 
 
 def identities(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(row, doc_id, level, name, digest)`` per row of ``docs``: equal
+               block_bytes: int = BLOCK_BYTES, tag: Column | None = None) -> DataFrame:
+    """``(row, doc_id, level, name, digest, tag)`` per row of ``docs``: equal
     ``(level, name)`` exactly for equal texts; ``digest`` is the SHA-256 of
-    the text."""
+    the text; ``tag`` is passed through."""
     size = F.octet_length("data")
     blocks = F.expr(f"transform(sequence(0L, greatest(cast(ceil(octet_length(data) / {block_bytes}) as bigint) - 1, 0L)), "
                     f"i -> substring(data, cast(i * {block_bytes} + 1 as int), {block_bytes}))")
     rows = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                        whole_text(text_col).cast("binary").alias("data"))
-            .select("row", "doc_id", F.unhex(F.sha2("data", 256)).alias("digest"),
+                        whole_text(text_col).cast("binary").alias("data"),
+                        (F.lit(None) if tag is None else tag).cast("string").alias("tag"))
+            .select("row", "doc_id", "tag", F.unhex(F.sha2("data", 256)).alias("digest"),
                     F.greatest(F.ceil(size / block_bytes), F.lit(1)).cast("long").alias("n"),
                     F.posexplode(blocks).alias("pos", "key"))
             .select("key", "row", F.col("pos").cast("long").alias("pos"), "n",
-                    F.when(F.col("pos") == 0, F.col("doc_id")).alias("doc_id"),
-                    F.when(F.col("pos") == 0, F.col("digest")).alias("digest")))
+                    *(F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("doc_id", "digest", "tag"))))
     done, level = [], 0
     while True:
         rows = named(spark, rows)
-        done.append(rows.filter("n = 1").select("row", "doc_id", F.lit(level).alias("level"), "name", "digest"))
+        done.append(rows.filter("n = 1").select("row", "doc_id", F.lit(level).alias("level"), "name", "digest", "tag"))
         rows = rows.filter("n > 1")
         if rows.isEmpty():
             break
         rows = (rows.groupBy("row", F.expr("pos div 2").alias("pos"))
-                .agg(F.max("n").alias("n"), F.max("doc_id").alias("doc_id"), F.max("digest").alias("digest"),
+                .agg(*(F.max(c).alias(c) for c in ("n", "doc_id", "digest", "tag")),
                      F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
                      F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b"))
                 .select(_pair_key("a", "b").alias("key"), "row", "pos", F.expr("(n + 1) div 2").alias("n"),
-                        "doc_id", "digest"))
+                        "doc_id", "digest", "tag"))
         level += 1
     out = done[0]
     for d in done[1:]:
@@ -139,10 +139,26 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     repeat both id and text exactly one is kept; an empty table gives no rows;
     other columns are not read, so their names cannot clash.
     """
-    ids = materialize(spark, identities(spark, docs, id_col, text_col, block_bytes), "block-identities")
+    return _decided(spark, identities(spark, docs, id_col, text_col, block_bytes)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _decided(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """``identities`` with ``keep_id``, ``group_size`` and ``kept``.  The sizes
+    and survivors are pre-aggregated and written, so AQE can split the rows of
+    a large group when they are joined back."""
+    ids = materialize(spark, found, "block-identities")
     groups = materialize(
         spark, ids.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")),
         "block-groups")
     return ids.join(groups, ["level", "name"]).select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+        "*", F.col("keep.doc_id").alias("keep_id"), (F.col("row") == F.col("keep.row")).alias("kept"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with their own
+    columns, whatever their names."""
+    rows = tagged(spark, docs)
+    found = identities(spark, rows.select("tag", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text")),
+                       "id", "text", tag=F.col("tag"))
+    return only_tags(rows, _decided(spark, found).filter("kept").select("tag"))

@@ -5,11 +5,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, chat, exact_dedup, html_text, licenses, packing, quality_model, quality_rules, secret_scan, simhash
+from .common import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: The conversation that shows that control strings in texts survive: -1.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,22 +24,64 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _documents(spark, sf_dir), shingle_words=3, max_distance=2)
 
 
+def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_documents(spark, sf_dir))
+
+
+def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(spark, _documents(spark, sf_dir))
+
+
+def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = quality_rules.counts(_documents(spark, sf_dir).select("doc_id", "text"))
+    counted = materialize(spark, counted.withColumn("doc", F.struct("doc.doc_id")), "quality-counts")
+    out = quality_rules.judged(counted, quality_rules.fit(counted))
+    return out.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      "p_sound")
+
+
 def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), TOKENIZER)
 
 
+def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    return chat.digests(chat.format_examples(turns.unionAll(control)))
+
+
+def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.graded(docs, quality_model.fit(docs, labels, grade_of_labels(), grades=3), select=2)
+
+
+def grade_of_labels():
+    """0: poor text; 1: sound but toxic; 2: sound and clean."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+
+
 def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _documents(spark, sf_dir), TOKENIZER, capacity=2048)
 
 
+def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, _documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_simhash_near_dedup": q_op1,
+    "op2_license_scan": q_op2,
+    "op3_secret_scan": q_op3,
+    "op4_quality_rules": q_op4,
     "op5_bpe_round_trip": q_op5,
+    "op6_chat_formatting": q_op6,
+    "op7_quality_classifier": q_op7,
     "op8_best_fit_packing": q_op8,
+    "op9_html_extraction": q_op9,
     "op10_exact_dedup": q_op10,
 }
 

@@ -24,10 +24,10 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize, only_tags, tagged, whole_text
 from .components import connected_components
 
 SEED = 42
@@ -67,19 +67,21 @@ def fingerprint(data: bytes | None, shingle_words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs``; ``fp`` is the 64-bit value
-    as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                 tag: Column | None = None) -> DataFrame:
+    """``(doc_id, tag, fp)`` for every row of ``docs``; ``fp`` is the 64-bit
+    value as a signed long, ``tag`` is passed through."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("data"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(None) if tag is None else tag).cast("string").alias("tag"),
+                       whole_text(text_col).cast("binary").alias("data"))
+    return rows.mapInArrow(run, "doc_id long, tag string, fp long")
 
 
 def anchor_masks(radius: int) -> list[np.ndarray]:
@@ -179,6 +181,19 @@ def links(spark: SparkSession, fps: DataFrame, max_distance: int) -> DataFrame:
     return near.mapInArrow(run, "u long, v long").distinct()
 
 
+def _classes(spark: SparkSession, own: DataFrame, max_distance: int) -> DataFrame:
+    """``(fp, root, component_id)`` of the distinct fingerprints of ``own``,
+    the written ``fingerprints``; ``root`` is the component's smallest one."""
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = materialize(
+        spark, connected_components(spark, links(spark, least.select("fp"), max_distance))
+        .withColumnRenamed("node", "fp"), "simhash-roots")
+    grouped = materialize(
+        spark, least.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-grouped")
+    components = materialize(spark, grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-components")
+    return materialize(spark, grouped.join(components, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
@@ -190,14 +205,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     columns of ``docs`` are not read, so their names cannot clash.
     """
     own = materialize(spark, fingerprints(docs, id_col, text_col, shingle_words), "simhash-fp")
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = materialize(
-        spark, connected_components(spark, links(spark, least.select("fp"), max_distance))
-        .withColumnRenamed("node", "fp"), "simhash-roots")
-    grouped = least.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    components = materialize(spark, grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-components")
-    classes = materialize(
-        spark, materialize(spark, grouped, "simhash-grouped").join(components, "root").select("fp", "component_id"),
-        "simhash-classes")
-    return own.join(classes, "fp").select(
+    return own.join(_classes(spark, own, max_distance), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                 max_distance: int = 2) -> DataFrame:
+    """One row of ``docs`` per component of ``near_duplicates``, with its own
+    columns: the one with the smallest id (null ids last; of rows that share
+    it, the first in the table's files)."""
+    rows = tagged(spark, docs)
+    plain = rows.select("tag", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    own = materialize(spark, fingerprints(plain, "id", "text", shingle_words, F.col("tag")), "simhash-fp")
+    # Per fingerprint first: copies are pre-aggregated before they meet their component.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("keep")
+    kept = (own.groupBy("fp").agg(first).join(_classes(spark, own, max_distance), "fp")
+            .groupBy("root").agg(F.min("keep").alias("keep")))
+    return only_tags(rows, kept.select("keep.tag"))
