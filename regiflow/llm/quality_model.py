@@ -5,19 +5,20 @@ ordered thresholds turn it into grades: P(grade <= k) = sigmoid(theta_k - score)
 The fitted model gives the expected grade and the tail probability
 P(grade >= select), by which texts are selected.
 
-Features: the set of lower-cased words, and shape features (symbols,
-exclamations, capitals, repeated words, length) by the size of their share.
-They are hashed into 2 ** BITS weights.
+Features: the set of lower-cased words and of their beginnings (``PREFIXES``
+letters), and shape features (symbols, exclamations, capitals, repeated words,
+length) by the size of their share.  They are hashed into 2 ** BITS weights.
 
 The model is fitted on the driver from a bounded sample: at most ``max_labels``
 rated rows, the ones with the smallest hash of their id, as hashed feature
-lists.  Scoring is one pass over all texts; the weights (4 bytes each, 1 MB)
+lists.  Scoring is one pass over all texts; the weights (4 bytes each, 4 MB)
 go with the tasks.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-BITS = 18
-MAX_LABELS = 20_000
+BITS = 20
+PREFIXES = (5, 7)
+MAX_LABELS = 12_000
 CACHE_PIECES = 300_000
 _EDGES = (0.0, 0.02, 0.1, 0.3)           # shares that part the buckets of a shape feature
 _STRIP = b"".join(bytes([b]) for b in range(128) if not chr(b).isalnum())
@@ -39,45 +41,52 @@ def hashed(name: bytes) -> int:
     return zlib.crc32(name) & ((1 << BITS) - 1)
 
 
-def _piece(piece: bytes) -> tuple[int, int]:
-    """A white-space piece as (hashed word or -1, shape bits: symbol,
-    exclamation, capitals)."""
+def _piece(piece: bytes) -> tuple[tuple[int, ...], int]:
+    """A white-space piece as (its hashed word and prefixes, shape bits:
+    symbol, exclamation, capitals)."""
     text = piece.decode("utf-8")
     core = piece.strip(_STRIP).decode("utf-8")
     shape = any(c in "#*$%&|<>" for c in text) | ("!!" in text) << 1 | (len(core) > 1 and core.isupper()) << 2
-    return (hashed(b"w" + core.lower().encode()) if core else -1), int(shape)
+    low = core.lower()
+    names = [b"w" + low.encode()] if low else []
+    names += [b"p" + low[:n].encode() for n in PREFIXES if len(low) > n]
+    return tuple(map(hashed, names)), int(shape)
 
 
 class Features:
-    """Feature numbers of a text, with a bounded cache of pieces."""
-
-    def __init__(self, limit: int = CACHE_PIECES):
-        self.cache: dict[bytes, tuple[int, int]] = {}
-        self.limit = limit
+    """Feature numbers of a text, sorted, with a bounded cache of pieces.
+    With ``use`` (a mask) only the features in it are given."""
+
+    def __init__(self, use: np.ndarray | None = None, limit: int = CACHE_PIECES):
+        self.cache: dict[bytes, tuple[tuple[int, ...], int]] = {}
+        self.limit, self.use = limit, use
+
+    def _known(self, piece: bytes) -> tuple[tuple[int, ...], int]:
+        if len(self.cache) >= self.limit:
+            self.cache.clear()
+        names, shape = _piece(piece)
+        if self.use is not None:
+            names = tuple(n for n in names if self.use[n])
+        self.cache[piece] = names, shape
+        return names, shape
 
     def __call__(self, data: bytes) -> np.ndarray:
         pieces = data.split()
-        counts: dict[bytes, int] = {}
-        for p in pieces:
-            counts[p] = counts.get(p, 0) + 1
-        cache, words, shapes = self.cache, set(), [0, 0, 0]
+        counts = Counter(pieces)
+        cache, found, shapes = self.cache, set(), [0, 0, 0]
         for p, n in counts.items():
-            known = cache.get(p)
-            if known is None:
-                if len(cache) >= self.limit:
-                    cache.clear()
-                known = cache[p] = _piece(p)
-            words.add(known[0])
-            if s := known[1]:
+            names, shape = cache.get(p) or self._known(p)
+            if names:
+                found.update(names)
+            if shape:
                 for k in range(3):
-                    shapes[k] += n * (s >> k & 1)
-        words.discard(-1)
+                    shapes[k] += n * (shape >> k & 1)
         total = max(1, len(pieces))
         shares = [x / total for x in shapes] + [1 - len(counts) / total if len(pieces) < 2000 else 0.0]
-        for k, share in enumerate(shares):
-            words.add(hashed(b"s%d:%d" % (k, sum(share > e for e in _EDGES))))
-        words.add(hashed(b"n%d" % len(pieces).bit_length()))
-        return np.fromiter(sorted(words), np.int32, len(words))
+        own = [b"s%d:%d" % (k, sum(share > e for e in _EDGES)) for k, share in enumerate(shares)]
+        own.append(b"n%d" % len(pieces).bit_length())
+        found.update(f for f in map(hashed, own) if self.use is None or self.use[f])
+        return np.fromiter(sorted(found), np.int32, len(found))
 
 
 def _sigmoid(x):
@@ -97,13 +106,29 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def train(rows: Iterable[tuple[np.ndarray, int]], grades: int, epochs: int = 4, rate: float = 0.15, l1: float = 0.5,
-          l2: float = 1.0, seed: int = 7) -> OrdinalModel:
-    """Maximum likelihood by FTRL-proximal steps (rare words get no weight),
-    the thresholds by gradient steps on their gaps.  Rows are taken in a fixed
-    shuffled order, so equal input gives an equal model.  Without rows the
-    weights are 0 and the thresholds evenly spaced."""
-    rows = list(rows)
+def telling(rows: list[tuple[np.ndarray, int]], least_z: float, least_rows: int = 4) -> np.ndarray:
+    """Mask of the features whose rows' mean grade lies ``least_z`` standard
+    errors or more off the overall mean.  Most words of a text tell nothing
+    about its grade; without weights they cannot drown those that do."""
+    n, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for idx, grade in rows:
+        n[idx] += 1
+        total[idx] += grade
+    grades = np.array([g for _, g in rows] or [0], float)
+    off = np.abs(total - n * grades.mean()) / np.sqrt(np.maximum(n, 1)) / max(grades.std(), 1e-9)
+    return (n >= least_rows) & (off >= least_z)
+
+
+def train(rows: Iterable[tuple[np.ndarray, int]], grades: int, epochs: int = 8, rate: float = 0.5, l1: float = 1.0,
+          l2: float = 0.1, least_z: float = 4.0, seed: int = 7) -> OrdinalModel:
+    """Maximum likelihood by FTRL-proximal steps over the ``telling``
+    features, the thresholds by gradient steps on their gaps.  Rows with equal
+    features and grade count once; rows are taken in a fixed shuffled order,
+    so equal input gives an equal model.  Without rows the weights are 0 and
+    the thresholds evenly spaced."""
+    rows = list({(f.tobytes(), g): (f, g) for f, g in rows}.values())
+    use = telling(rows, least_z)
+    rows = [(f[use[f]], g) for f, g in rows]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     first, gaps = -1.0, np.zeros(max(0, grades - 2))     # theta_0 and the logs of the gaps
     order = np.random.default_rng(seed)
@@ -163,8 +188,10 @@ def rated_features(docs: DataFrame, ratings: DataFrame, grade: Column, max_label
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("data"))
     found = (texts.join(F.broadcast(sample), "doc_id")          # at most max_labels rows of two numbers
              .select("doc_id", "grade", "data").mapInArrow(run, "doc_id long, grade int, features array<int>"))
-    rows = found.orderBy("doc_id").toArrow()
-    return [(d, np.array(f, np.int32), g) for d, g, f in zip(*(rows[c].to_pylist() for c in ("doc_id", "grade", "features")))]
+    rows = found.orderBy("doc_id").toArrow().combine_chunks()
+    lists = rows["features"].chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [(d, values[a:b], g) for d, g, a, b in zip(rows["doc_id"].to_pylist(), rows["grade"].to_pylist(), cuts, cuts[1:])]
 
 
 def held_out(doc_id: int) -> bool:
@@ -190,7 +217,7 @@ def graded(docs: DataFrame, model: OrdinalModel, select: int, threshold: float =
     """
 
     def run(batches):
-        features = Features()
+        features = Features(model.weights != 0)
         for batch in batches:
             scores = np.array([model.score(features(t.as_py())) for t in batch.column(1)])
             tails = model.tails(scores)
