@@ -6,8 +6,8 @@ The fitted model gives the expected grade and the tail probability
 P(grade >= select), by which texts are selected.
 
 Features: the set of lower-cased words and of their beginnings (``PREFIXES``
-letters), and shape features (symbols, exclamations, capitals, repeated words,
-length) by the size of their share.  They are hashed into 2 ** BITS weights.
+letters), and shape features (symbols, exclamations, capitals, repeated runs of
+three words) for every bound that their share exceeds.  They are hashed into 2 ** BITS weights.
 
 The model is fitted on the driver from a bounded sample: at most ``max_labels``
 rated rows, the ones with the smallest hash of their id, as hashed feature
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 BITS = 20
-PREFIXES = (5, 7)
-MAX_LABELS = 12_000
+PREFIXES = (4, 5, 6, 7)
+MAX_LABELS = 10_000
 CACHE_PIECES = 300_000
-_EDGES = (0.0, 0.02, 0.1, 0.3)           # shares that part the buckets of a shape feature
+_EDGES = (0.01, 0.03, 0.1, 0.3)          # a shape feature is set for each of these shares that it exceeds
 _STRIP = b"".join(bytes([b]) for b in range(128) if not chr(b).isalnum())
 
 
@@ -82,9 +82,9 @@ class Features:
                 for k in range(3):
                     shapes[k] += n * (shape >> k & 1)
         total = max(1, len(pieces))
-        shares = [x / total for x in shapes] + [1 - len(counts) / total if len(pieces) < 2000 else 0.0]
-        own = [b"s%d:%d" % (k, sum(share > e for e in _EDGES)) for k, share in enumerate(shares)]
-        own.append(b"n%d" % len(pieces).bit_length())
+        runs = len(pieces) - 2
+        shares = [x / total for x in shapes] + [1 - len(set(zip(pieces, pieces[1:], pieces[2:]))) / runs if runs > 0 else 0.0]
+        own = [b"s%d:%d" % (k, j) for k, share in enumerate(shares) for j, edge in enumerate(_EDGES) if share > edge]
         found.update(f for f in map(hashed, own) if self.use is None or self.use[f])
         return np.fromiter(sorted(found), np.int32, len(found))
 
@@ -106,17 +106,21 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def telling(rows: list[tuple[np.ndarray, int]], least_z: float, least_rows: int = 4) -> np.ndarray:
+def telling(rows: list[tuple[np.ndarray, int]], least_z: float, least_rows: int = 4, most_share: float = 0.1) -> np.ndarray:
     """Mask of the features whose rows' mean grade lies ``least_z`` standard
-    errors or more off the overall mean.  Most words of a text tell nothing
-    about its grade; without weights they cannot drown those that do."""
+    errors or more below the overall mean, without the words of more than
+    ``most_share`` of the rows (they only mirror a text's language).  Most
+    words of a text tell nothing about its grade, and none makes up for an
+    insult or for junk: without weights they cannot drown those that tell."""
     n, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for idx, grade in rows:
         n[idx] += 1
         total[idx] += grade
     grades = np.array([g for _, g in rows] or [0], float)
-    off = np.abs(total - n * grades.mean()) / np.sqrt(np.maximum(n, 1)) / max(grades.std(), 1e-9)
-    return (n >= least_rows) & (off >= least_z)
+    below = (n * grades.mean() - total) / np.sqrt(np.maximum(n, 1)) / max(grades.std(), 1e-9)
+    shape = np.zeros(1 << BITS, bool)
+    shape[[hashed(b"s%d:%d" % (k, b)) for k in range(4) for b in range(len(_EDGES))]] = True
+    return (n >= least_rows) & (below >= least_z) & (shape | (n <= most_share * len(rows)))
 
 
 def train(rows: Iterable[tuple[np.ndarray, int]], grades: int, epochs: int = 8, rate: float = 0.5, l1: float = 1.0,
@@ -138,7 +142,7 @@ def train(rows: Iterable[tuple[np.ndarray, int]], grades: int, epochs: int = 8,
 
     def weight(idx):
         zi, ni = z[idx], n[idx]
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(ni)) / rate + l2))
+        return np.where(zi <= l1, 0.0, -(zi - l1) / ((1.0 + np.sqrt(ni)) / rate + l2))      # never above 0
 
     steps = 0
     for _ in range(epochs):
