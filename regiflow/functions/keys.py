@@ -3,25 +3,25 @@
 * ``zfill`` never cuts a longer key (``lpad`` would) and keeps a sign first.
 * The document key is SHA-256 of the normalised concatenation of company,
   type, name, date from and date to, with no separator.  Normalising is
-  NFKD -> strip -> lower -> NBSP to space, all in the JVM:
+  NFKD -> strip -> lower -> NBSP to space:
 
-  - NFKD is ICU's compatibility decomposition (ICU ships with Spark 4 for
-    collations), called through ``java_method``;
+  - NFKD is Python's ``unicodedata`` in an Arrow function that gets null for
+    ASCII rows (where NFKD is the identity).  It is deterministic, so filters
+    pass below a key column; Spark's reflection functions are not;
   - strip is ``btrim`` with Python's whitespace set (``str.isspace``), which
     only looks at the two ends of the text - a regex would scan all of it;
-  - ASCII rows (where NFKD is the identity) skip the ICU call.
-
-  Spark's ICU knows Unicode 16 and Python 3.13 knows 15.1: the two differ
-  only on characters new in Unicode 16 (checked over every code point up to
-  U+2FFFF), none of which occur in register data.
+  - the rest is built-in.
 """
 
 from __future__ import annotations
 
 import sys
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regiflow import constants as K
 
@@ -29,7 +29,6 @@ from regiflow import constants as K
 # str.isspace() holds; built from that rule, ASCII subset apart.
 PY_WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
 ASCII_WHITESPACE = "".join(ch for ch in PY_WHITESPACE if ord(ch) < 128)
-ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def zfill(c: Column, width: int = K.KRS_LENGTH) -> Column:
@@ -49,8 +48,12 @@ def is_ascii(c: Column) -> Column:
 
 def nfkd(c: Column) -> Column:
     """Unicode NFKD of a text column (null stays null)."""
-    decomposed = F.java_method(F.lit(ICU_NORMALIZER), F.lit("decompose"), c, F.lit(True))
-    return F.when(c.isNotNull(), decomposed)
+    return _nfkd(c)
+
+
+@F.pandas_udf(T.StringType())
+def _nfkd(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
 def ascii_normalize(c: Column) -> Column:
@@ -60,8 +63,10 @@ def ascii_normalize(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """NFKD, strip, lower, NBSP to space - on any text, in the JVM."""
-    full = F.replace(F.lower(F.btrim(nfkd(c), F.lit(PY_WHITESPACE))), F.lit("\xa0"), F.lit(" "))
+    """NFKD, strip, lower, NBSP to space - on any text; only texts that
+    are not ASCII go through Python."""
+    wide = nfkd(F.when(~is_ascii(c), c))
+    full = F.replace(F.lower(F.btrim(wide, F.lit(PY_WHITESPACE))), F.lit("\xa0"), F.lit(" "))
     return F.when(is_ascii(c), ascii_normalize(c)).otherwise(full)
 
 

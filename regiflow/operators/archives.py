@@ -28,18 +28,25 @@ ZIP_TIME = (1980, 1, 1, 0, 0, 0)
 
 def manifest(docs: DataFrame, krs: str = "krs_number", save_name: str = "document_content_save_name",
              content: str = "document_content") -> DataFrame:
-    """Entry name and size of every requested document."""
+    """Entry name and size of every requested document; the size is the
+    record's ``n_bytes`` where it is stored, so no content is read."""
+    size = F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length(F.col(content))
     return docs.select(
         krs, "hash_id",
         archive_entry_name(F.col(krs), F.col(save_name)).alias("entry_name"),
-        F.octet_length(F.col(content)).cast("bigint").alias("n_bytes"),
+        size.cast("bigint").alias("n_bytes"),
     )
 
 
 def assign_parts(docs: DataFrame, krs: str = "krs_number", content: str = "document_content",
                  part_bytes: int = DEFAULT_PART_BYTES) -> DataFrame:
-    """Salt each company's documents into ``n_parts`` bounded parts."""
-    sizes = (docs.select(krs, F.octet_length(F.col(content)).alias("_b"))
+    """Salt each company's documents into ``n_parts`` bounded parts.
+
+    The sizes are one row per company (``n_bytes`` of the records, or the
+    content's length).  They are joined by AQE's choice; a company's rows are
+    spread by ``build_archives`` right after."""
+    size = F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length(F.col(content))
+    sizes = (docs.select(krs, size.alias("_b"))
                  .groupBy(krs).agg(F.sum("_b").alias("_company_bytes")))
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("_company_bytes") / F.lit(part_bytes))).cast("int")
     sized = sizes.select(krs, n_parts.alias("n_parts"))
@@ -47,6 +54,16 @@ def assign_parts(docs: DataFrame, krs: str = "krs_number", content: str = "docum
                 .withColumn("part", F.pmod(F.xxhash64("hash_id"), F.col("n_parts")).cast("int")))
 
 
+def build_from_store(records: DataFrame, contents: DataFrame, krs: str = "krs_number",
+                     save_name: str = "document_content_save_name", content: str = "document_content",
+                     part_bytes: int = DEFAULT_PART_BYTES) -> DataFrame:
+    """S10 over records that carry ``n_bytes``: parts are assigned on the
+    narrow records, and only then the contents are joined by ``hash_id``, so
+    contents are read once."""
+    parted = assign_parts(records.select(krs, "hash_id", save_name, "n_bytes"), krs, content, part_bytes)
+    return _zipped(parted.join(contents.select("hash_id", content), "hash_id"), krs, save_name, content)
+
+
 def _zip_group(pdf: pd.DataFrame) -> pd.DataFrame:
     buf = io.BytesIO()
     pdf = pdf.sort_values("entry_name", kind="stable")
@@ -72,7 +89,11 @@ def build_archives(docs: DataFrame, krs: str = "krs_number",
                    content: str = "document_content",
                    part_bytes: int = DEFAULT_PART_BYTES) -> DataFrame:
     """One deflated zip per (company, part)."""
-    parted = assign_parts(docs, krs, content, part_bytes).select(
+    return _zipped(assign_parts(docs, krs, content, part_bytes), krs, save_name, content)
+
+
+def _zipped(parted: DataFrame, krs: str, save_name: str, content: str) -> DataFrame:
+    parted = parted.select(
         F.col(krs).alias("krs_number"), "part", "n_parts", "hash_id",
         archive_entry_name(F.col(krs), F.col(save_name)).alias("entry_name"),
         F.col(content).alias("document_content"),

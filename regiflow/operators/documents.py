@@ -1,8 +1,8 @@
 """Documents: new/known/missing by content key, insert-if-absent, the pending
 work list, per-company listings and counts.
 
-Joins are written as plain equi-joins on ``hash_id`` (a 64-character key);
-the bytes never enter a shuffle.  No side is broadcast by hand: a request list
+Joins are written as plain equi-joins on ``hash_id`` (a 64-character key)
+over narrow rows; contents are joined by the callers that need them.  No side is broadcast by hand: a request list
 or a stored-hash table has no size bound in the code, so AQE decides from the
 measured size at run time.
 """
@@ -97,28 +97,29 @@ def available_listing(stored: DataFrame) -> DataFrame:
     )
 
 
-def nested_listing(stored: DataFrame, max_per_company: int) -> DataFrame:
-    """A4: the listing of each company nested in one row.
+def nested_listing(stored: DataFrame, entries_per_chunk: int) -> DataFrame:
+    """A4: the listing of each company nested in rows of about
+    ``entries_per_chunk`` entries: ``(krs_number, chunk, n_chunks, entries,
+    document_list)``, ``entries`` counting the company's whole listing.
 
-    One row holds all of a company's entries, so the caller states the bound
-    of a listing.  Entries are counted first (a partial aggregate) and only
-    companies within the bound are collected; a company over it gets no list
-    and ``too_large`` - its entries stay available from the flat
-    ``available_listing``, nothing is dropped or cut."""
+    The number of chunks comes from a partial count; an entry's chunk is its
+    key's first eight hex digits modulo that number.  So every entry is in one
+    list, however many a company has, and no task collects a company whole."""
     flat = available_listing(stored)
     counts = flat.groupBy("krs_number").agg(F.count(F.lit(1)).alias("entries"))
-    small = counts.filter(F.col("entries") <= max_per_company)
-    entries = F.struct("document_name", "document_date_from", "document_date_to",
-                       "document_hash_id")
-    lists = (flat.join(small.select("krs_number"), "krs_number", "left_semi")
-                 .groupBy("krs_number").agg(F.sort_array(F.collect_list(entries)).alias("document_list")))
-    return (counts.join(lists, "krs_number", "left")
-                  .withColumn("too_large", F.col("entries") > max_per_company))
+    chunks = counts.withColumn("n_chunks", F.ceil(F.col("entries") / F.lit(entries_per_chunk)).cast("long"))
+    spread = flat.join(chunks, "krs_number").withColumn(
+        "chunk", F.conv(F.substring("document_hash_id", 1, 8), 16, 10).cast("long") % F.col("n_chunks"))
+    entry = F.struct("document_name", "document_date_from", "document_date_to", "document_hash_id")
+    return (spread.groupBy("krs_number", "chunk")
+                  .agg(F.first("n_chunks").alias("n_chunks"), F.first("entries").alias("entries"),
+                       F.sort_array(F.collect_list(entry)).alias("document_list")))
 
 
 def document_record(rows: DataFrame, created_at=None) -> DataFrame:
     """A fetched listing row as a stored document record (the
-    source's row id is dropped; timestamps default to now)."""
+    source's row id is dropped; timestamps default to now, which a retried
+    task writes anew - pass ``created_at`` for rows that a rerun repeats)."""
     ts = F.current_timestamp() if created_at is None else F.lit(created_at)
     ts = ts.cast("timestamp_ntz")
     return rows.select(
@@ -132,6 +133,7 @@ def document_record(rows: DataFrame, created_at=None) -> DataFrame:
         "document_status",
         "document_content_save_name",
         "document_content_file_extension",
+        *(["n_bytes"] if "n_bytes" in rows.columns else []),
         ts.alias("record_created_at"),
         ts.alias("record_updated_at"),
     )

@@ -12,6 +12,8 @@ built-in Spark.
 
 from __future__ import annotations
 
+import html
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
@@ -25,8 +27,11 @@ from regiflow import constants as K
 from regiflow.functions import keys
 from regiflow.functions.text import html_title, pages_count
 
+_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
+
 PARSED_FIELDS = T.StructType([
     T.StructField("malformed", T.BooleanType()),
+    T.StructField("title", T.StringType()),
     T.StructField("has_listing", T.BooleanType()),
     T.StructField("message_text", T.StringType()),
     T.StructField("viewroot_text", T.StringType()),
@@ -137,13 +142,16 @@ def parse_partial_response(body: str | None, keep_updates: bool = False) -> dict
     """Structure of one landed page (see ``PARSED_FIELDS``); with
     ``keep_updates`` also every update block's text by id (first of each
     id), for P8 lookups."""
-    out = {"malformed": False, "has_listing": False, "message_text": None,
+    out = {"malformed": False, "title": None, "has_listing": False, "message_text": None,
            "viewroot_text": None, "pager_text": None, "rows": None}
     if keep_updates:
         out["updates"] = None
     if body is None:
         out["malformed"] = True
         return out
+    title = _TITLE.search(body)
+    if title:
+        out["title"] = html.unescape(title.group(1)) or None
     try:
         root = ET.fromstring(body)
     except ET.ParseError:
@@ -197,9 +205,12 @@ def parse_pages(pages: DataFrame, body: str = "body", keep: Sequence[str] = ("re
 
 
 MIN_CELLS = 5   # a listing row has at least the five key parts
+_KEY_PARTS = ("document_type", "document_name", "document_from", "document_to")
 
 
-def _data_rows(min_cells: int) -> Column:
+def _data_rows(min_cells: int = 1) -> Column:
+    """Table rows with at least ``min_cells`` cells; a row without any ``td``
+    is a header."""
     return F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) >= min_cells)
 
 
@@ -215,8 +226,8 @@ def diagnose(checks: Sequence[tuple[str, Column]], default: str = "ok") -> Colum
 def register_page_checks(parsed_title: Column | None = None,
                          listing: bool = True) -> list[tuple[str, Column]]:
     """F8/F9 for register pages, in precedence order.  Each marker is looked
-    for only in its own scope: the page title (equality), the first message
-    update, the view-root update.  A missing scope never flags.  With
+    for only in its own scope: the page title (equality; ``parse_pages`` gives
+    it as ``title``), the first message update, the view-root update.  A missing scope never flags.  With
     ``listing`` (answers to listing requests) a missing listing block or an
     empty table is flagged after the markers."""
     checks = []
@@ -233,7 +244,7 @@ def register_page_checks(parsed_title: Column | None = None,
         # row, is an error upstream (not an empty listing)
         checks += [
             ("no_listing", ~F.col("has_listing")),
-            ("no_table", F.size(_data_rows(MIN_CELLS)) == 0),
+            ("no_table", F.size(_data_rows()) == 0),
         ]
     return checks
 
@@ -249,23 +260,44 @@ def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
     """P6+P11: one row per table row of a parsed listing page, cells zipped to
     the listing's column names (longer rows cut), with the content key.
 
-    Rows with fewer than ``min_cells`` cells (header rows) have no key parts;
-    they are not listing rows and are skipped (``skipped_rows`` counts them).
-    ``position`` counts listing rows only, from 1, so ``(page - 1) * 10 +
-    position`` is the row's index in the whole listing."""
-    keep = list(keep)
-    data = _data_rows(min_cells)
-    rows = parsed.select(*keep, krs, page, F.posexplode(data).alias("_pos", "_cells"))
-    cell = lambda i: F.try_element_at(F.col("_cells"), F.lit(i + 1))
-    named = rows.select(
-        *keep, krs, page, (F.col("_pos") + 1).alias("position"),
-        *[cell(i).alias(name) for i, name in enumerate(K.LISTING_COLUMNS)],
-    )
+    ``position`` counts the rows with at least ``min_cells`` cells from 1, so
+    ``(page - 1) * 10 + position`` is the row's index in the whole listing.
+    Rows without cells are headers; rows with fewer cells than the key needs,
+    or without one of its parts, are in ``listing_quarantine``."""
+    named = _named_rows(parsed, krs, page, min_cells, keep).filter(_row_reason(krs).isNull())
     return named.withColumn("document_hash_id", keys.document_key(
         F.col(krs), F.col("document_type"), F.col("document_name"),
         F.col("document_from"), F.col("document_to")))
 
 
+def _named_rows(parsed: DataFrame, krs: str, page: str, min_cells: int, keep: Sequence[str]) -> DataFrame:
+    rows = parsed.select(*keep, krs, page, F.posexplode(_data_rows(min_cells)).alias("_pos", "_cells"))
+    cell = lambda i: F.try_element_at(F.col("_cells"), F.lit(i + 1))
+    return rows.select(
+        *keep, krs, page, (F.col("_pos") + 1).alias("position"),
+        *[cell(i).alias(name) for i, name in enumerate(K.LISTING_COLUMNS)])
+
+
+def _row_reason(krs: str) -> Column:
+    return keys.document_key_reason(*[F.col(c) for c in (krs, *_KEY_PARTS)])
+
+
+def listing_quarantine(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
+                       min_cells: int = MIN_CELLS, keep: Sequence[str] = ()) -> DataFrame:
+    """The data rows of a parsed page that are no listing rows: ``(krs_number,
+    page, position, n_cells, cells, reason)`` with reason ``few_cells`` or
+    ``null_part``.  ``position`` counts all rows with cells, from 1.  Rows with
+    cells are exactly ``listing_rows`` plus these."""
+    keep = list(keep)
+    every = parsed.select(*keep, krs, page, F.posexplode(_data_rows()).alias("_pos", "cells"))
+    cell = lambda name: F.try_element_at(F.col("cells"), F.lit(K.LISTING_COLUMNS.index(name) + 1))
+    reason = (F.when(F.size("cells") < min_cells, F.lit("few_cells"))
+              .otherwise(keys.document_key_reason(F.col(krs), *map(cell, _KEY_PARTS))))
+    return (every.select(*keep, krs, page, (F.col("_pos") + 1).alias("position"), F.size("cells").alias("n_cells"), "cells",
+                         reason.alias("reason"))
+            .filter(F.col("reason").isNotNull()))
+
+
 def skipped_rows(min_cells: int = MIN_CELLS) -> Column:
     """Rows of a parsed page that are not listing rows (too few cells)."""
     return F.size(F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) < min_cells))

@@ -57,14 +57,15 @@ def _join_top(df: DataFrame, keys: list[str], order: Sequence[str], how: str, ex
     t = _top(df, keys, order)
     cond = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     if exact:
-        cond += [F.col(c) == F.col(f"_max_{c}") for c in order]
+        cond += [F.col(c).eqNullSafe(F.col(f"_max_{c}")) for c in order]
     return df.join(t, cond, how)
 
 
 def mark_current(df: DataFrame, key, order: Sequence[str], flag: str = "is_current") -> DataFrame:
     """Every row kept; ``flag`` is true for exactly the row with the
-    greatest ``order`` tuple of its key (order columns should end with a
-    unique id so that ties cannot give two current rows)."""
+    greatest ``order`` tuple of its key (order columns end with a unique id;
+    a history that may hold one version twice goes through
+    ``unique_versions`` first, or both copies would be flagged)."""
     keys = _as_list(key)
     is_top = None
     for c in order:
@@ -76,8 +77,24 @@ def mark_current(df: DataFrame, key, order: Sequence[str], flag: str = "is_curre
 
 def current_rows(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
     """The current row of every key (a semi-join on the key and the
-    order tuple, so no window and no per-key sort)."""
-    return _join_top(df, _as_list(key), order, "left_semi", exact=True)
+    null-safe order tuple, so no window and no per-key sort).  Always one row
+    per key: copies of the current version are reduced after the semi-join,
+    when about one row per key is left."""
+    keys = _as_list(key)
+    return _join_top(df, keys, order, "left_semi", exact=True).dropDuplicates(keys)
+
+
+def unique_versions(df: DataFrame, key="krs_number", id_col: str = "id") -> DataFrame:
+    """One row per (key, id) of a history that is delivered at least once."""
+    return df.dropDuplicates([*_as_list(key), id_col])
+
+
+def unseen_versions(new: DataFrame, stored: DataFrame, key: str = "krs_number", id_col: str = "id") -> DataFrame:
+    """Versions to append so that (key, id) stays unique: each new one once,
+    and none that is stored.  Appending the result and running again appends
+    nothing."""
+    fresh = unique_versions(new, key, id_col)
+    return fresh.join(stored.select(key, id_col), [key, id_col], "left_anti")
 
 
 def refresh_current(snapshot: DataFrame, new_versions: DataFrame, key="krs_number",

@@ -8,6 +8,8 @@ the caller.  These are independent formulations (windows, ``QUALIFY``,
 
 from __future__ import annotations
 
+import unicodedata
+
 
 def _zfill(expr: str) -> str:
     return f"(CASE WHEN length({expr}) < 10 THEN lpad({expr}, 10, '0') ELSE {expr} END)"
@@ -125,7 +127,114 @@ _DAY_REASON = (
     + "WHEN CAST(hour_from AS INTEGER) >= CAST(hour_to AS INTEGER) THEN 'hour_order' END"
 )
 
+def _nfkd(expr: str) -> str:
+    """NFKD of Latin text as nested ``replace``: every letter of Latin-1 and
+    Latin Extended-A that decomposes (tests check that the data has no
+    others)."""
+    for point in range(0xA0, 0x180):
+        parts = unicodedata.normalize("NFKD", chr(point))
+        if parts != chr(point):
+            expr = f"replace({expr}, chr({point}), " + " || ".join(f"chr({ord(c)})" for c in parts) + ")"
+    return expr
+
+
+# The stand-in listing: ten orders of a customer a page, and what each page is.
+_PAGED = f"""
+    SELECT *, (rn - 1) // 10 + 1 AS page, (n - 1) // 10 + 1 AS num_pages,
+           {_zfill('CAST(o_custkey AS VARCHAR)')} AS krs_number
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
+                 count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+"""
+_PAGE_KINDS = f"""
+    SELECT DISTINCT krs_number, CAST(page AS INTEGER) AS page, CAST(num_pages AS INTEGER) AS num_pages,
+           CASE WHEN k % 13 = 2 THEN 'maintenance' WHEN k % 17 = 3 THEN 'malformed' WHEN k % 11 = 0 THEN 'throttled'
+                WHEN k % 11 = 1 THEN 'cannot_display' WHEN k % 19 = 4 THEN 'no_documents' ELSE 'ok' END AS diagnosis
+    FROM (SELECT *, o_custkey * 31 + page AS k FROM ({_PAGED}))
+"""
+_OK_ROWS = f"""
+    SELECT r.*, o_orderkey % 23 = 0 AS short, o_orderkey % 29 = 0 AS no_name
+    FROM ({_PAGED}) r JOIN ({_PAGE_KINDS}) p ON p.krs_number = r.krs_number AND p.page = r.page
+    WHERE p.diagnosis = 'ok'
+"""
+
+_CHANGES = f"""
+    SELECT {_KRS_USER} AS key,
+           CASE WHEN event_type = 'error' THEN 'tombstone' WHEN event_type = 'view' THEN 'op_u'
+                WHEN event_id % 5 = 0 THEN 'bad_time' ELSE 'version' END AS outcome
+    FROM events
+"""
+
 SQL: dict[str, str] = {
+    "document_content_keys": f"""
+        SELECT doc_id, strlen(text) = length(text) AS ascii,
+               sha256(lower(trim({_nfkd("source || lang || text")}, ' ' || chr(9) || chr(10) || chr(13)))) AS document_hash_id
+        FROM documents
+    """,
+    "document_listing_chunks": f"""
+        WITH d AS (SELECT krs_number, hash_id, count(*) OVER (PARTITION BY krs_number) AS entries FROM ({_STORED_H})),
+        c AS (SELECT *, CAST(ceil(entries / 8) AS BIGINT) AS n_chunks FROM d)
+        SELECT krs_number, CAST(('0x' || substr(hash_id, 1, 8))::BIGINT % n_chunks AS BIGINT) AS chunk, n_chunks, entries,
+               count(*) AS in_chunk, string_agg(hash_id, ',' ORDER BY hash_id) AS document_hash_ids
+        FROM c GROUP BY ALL
+    """,
+    "document_of_one_company": f"""
+        SELECT o_orderkey, krs_number, document_type, hash_id FROM ({_STORED_H}) WHERE krs_number = '0000000007'
+    """,
+    "bulletin_quarantine": f"""
+        SELECT day, body, CASE WHEN body IS NULL THEN 'no_body' ELSE 'malformed' END AS reason
+        FROM ({_BULLETINS}) WHERE body IS NULL OR NOT json_valid(body)
+    """,
+    "listing_diagnosis": f"""
+        SELECT krs_number, page, diagnosis, CASE WHEN diagnosis = 'ok' THEN num_pages END AS num_pages FROM ({_PAGE_KINDS})
+    """,
+    "listing_rows": f"""
+        SELECT krs_number, CAST(page AS INTEGER) AS page, CAST(position AS INTEGER) AS position, document_id, document_type, document_name,
+               document_from, document_to, 'Złożony' AS document_status, 'row:' || document_id AS internal_element_id,
+               sha256(lower(trim(krs_number || document_type || document_name || document_from || document_to))) AS document_hash_id
+        FROM (SELECT krs_number, page, no_name, row_number() OVER (PARTITION BY krs_number, page ORDER BY rn) AS position,
+                     CAST(o_orderkey AS VARCHAR) AS document_id, o_orderstatus AS document_type, o_orderpriority AS document_name,
+                     strftime(o_orderdate, '%Y-%m-%d') AS document_from, CAST(year(o_orderdate) AS VARCHAR) || '-12-31' AS document_to
+              FROM ({_OK_ROWS}) WHERE NOT short)
+        WHERE NOT no_name
+    """,
+    "listing_quarantine": f"""
+        SELECT krs_number, CAST(page AS INTEGER) AS page, CAST(rn - (page - 1) * 10 AS INTEGER) AS position,
+               CAST(CASE WHEN short THEN 4 ELSE 7 END AS INTEGER) AS n_cells, CAST(o_orderkey AS VARCHAR) AS first_cell,
+               CASE WHEN short THEN 'few_cells' ELSE 'null_part' END AS reason
+        FROM ({_OK_ROWS}) WHERE short OR no_name
+    """,
+    "missing_pages": f"""
+        SELECT krs_number, page FROM ({_PAGE_KINDS}) p
+        WHERE diagnosis <> 'ok' AND krs_number IN (SELECT krs_number FROM ({_PAGE_KINDS}) WHERE diagnosis = 'ok')
+    """,
+    "document_records": f"""
+        SELECT sha256(CAST(p_partkey AS VARCHAR)) AS hash_id, {_zfill('CAST(p_size AS VARCHAR)')} AS krs_number,
+               'el' AS document_internal_id, p_brand AS document_type, p_name AS document_name, '2023-01-01' AS document_date_from,
+               '2023-12-31' AS document_date_to, 'ok' AS document_status, save_name AS document_content_save_name,
+               string_split(save_name, '.')[-1] AS document_content_file_extension, strlen(p_name) AS n_bytes,
+               TIMESTAMP '2025-01-01' AS record_created_at, TIMESTAMP '2025-01-01' AS record_updated_at
+        FROM (SELECT *, CASE WHEN p_size % 10 = 3 THEN 'żółć_' || CAST(p_partkey AS VARCHAR) || '.pdf'
+                             ELSE p_name || '.xml' END AS save_name
+              FROM part WHERE p_size % 10 >= 3)
+    """,
+    "stream_change_rejects": f"SELECT key, outcome, count(*) AS n_events FROM ({_CHANGES}) GROUP BY ALL",
+    "stream_new_documents": """
+        SELECT sha256(text) AS hash_id, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source
+        FROM documents GROUP BY text
+    """,
+    "extract_refresh": f"""
+        WITH latest AS (
+            SELECT krs_number, registry, status_code, ts, response_id FROM ({_RESPONSES})
+            QUALIFY row_number() OVER (PARTITION BY krs_number, registry ORDER BY ts DESC, response_id DESC) = 1),
+        chosen AS (
+            SELECT c.krs_number, CASE WHEN coalesce(p.status_code, 0) <> 404 THEN p.status_code ELSE s.status_code END AS status_code,
+                   CASE WHEN coalesce(p.status_code, 0) <> 404 THEN p.response_id ELSE s.response_id END AS response_id
+            FROM (SELECT DISTINCT krs_number FROM latest) c
+            LEFT JOIN latest p ON p.krs_number = c.krs_number AND p.registry = 'P'
+            LEFT JOIN latest s ON s.krs_number = c.krs_number AND s.registry = 'S')
+        SELECT krs_number, ts AS record_created_at, props AS raw_data, true AS is_current
+        FROM chosen JOIN events ON event_id = response_id WHERE status_code = 200
+    """,
     "current_flag": f"""
         SELECT *, row_number() OVER (PARTITION BY krs_number
                                      ORDER BY record_created_at DESC, id DESC) = 1 AS is_current
@@ -377,3 +486,7 @@ SQL: dict[str, str] = {
         FROM events GROUP BY ALL
     """,
 }
+
+# The extracts as a stream differ from the batch in their kind only.
+SQL["stream_company_records"] = SQL["company_records"].replace(
+    "'Pełny' AS extract_kind", "CASE WHEN c_custkey % 2 = 0 THEN 'Pełny' ELSE 'Aktualny' END AS extract_kind")

@@ -98,6 +98,27 @@ def bulletin_numbers(body: Column) -> Column:
     return F.from_json(body, "array<string>")
 
 
+def bulletin_quarantine(bulletins: DataFrame, body: str = "body", day: str = "day") -> DataFrame:
+    """Bulletins that give no or not all of their numbers: ``(day, body,
+    reason)``, reason ``no_body``, ``malformed`` (not a list) or ``null_number``
+    (a list with nulls).  Upstream stops at these; here the rest goes on."""
+    numbers = bulletin_numbers(F.col(body))
+    reason = (F.when(F.col(body).isNull(), F.lit("no_body"))
+              .when(numbers.isNull(), F.lit("malformed"))
+              .when(F.exists(numbers, lambda n: n.isNull()), F.lit("null_number")))
+    return bulletins.select(day, body, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def missing_pages(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
+                  num_pages: str = "num_pages", ok: str = "diagnosis") -> DataFrame:
+    """Listing pages ``1..num_pages`` of a company that have not landed as
+    ok: ``(krs_number, page)``.  ``num_pages`` is the greatest that any landed
+    page of the company shows.  A listing is whole only without such rows."""
+    total = parsed.groupBy(krs).agg(F.max(num_pages).alias(num_pages)).filter(F.col(num_pages) >= 1)
+    landed = parsed.filter(F.col(ok) == "ok").select(krs, F.col(page).cast("int").alias(page))
+    return page_plan(total).select(krs, page).join(landed, [krs, page], "left_anti")
+
+
 def in_window(day: Column, as_of, n_days: int) -> Column:
     """P2 as a filter: ``day`` is one of the ``n_days`` days ending at
     ``as_of`` (a plain range predicate, so it reaches the scan)."""

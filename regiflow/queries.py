@@ -20,14 +20,16 @@ names equal those of the matching SQL in ``regiflow.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regiflow.functions import keys, text, validate, variant
 from regiflow.operators import archives, documents, jobs, pages, versions
 from regiflow.plans import flows, requests
 from regiflow.session import fresh_checkpoint_path
+from regiflow.sources import tables
 from regiflow.sources.tables import read_table, stream_table
 from regiflow.streaming import changes
 
@@ -41,6 +43,8 @@ EVENT_STATES = {                     # event type -> job state
     "purchase": "finished",
     "error": "failed",
 }
+LISTING_CHUNK = 8                    # entries per chunk of a nested listing
+ONE_COMPANY = 7
 PAGE_MARKERS = [                     # driver pages: label, scope, marker
     ("maintenance", "title", "Nicht aulich für sch erüver enau sch der."),
     ("no_documents", "html", "ouier###"),
@@ -172,6 +176,11 @@ def q_changed_companies(spark, sf_dir):
     return requests.changed_companies(bulletins(spark, sf_dir))
 
 
+def q_bulletin_quarantine(spark, sf_dir):
+    """P5: bulletins whose body is no list of numbers, with the reason."""
+    return requests.bulletin_quarantine(bulletins(spark, sf_dir))
+
+
 def q_dispatch_plan(spark, sf_dir):
     """Every changed company x the two update routes."""
     return requests.dispatch_plan(q_changed_companies(spark, sf_dir))
@@ -195,9 +204,9 @@ def q_page_requests(spark, sf_dir):
 
 # --- documents --------------------------------------------------------------
 
-def stored_documents(spark, sf_dir):
+def stored_documents(spark, sf_dir, orders=None):
     """Stored documents (stand-in) from ``orders``."""
-    o = _t(spark, sf_dir, "orders")
+    o = _t(spark, sf_dir, "orders") if orders is None else orders
     krs = _company(F.col("o_custkey"))
     d_from = F.date_format("o_orderdate", "yyyy-MM-dd")
     d_to = F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31"))
@@ -253,6 +262,23 @@ def q_docs_of_company(spark, sf_dir):
     return documents.available_listing(stored_documents(spark, sf_dir))
 
 
+def q_document_listing_chunks(spark, sf_dir):
+    """A4: the nested listing of every company, in chunks of about eight
+    entries; the list is shown as its content keys."""
+    nested = documents.nested_listing(stored_documents(spark, sf_dir), entries_per_chunk=LISTING_CHUNK)
+    keys_of = F.array_join(F.array_sort(F.transform("document_list", lambda d: d["document_hash_id"])), ",")
+    return nested.select("krs_number", "chunk", "n_chunks", "entries",
+                         F.size("document_list").cast("bigint").alias("in_chunk"), keys_of.alias("document_hash_ids"))
+
+
+def q_document_of_one_company(spark, sf_dir):
+    """The stored documents of one company; the filter reaches the
+    scan below the key."""
+    o = _t(spark, sf_dir, "orders").filter(F.col("o_custkey") == ONE_COMPANY)
+    return tables.documents_of_company(stored_documents(spark, sf_dir, o), f"{ONE_COMPANY:010d}",
+                                       columns=("o_orderkey", "krs_number", "document_type", "hash_id"))
+
+
 def q_documents_per_company(spark, sf_dir):
     """A2: stored documents per company."""
     return documents.per_company_count(stored_documents(spark, sf_dir))
@@ -355,14 +381,22 @@ def requested_files(spark, sf_dir):
     )
 
 
+def file_records(spark, sf_dir):
+    """Their records (stand-in).  Stored records carry ``n_bytes``; the driver
+    table has no such column, so only here it is taken from the text."""
+    return requested_files(spark, sf_dir).select(
+        "krs_number", "hash_id", "document_content_save_name",
+        F.octet_length("document_content").cast("bigint").alias("n_bytes"))
+
+
 def q_archive_manifest(spark, sf_dir):
     """Archive entry name and size of every requested file."""
-    return archives.manifest(requested_files(spark, sf_dir))
+    return archives.manifest(file_records(spark, sf_dir))
 
 
 def q_archive_totals(spark, sf_dir):
     """Zip archives built per company part; totals per company."""
-    built = archives.build_archives(requested_files(spark, sf_dir), part_bytes=FILE_PART_BYTES)
+    built = archives.build_from_store(file_records(spark, sf_dir), requested_files(spark, sf_dir), part_bytes=FILE_PART_BYTES)
     return built.groupBy("krs_number").agg(
         F.sum("n_entries").cast("bigint").alias("n_entries"),
         F.sum("n_bytes").cast("bigint").alias("n_bytes"))
@@ -387,14 +421,96 @@ def q_page_links(spark, sf_dir):
     return out.select("page_id", (F.col("_pos") + 1).cast("bigint").alias("position"), "href")
 
 
+def register_pages(spark, sf_dir):
+    """Landed register pages (stand-in), built by Spark from ``orders``: the
+    listing of each customer, ten rows a page, with short rows and rows whose
+    name cell is a link without an id; some pages are messages, view-root
+    errors, maintenance pages or broken off."""
+    o = _t(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey")
+    o = (o.withColumn("rn", F.row_number().over(w.orderBy("o_orderkey"))).withColumn("n", F.count(F.lit(1)).over(w))
+          .withColumn("page", F.expr("(rn - 1) div 10 + 1")).withColumn("num_pages", F.expr("(n - 1) div 10 + 1")))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    key = F.col("o_orderkey").cast("string")
+    link = lambda i: F.concat(F.lit('<a href="#"'), i, F.lit(">Pokaż szczegóły</a>"))
+    cells = F.concat(
+        cell(key), cell(F.col("o_orderstatus")),
+        cell(F.when(F.col("o_orderkey") % 29 == 0, link(F.lit(""))).otherwise(F.col("o_orderpriority"))),
+        cell(F.date_format("o_orderdate", "yyyy-MM-dd")),
+        F.when(F.col("o_orderkey") % 23 == 0, F.lit("")).otherwise(F.concat(
+            cell(F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31"))), cell(F.lit("Złożony")),
+            cell(link(F.concat(F.lit(' id="row:'), key, F.lit('"')))))))
+    row = F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))
+    pages_ = o.groupBy("o_custkey", "page").agg(
+        F.max("num_pages").alias("num_pages"), F.sort_array(F.collect_list(F.struct("rn", row.alias("row")))).alias("rows"))
+    table = F.concat(F.lit('<span class="ui-paginator-current">Strona: '), F.col("page").cast("string"), F.lit("/"),
+                     F.col("num_pages").cast("string"), F.lit("</span><table><tr><th>Id</th></tr>"),
+                     F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table>"))
+    update = lambda i, t: F.concat(F.lit(f'<partial-response><changes><update id="{i}"><![CDATA['), t,
+                                   F.lit("]]></update></changes></partial-response>"))
+    k = F.col("o_custkey") * 31 + F.col("page")
+    body = (F.when(k % 13 == 2, F.lit("<html><head><title>Przerwa techniczna</title></head><body><br></body></html>"))
+            .when(k % 17 == 3, F.lit("<partial-response><changes><update id='x'>"))
+            .when(k % 11 == 0, update("unloggedForm:j_idt9", F.lit("<p>Wymagane oczekiwanie pomiędzy kolejnymi wywołaniami</p>")))
+            .when(k % 11 == 1, update("javax.faces.ViewRoot", F.lit("<p>Witryna sieci Web nie może wyświetlić strony</p>")))
+            .when(k % 19 == 4, update("unloggedForm:j_idt1", F.lit("<p>Brak dokumentów dla KRS: 1</p>")))
+            .otherwise(update("searchForm", table)))
+    return pages_.select(F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("page").cast("string")).alias("request_id"),
+                         _company(F.col("o_custkey")).alias("krs_number"), F.col("page").cast("int").alias("page"), body.alias("body"))
+
+
+def q_listing_diagnosis(spark, sf_dir):
+    """F8/F9/P7 through the page parser: what each landed page is."""
+    return flows.parsed_listing(register_pages(spark, sf_dir)).select("krs_number", "page", "diagnosis", "num_pages")
+
+
+def q_listing_rows(spark, sf_dir):
+    """P6/P11 through the page parser: the listing rows of the ok pages."""
+    parsed = flows.parsed_listing(register_pages(spark, sf_dir)).filter("diagnosis = 'ok'")
+    return pages.listing_rows(parsed)
+
+
+def q_listing_quarantine(spark, sf_dir):
+    """Table rows of the ok pages that are no listing rows, with the reason."""
+    parsed = flows.parsed_listing(register_pages(spark, sf_dir)).filter("diagnosis = 'ok'")
+    return pages.listing_quarantine(parsed).select(
+        "krs_number", "page", "position", "n_cells", F.col("cells")[0].alias("first_cell"), "reason")
+
+
+def q_missing_pages(spark, sf_dir):
+    """Listing pages that have not landed as ok (the listing is not whole)."""
+    return requests.missing_pages(flows.parsed_listing(register_pages(spark, sf_dir)))
+
+
+def q_document_records(spark, sf_dir):
+    """Landed files of pending rows -> records (P12-P14, P16, P21): file
+    names from headers that arrive as UTF-8 read as Latin-1, or that cannot be
+    repaired; every seventh size lands twice."""
+    p = _t(spark, sf_dir, "part")
+    key = F.sha2(F.col("p_partkey").cast("string"), 256)
+    pending = p.select(key.alias("hash_id"), _company(F.col("p_size")).alias("krs_number"), F.lit("el").alias("internal_element_id"),
+                       F.col("p_brand").alias("document_type"), F.col("p_name").alias("document_name"), F.lit("2023-01-01").alias("document_from"),
+                       F.lit("2023-12-31").alias("document_to"), F.lit("ok").alias("document_status"))
+    sz = F.col("p_size") % 10
+    name = lambda s: F.concat(F.lit('attachment; filename="'), s, F.lit('"'))
+    garbled = F.decode(F.encode(F.concat(F.lit("żółć_"), F.col("p_partkey").cast("string"), F.lit(".pdf")), "UTF-8"), "ISO-8859-1")
+    header = (F.when(sz == 0, F.lit("inline")).when(sz == 1, name(F.lit("error.txt"))).when(sz == 2, name(F.lit("ł.xml")))
+              .when(sz == 3, name(garbled)).otherwise(name(F.concat(F.col("p_name"), F.lit(".xml")))))
+    files = p.select(key.alias("hash_id"), header.alias("content_disposition"), F.encode("p_name", "UTF-8").alias("content"), "p_size")
+    files = files.unionByName(files.filter("p_size % 7 = 0")).drop("p_size")
+    records, _, _ = flows.files_to_records(pending, files, created_at=datetime(2025, 1, 1))
+    return records
+
+
 # --- JSON ---------------------------------------------------------------------
 
-def register_extracts(spark, sf_dir):
+def register_extracts(spark, sf_dir, c=None, kind=None):
     """Full register extracts (JSON text) built by Spark from customer,
     nation and region: one per customer.  Customers of every fifth nation are
     foreign entities (their domestic blocks are empty objects, so the
     fallback is taken); every third customer has an e-mail address."""
-    c = _t(spark, sf_dir, "customer")
+    c = _t(spark, sf_dir, "customer") if c is None else c
+    kind = F.lit("Pełny") if kind is None else kind
     n = _t(spark, sf_dir, "nation")
     r = _t(spark, sf_dir, "region")
     d = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
@@ -426,9 +542,9 @@ def register_extracts(spark, sf_dir):
         F.when(foreign, entity).alias("danePodmiotuZagranicznego"),
         F.when(~foreign, seat).alias("siedzibaIAdres"),
         F.when(foreign, seat).alias("siedzibaIAdresPodmiotuZagranicznego"))
-    doc = F.struct(F.struct(F.lit("Pełny").alias("rodzaj"),
+    doc = F.struct(F.struct(kind.alias("rodzaj"),
                             F.struct(section1.alias("dzial1")).alias("dane")).alias("odpis"))
-    return d.select(_company(F.col("c_custkey")).alias("krs_number"), F.to_json(doc).alias("raw_data"))
+    return d.select("c_custkey", _company(F.col("c_custkey")).alias("krs_number"), F.to_json(doc).alias("raw_data"))
 
 
 def q_company_records(spark, sf_dir):
@@ -526,6 +642,78 @@ def q_stream_current_versions(spark, sf_dir):
     return current.select("krs_number", "id", "record_created_at", "raw_data")
 
 
+def q_stream_change_rejects(spark, sf_dir):
+    """ST1: the change events that carry no version, written per batch with
+    their reason; some times are epochs (good) or unreadable (rejected)."""
+    stream = stream_table(spark, sf_dir, "events")
+    root = fresh_checkpoint_path(spark, "stream_change_rejects")
+    changes.stream_versions_to_history(odd_times(change_events(stream)), f"{root}/history", f"{root}/pointers",
+                                       name="stream_change_rejects", checkpoint=f"{root}/ckpt")
+    kept = spark.read.parquet(f"{root}/history").select(F.lit("version").alias("outcome"), F.col("krs_number").alias("key"))
+    rejects = spark.read.parquet(f"{root}/history_rejects").select(F.col("reason").alias("outcome"), "key")
+    return kept.unionByName(rejects).groupBy("key", "outcome").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def odd_times(events: DataFrame) -> DataFrame:
+    """Every third event's time as epoch milliseconds, every fifth's
+    unreadable (by the id in the value)."""
+    time = F.get_json_object("value", "$.after.record_created_at")
+    i = F.get_json_object("value", "$.after.id").cast("long")
+    millis = F.unix_millis(F.try_to_timestamp(time)).cast("string")
+    other = F.when(i % 5 == 0, F.lit("yesterday")).when(i % 3 == 0, millis).otherwise(time)
+    return events.withColumn("value", F.replace("value", F.concat(F.lit('"'), time, F.lit('"')), F.concat(F.lit('"'), other, F.lit('"'))))
+
+
+def q_stream_new_documents(spark, sf_dir):
+    """ST3: every document through two streams with checkpoints of their own
+    into one store; the first of each text stays, once."""
+    root = fresh_checkpoint_path(spark, "stream_new_documents")
+    for n in (1, 2):
+        docs = stream_table(spark, sf_dir, "documents").select(
+            keys.sha256_hex(F.col("text")).alias("hash_id"), "doc_id", "lang", "source")
+        changes.run_available_now(docs, changes.insert_new_batch(f"{root}/store", order=["doc_id"]),
+                                  f"stream_new_documents_{n}", f"{root}/ckpt{n}")
+    return changes.stored_once(spark, f"{root}/store", order=["doc_id"])
+
+
+def q_stream_company_records(spark, sf_dir):
+    """ST4 + S9: extracts as a change stream, flattened and written per batch
+    into a table created before; run again, the stream adds nothing."""
+    root = fresh_checkpoint_path(spark, "stream_company_records")
+    kind = F.when(F.col("c_custkey") % 2 == 0, F.lit("Pełny")).otherwise(F.lit("Aktualny"))
+
+    def sink(batch, batch_id):
+        flat = changes.flatten_company(changes.parse_changes(batch)).drop("id", "record_created_at")
+        changes.write_batch_folder(flat, f"{root}/records", batch_id)
+
+    for _ in range(2):
+        extracts = register_extracts(spark, sf_dir, stream_table(spark, sf_dir, "customer"), kind)
+        after = F.struct(F.col("c_custkey").alias("id"), F.lit("2025-01-01T00:00:00Z").alias("record_created_at"), "krs_number", "raw_data")
+        value = F.to_json(F.struct(after.alias("after"), F.lit("r").alias("op")))
+        events = extracts.select(F.col("krs_number").alias("key"), value.alias("value"))
+        changes.run_available_now(events, sink, "stream_company_records", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/records").drop("writer", "batch_id")
+
+
+def q_extract_refresh(spark, sf_dir):
+    """Landed answers with real addresses; the refresh runs twice,
+    the history is read back, and every company found has one current row."""
+    r = landed_responses(spark, sf_dir)
+    body = _t(spark, sf_dir, "events").select(F.col("event_id").alias("response_id"), F.col("props").alias("body"))
+    landed = r.join(body, "response_id").select(
+        F.col("response_id").cast("string").alias("request_id"),
+        requests.extract_url(F.col("krs_number"), F.col("registry")).alias("url"), "status_code", F.lit("").alias("headers"), "body",
+        F.col("ts").cast("timestamp").alias("fetched_at"))
+    root = fresh_checkpoint_path(spark, "extract_refresh")
+    for n in range(2):
+        stored = spark.read.parquet(f"{root}/history") if n else None
+        new, _ = flows.extract_refresh(r, landed, stored=stored)
+        tables.append_versions(new, f"{root}/history")
+    history = spark.read.parquet(f"{root}/history")
+    flagged = versions.mark_current(history, "krs_number", ["record_created_at", "id"])
+    return flagged.select("krs_number", "record_created_at", "raw_data", "is_current")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "current_flag": q_current_flag,
     "current_company": q_current_company,
@@ -560,4 +748,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "queue_state_counts": q_queue_state_counts,
     "log_level_report": q_log_level_report,
     "stream_current_versions": q_stream_current_versions,
+    "document_listing_chunks": q_document_listing_chunks,
+    "document_of_one_company": q_document_of_one_company,
+    "bulletin_quarantine": q_bulletin_quarantine,
+    "listing_diagnosis": q_listing_diagnosis,
+    "listing_rows": q_listing_rows,
+    "listing_quarantine": q_listing_quarantine,
+    "missing_pages": q_missing_pages,
+    "document_records": q_document_records,
+    "stream_change_rejects": q_stream_change_rejects,
+    "stream_new_documents": q_stream_new_documents,
+    "stream_company_records": q_stream_company_records,
+    "extract_refresh": q_extract_refresh,
 }

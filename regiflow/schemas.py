@@ -33,6 +33,7 @@ DOCUMENTS = T.StructType([
     T.StructField("document_status", T.StringType()),
     T.StructField("document_content_save_name", T.StringType()),
     T.StructField("document_content_file_extension", T.StringType()),
+    T.StructField("n_bytes", T.LongType()),
     T.StructField("record_created_at", T.TimestampNTZType()),
     T.StructField("record_updated_at", T.TimestampNTZType()),
 ])
@@ -95,12 +96,6 @@ CHANGE_ENVELOPE = T.StructType([
     T.StructField("ts_ms", T.LongType()),
 ])
 
-COMPANY_INFO_FIELDS = [
-    "full_name", "legal_form", "nip_number", "regon_number", "country",
-    "voivodeship", "county", "municipality", "city", "postal_number", "street",
-    "house_number", "email", "webpage",
-]
-
 QUEUE_COUNTERS = T.StructType(
     [T.StructField("queue", T.StringType())]
     + [T.StructField(c, T.LongType()) for c in (

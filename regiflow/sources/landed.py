@@ -52,7 +52,6 @@ def kafka_changes(spark: SparkSession, servers: str, topic: str,
            .option("kafka.bootstrap.servers", servers)
            .option("subscribe", topic)
            .option("startingOffsets", starting_offsets)
-           .option("failOnDataLoss", "false")
            .load())
     return raw.select(F.col("key").cast("string").alias("key"),
                       F.col("value").cast("string").alias("value"))

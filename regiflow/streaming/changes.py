@@ -6,10 +6,12 @@ string`` works as the source - a Kafka topic in production, a JSON/Parquet
 file stream in tests.
 
 Idempotence: a micro-batch replayed after a failure must not duplicate rows.
-File sinks write each batch into its own ``batch_id=<n>`` folder and overwrite
-exactly that folder, so a replay rewrites the same files; the JDBC sink
-anti-joins the batch against the target's recent ids before appending.
-Checkpoints live under the shared ``spark.checkpoint.dir``.
+File sinks write each batch into its own ``writer=<stream>/batch_id=<n>``
+folder and overwrite exactly that folder, so a replay rewrites the same files;
+the writer is the id in the stream's checkpoint, so a second stream, or a new
+checkpoint that starts at batch 0 again, never touches another's folders.  The
+JDBC sink anti-joins the batch against the target's recent ids before
+appending.  Checkpoints live under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.errors import AnalysisException
 from regiflow import constants as K
 from regiflow import schemas
 from regiflow.functions import variant
-from regiflow.operators import versions
+from regiflow.operators import documents, versions
 from regiflow.session import stream_checkpoint_path
 from regiflow.sources import tables
 
@@ -33,24 +35,27 @@ VERSION_ORDER = ["record_created_at", "id"]
 
 
 def utc_wall_clock(text: Column) -> Column:
-    """An ISO instant (``...Z`` or with an offset) as its UTC wall-clock time,
-    ``timestamp_ntz``, whatever the session time zone."""
-    local = F.try_to_timestamp(text).cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    """An ISO instant (``...Z`` or with an offset), or an epoch in seconds,
+    milliseconds or microseconds (10, 13 or 16 digits), as its UTC wall-clock
+    time, ``timestamp_ntz``, whatever the session time zone; else null."""
+    digits = F.when(text.rlike("^[0-9]{10,16}$"), text).try_cast("long")
+    epoch = (F.when(F.length(text) == 10, F.timestamp_seconds(digits))
+             .when(F.length(text) == 13, F.timestamp_millis(digits))
+             .when(F.length(text) == 16, F.timestamp_micros(digits)))
+    instant = F.coalesce(epoch, F.try_to_timestamp(F.when(digits.isNull(), text)))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def parse_changes(events: DataFrame) -> DataFrame:
     """ST1: change events -> version rows.
 
-    Tombstones (null value) and malformed values are dropped here (see
-    ``change_quarantine``); only create/snapshot events carry a version:
-    update events only flip the flag, which is derived (W1), and may carry a
-    placeholder instead of the document."""
-    env = F.from_json(F.col("value"), schemas.CHANGE_ENVELOPE)
-    parsed = events.select(F.col("key"), env.alias("_e"))
-    kept = parsed.filter(F.col("_e.op").isin(K.CHANGE_OPS_KEPT) & F.col("_e.after").isNotNull())
+    Only create/snapshot events carry a version: update events only flip the
+    flag, which is derived (W1), and may carry a placeholder instead of the
+    document.  Every event that gives no row here is in
+    ``change_quarantine`` with its reason."""
+    parsed = _enveloped(events).filter(_reject_reason().isNull())
     a = "_e.after."
-    return kept.select(
+    return parsed.select(
         F.col(a + "id").alias("id"),
         utc_wall_clock(F.col(a + "record_created_at")).alias("record_created_at"),
         F.col(a + "krs_number").alias("krs_number"),
@@ -61,12 +66,24 @@ def parse_changes(events: DataFrame) -> DataFrame:
 
 def change_quarantine(events: DataFrame) -> DataFrame:
     """Events that carry no version, with the reason."""
+    return (_enveloped(events).withColumn("reason", _reject_reason())
+            .filter(F.col("reason").isNotNull()).select("key", "value", "reason"))
+
+
+def _enveloped(events: DataFrame) -> DataFrame:
     env = F.from_json(F.col("value"), schemas.CHANGE_ENVELOPE)
-    reason = (F.when(F.col("value").isNull(), F.lit("tombstone"))
-              .when(env.isNull() | env["op"].isNull(), F.lit("malformed"))
-              .when(~env["op"].isin(K.CHANGE_OPS_KEPT), F.concat(F.lit("op_"), env["op"]))
-              .when(env["after"].isNull(), F.lit("no_after")))
-    return events.select("key", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return events.select("key", "value", env.alias("_e"))
+
+
+def _reject_reason() -> Column:
+    """Why an event carries no version (null: it carries one)."""
+    op, after = F.col("_e.op"), F.col("_e.after")
+    return (F.when(F.col("value").isNull(), F.lit("tombstone"))
+            .when(F.col("_e").isNull() | op.isNull(), F.lit("malformed"))
+            .when(~op.isin(K.CHANGE_OPS_KEPT), F.concat(F.lit("op_"), op))
+            .when(after.isNull(), F.lit("no_after"))
+            .when(after["id"].isNull() | after["krs_number"].isNull(), F.lit("no_key"))
+            .when(utc_wall_clock(after["record_created_at"]).isNull(), F.lit("bad_time")))
 
 
 def latest_pointers(version_rows: DataFrame) -> DataFrame:
@@ -87,21 +104,33 @@ def flatten_company(version_rows: DataFrame) -> DataFrame:
     return variant.company_record(version_rows, "raw_data", keep=["id", "krs_number", "record_created_at"])
 
 
+def stream_writer(spark: SparkSession) -> str:
+    """The id of the stream whose batch is being handled.  Spark keeps it in
+    the checkpoint: the same after a restart, another for a new checkpoint."""
+    writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not writer:
+        raise RuntimeError("not inside a stream's batch; name the writer")
+    return writer
+
+
 def write_batch_folder(df: DataFrame, root: str, batch_id: int,
-                       partition_by: Sequence[str] = ()) -> None:
-    """Idempotent file write of one micro-batch: ``<root>/batch_id=<n>`` is
-    overwritten as a whole, so a replayed batch leaves the same files."""
+                       partition_by: Sequence[str] = (), writer: str | None = None) -> None:
+    """Idempotent file write of one micro-batch:
+    ``<root>/writer=<id>/batch_id=<n>`` is overwritten as a whole, so a
+    replayed batch leaves the same files and no other stream's are touched."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(os.path.join(root, f"batch_id={batch_id}"))
+    writer = writer or stream_writer(df.sparkSession)
+    w.parquet(os.path.join(root, f"writer={writer}", f"batch_id={batch_id}"))
 
 
 def jdbc_append_new(df: DataFrame, batch_id: int, url: str, table: str,
                     key: Sequence[str] = ("krs_number", "id"), id_col: str = "id",
-                    properties: dict | None = None) -> None:
+                    properties: dict | None = None, table_exists: bool = True) -> None:
     """Idempotent JDBC append: rows whose key is already in the target are
-    skipped.  Only target rows with ``id >= min(id of the batch)`` are read
+    skipped.  The caller says whether the table exists (``False`` for the very
+    first batch); an error while reading it fails the batch.  Only target rows with ``id >= min(id of the batch)`` are read
     (the predicate reaches the database), not the whole table."""
     props = properties or {}
     spark = df.sparkSession
@@ -110,10 +139,10 @@ def jdbc_append_new(df: DataFrame, batch_id: int, url: str, table: str,
         low = df.agg(F.min(id_col)).first()[0]
         if low is None:
             return
-        try:
+        if table_exists:
             target = spark.read.jdbc(url, table, properties=props).filter(F.col(id_col) >= low)
             fresh = df.join(target.select(*key), list(key), "left_anti")
-        except Exception:  # noqa: BLE001 - target not created yet
+        else:
             fresh = df
         fresh.write.jdbc(url, table, mode="append", properties=props)
     finally:
@@ -139,10 +168,12 @@ def run_available_now(stream_df: DataFrame, on_batch: Callable[[DataFrame, int],
 
 def stream_versions_to_history(events: DataFrame, history_root: str, pointers_root: str,
                                name: str = "raw_extract_changes",
-                               checkpoint: str | None = None) -> StreamingQuery:
+                               checkpoint: str | None = None,
+                               rejects_root: str | None = None) -> StreamingQuery:
     """ST1+S8+ST2+ST5: parse change events, append the versions to the
-    history and the latest pointer of each company in the batch to the
-    pointer table, restartably.
+    history, the latest pointer of each company in the batch to the pointer
+    table and the events without a version, with their reason, to the rejects
+    (``<history_root>_rejects`` unless named), restartably.
 
     The current pointer of a company is the greatest over all pointer
     batches (``current_from_pointers``) - the same answer as a stateful
@@ -154,14 +185,19 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
     (company, id) (``current_versions``) - cheaper than a shuffle in every
     micro-batch, and it needs no unbounded stream state."""
 
+    rejects = rejects_root or f"{history_root.rstrip('/')}_rejects"
+
     def on_batch(raw: DataFrame, batch_id: int) -> None:
-        rows = parse_changes(raw).persist()
+        raw = raw.persist()
+        rows = parse_changes(raw)
         try:
-            write_batch_folder(rows.withColumn("ingest_day", F.to_date("record_created_at")),
-                               history_root, batch_id, ["ingest_day"])
+            # by day and company: few files a day, each with a narrow company range
+            daily = rows.withColumn("ingest_day", F.to_date("record_created_at"))
+            write_batch_folder(daily.repartitionByRange("ingest_day", "krs_number"), history_root, batch_id, ["ingest_day"])
             write_batch_folder(latest_pointers(rows), pointers_root, batch_id)
+            write_batch_folder(change_quarantine(raw), rejects, batch_id)
         finally:
-            rows.unpersist()
+            raw.unpersist()
 
     return run_available_now(events, on_batch, name, checkpoint)
 
@@ -169,13 +205,15 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
 def current_from_pointers(spark: SparkSession, pointers_root: str,
                           snapshot_root: str | None = None) -> DataFrame:
     """Current pointer per company: the last compacted snapshot (if any) and
-    only the pointer batches written after it (``batch_id`` is a partition
-    column, so older batch folders are not read)."""
+    only the pointer batches that it does not include (``writer`` and
+    ``batch_id`` are partition columns, so older folders are not read)."""
     batches = spark.read.parquet(pointers_root)
     if snapshot_root is None or not _has_snapshot(spark, snapshot_root):
-        return latest_pointers(batches.drop("batch_id"))
-    snap_version = _snapshot_version(spark, snapshot_root)
-    newer = batches.filter(F.col("batch_id") > snap_version).drop("batch_id")
+        return latest_pointers(batches.drop("writer", "batch_id"))
+    newer = batches
+    for writer, last in _snapshot_positions(spark, snapshot_root).items():
+        newer = newer.filter((F.col("writer") != writer) | (F.col("batch_id") > last))
+    newer = newer.drop("writer", "batch_id")
     snap = tables.read_snapshot(spark, snapshot_root)
     return latest_pointers(snap.unionByName(newer.select(*snap.columns)))
 
@@ -183,25 +221,33 @@ def current_from_pointers(spark: SparkSession, pointers_root: str,
 def current_versions(spark: SparkSession, history_root: str, pointers_root: str,
                      snapshot_root: str | None = None) -> DataFrame:
     """ST2 read side: the current version rows (documents included) - the
-    history joined back to the current pointers on (company, id, time).  The
-    pointers are one small row per company, so the join keys spread even a
-    company with many versions by hash.  A change event delivered twice
+    history joined back to the current pointers on (day, company, id, time);
+    the day is the history's partition column, so days without a current
+    version need not be read.  The pointers are one small row per company, so
+    the join keys spread even a company with many versions by hash.  A change event delivered twice
     (at-least-once sources) leaves two equal history rows; the answer keeps
     one per (company, id) - a small de-duplication over about one row per
     company."""
     history = spark.read.parquet(history_root)
-    current = current_from_pointers(spark, pointers_root, snapshot_root)
-    return (history.join(current, ["krs_number", "id", "record_created_at"], "left_semi")
+    current = (current_from_pointers(spark, pointers_root, snapshot_root)
+               .withColumn("ingest_day", F.to_date("record_created_at")))
+    return (history.join(current, ["ingest_day", "krs_number", "id", "record_created_at"], "left_semi")
                    .dropDuplicates(["krs_number", "id"]))
 
 
 def compact_pointers(spark: SparkSession, pointers_root: str, snapshot_root: str) -> int:
-    """Publish the current pointers as a snapshot whose version is the last
-    batch it includes; later reads start from it.  Returns that version."""
-    last = spark.read.parquet(pointers_root).agg(F.max("batch_id")).first()[0]
+    """Publish the current pointers as a snapshot; later reads start from it.
+    The last batch of each writer that it includes is written beside it.
+    Returns its version: the number of batches included, from 0."""
+    positions = spark.read.parquet(pointers_root).groupBy("writer").agg(F.max("batch_id").alias("batch_id"))
+    last = {r.writer: int(r.batch_id) for r in positions.collect()}       # a row per stream
+    version = sum(n + 1 for n in last.values()) - 1
     current = current_from_pointers(spark, pointers_root, snapshot_root)
-    tables.publish_snapshot(current, snapshot_root, int(last))
-    return int(last)
+    rows = [(version, w, n) for w, n in last.items()]
+    (spark.createDataFrame(rows, "version long, writer string, batch_id long").write.mode("overwrite")
+     .parquet(os.path.join(snapshot_root, "_positions", f"v={version}")))
+    tables.publish_snapshot(current, snapshot_root, version)
+    return version
 
 
 def _has_snapshot(spark: SparkSession, snapshot_root: str) -> bool:
@@ -212,8 +258,11 @@ def _has_snapshot(spark: SparkSession, snapshot_root: str) -> bool:
         return False
 
 
-def _snapshot_version(spark: SparkSession, snapshot_root: str) -> int:
-    return spark.read.parquet(os.path.join(snapshot_root, "_pointers")).agg(F.max("version")).first()[0]
+def _snapshot_positions(spark: SparkSession, snapshot_root: str) -> dict[str, int]:
+    """Last included batch of each writer of the newest snapshot."""
+    version = spark.read.parquet(os.path.join(snapshot_root, "_pointers")).agg(F.max("version")).first()[0]
+    rows = spark.read.parquet(os.path.join(snapshot_root, "_positions", f"v={version}")).collect()
+    return {r.writer: r.batch_id for r in rows}
 
 
 def dedup_stream(rows: DataFrame, key: str = "hash_id") -> DataFrame:
@@ -222,10 +271,12 @@ def dedup_stream(rows: DataFrame, key: str = "hash_id") -> DataFrame:
     return rows.dropDuplicates([key])
 
 
-def insert_new_batch(stored_root: str, key: str = "hash_id") -> Callable[[DataFrame, int], None]:
-    """ST3 sink: per batch, append only keys not stored by an earlier batch
-    (or by another writer); a replayed batch overwrites its own folder, so it
-    adds nothing twice.
+def insert_new_batch(stored_root: str, key: str = "hash_id",
+                     order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """ST3 sink: per batch, append the first row (by ``order``) of each key
+    that no other batch of any writer has stored; a replayed batch overwrites
+    its own folder, so it adds nothing twice.  Two streams that write at the
+    same moment may both store a key; ``stored_once`` resolves that on read.
 
     Each batch folder is partitioned by key prefix, and the anti-join reads
     only the stored folders of the batch's prefixes (at most 256 values), so
@@ -233,6 +284,11 @@ def insert_new_batch(stored_root: str, key: str = "hash_id") -> Callable[[DataFr
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
+        writer = stream_writer(spark)
+        if order:
+            df = documents.keep_first(df, key, order, [c for c in df.columns if c not in (key, *order)])
+        else:
+            df = df.dropDuplicates([key])
         df = df.withColumn(tables.PREFIX, tables.hash_prefix(key)).persist()
         try:
             try:
@@ -240,12 +296,21 @@ def insert_new_batch(stored_root: str, key: str = "hash_id") -> Callable[[DataFr
             except AnalysisException:  # nothing stored yet
                 fresh = df
             else:
-                if "batch_id" in stored.columns:  # a replay must not see its own rows
-                    stored = stored.filter(F.col("batch_id") != batch_id)
+                # a replay must not see its own rows
+                stored = stored.filter((F.col("writer") != writer) | (F.col("batch_id") != batch_id))
                 near = tables.stored_keys_near(stored, df, key)
                 fresh = df.join(near, key, "left_anti")
-            write_batch_folder(fresh, stored_root, batch_id, [tables.PREFIX])
+            write_batch_folder(fresh, stored_root, batch_id, [tables.PREFIX], writer)
         finally:
             df.unpersist()
 
     return run
+
+
+def stored_once(spark: SparkSession, stored_root: str, key: str = "hash_id", order: Sequence[str] = ()) -> DataFrame:
+    """The store of ``insert_new_batch`` with one row per key: the first by
+    ``order``, then by writer and batch."""
+    stored = spark.read.parquet(stored_root)
+    order = [*order, "writer", "batch_id"]
+    carry = [c for c in stored.columns if c not in (key, tables.PREFIX, *order)]
+    return documents.keep_first(stored, key, order, carry).drop("writer", "batch_id")

@@ -41,6 +41,23 @@ def test_extract_refresh(spark):
     assert got == {"0000057814": (body, T0), "0000000002": (body, T0 + dt.timedelta(hours=1))}
 
 
+def test_extract_refresh_twice_leaves_one_current_row(spark, tmp_root):
+    from regiflow.plans import answers
+
+    body = json.dumps({"odpis": {"rodzaj": "Pełny"}})
+    landed = spark.createDataFrame([("r1", URL.format(krs="0000057814", reg="P"), 200, "", body, T0)], L.LANDED)
+    comp = spark.createDataFrame([("0000057814",)], "krs_number string")
+    for n in range(2):
+        stored = spark.read.parquet(f"{tmp_root}/h") if n else None
+        new, _ = flows.extract_refresh(comp, landed, stored=stored)
+        assert new.count() == 1 - n and dict(new.dtypes)["record_created_at"] == "timestamp_ntz"
+        tables.append_versions(new, f"{tmp_root}/h")
+    history = spark.read.parquet(f"{tmp_root}/h")
+    assert history.count() == 1
+    doubled = history.unionAll(history).withColumn("record_created_at", F.lit(None).cast("timestamp_ntz"))
+    assert answers.company_information(doubled, "0000057814").count() == 1      # null times, delivered twice
+
+
 def test_listing_refresh_and_records(spark):
     pages = spark.createDataFrame([
         ("q1", "0000057814", 1, listing(rows=R1 + R2, pager="Strona: 1/2")),
@@ -62,7 +79,9 @@ def test_listing_refresh_and_records(spark):
     recs, contents, bad = flows.files_to_records(pending, files, created_at=T0)
     rec = recs.first()
     assert rec.document_content_save_name == "bilans.xml" and rec.document_content_file_extension == "xml"
-    assert rec.record_created_at == T0 and contents.count() == 1
+    assert rec.record_created_at == T0 and contents.count() == 1 and rec.n_bytes == 4
+    twice, stored_twice, _ = flows.files_to_records(pending, files.unionAll(files), created_at=T0)
+    assert twice.count() == 1 and stored_twice.count() == 1
     assert [r.reason for r in bad.collect()] == ["file_error"]
 
 
@@ -155,7 +174,8 @@ def test_download_from_store(spark, tmp_root):
             names.update({n: zf.read(n) for n in zf.namelist()})
     assert names == {"0000057814_bilans.xml": b"<b/>", "0000057814_opinia.pdf": b"%PDF"}
     refused = spark.createDataFrame([(rows[0].hash_id,), ("e" * 64,)], "hash_id string")
-    _, missing = flows.download(spark, tmp_root, refused)
+    built, missing = flows.download(spark, tmp_root, refused)
+    assert built.count() == 0
     assert [r.hash_id for r in missing.collect()] == ["e" * 64]
 
 

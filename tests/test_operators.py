@@ -112,10 +112,23 @@ def test_listing_record_and_collisions(spark):
     assert documents.key_collisions(rows).first().part_tuples == 2
     lst = documents.available_listing(rec).first()
     assert lst.document_name == lst.document_type == "ab"
-    nested = documents.nested_listing(rec, max_per_company=10).first()
-    assert nested.krs_number == "K" and len(nested.document_list) == 2 and not nested.too_large
-    over = documents.nested_listing(rec, max_per_company=1).first()
-    assert over.document_list is None and over.too_large and over.entries == 2
+    nested = documents.nested_listing(rec, entries_per_chunk=10).first()
+    assert nested.krs_number == "K" and len(nested.document_list) == 2 and nested.n_chunks == 1
+    chunks = documents.nested_listing(rec, entries_per_chunk=1).collect()
+    assert sum(len(c.document_list) for c in chunks) == 2 and {(c.n_chunks, c.entries) for c in chunks} == {(2, 2)}
+
+
+def test_every_entry_is_in_one_chunk_of_its_listing(spark):
+    import hashlib
+
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(300)]
+    rec = spark.createDataFrame([(k, "HOT" if i % 3 else "K", "n", "t", "a", "b") for i, k in enumerate(keys)],
+                                "hash_id string, krs_number string, document_name string, document_type string, "
+                                "document_date_from string, document_date_to string")
+    chunks = documents.nested_listing(rec, entries_per_chunk=10).collect()
+    assert sorted(d.document_hash_id for c in chunks for d in c.document_list) == sorted(keys)
+    assert max(len(c.document_list) for c in chunks) < 40
+    assert {c.krs_number: (c.n_chunks, c.entries) for c in chunks} == {"HOT": (20, 200), "K": (10, 100)}
 
 
 def test_job_status_and_counters(spark):

@@ -49,7 +49,9 @@ def test_listing_rows_and_keys(spark):
     parsed = parsed_df(spark, [listing(rows=R1 + SHORT + R2),
                                listing("searchForm:docTable", rows=R1)])
     rows = pages.listing_rows(parsed, keep=["request_id"]).orderBy("request_id", "position").collect()
-    assert len(rows) == 3                       # header row and 4-cell row skipped
+    assert len(rows) == 3                       # the 4-cell row is in the quarantine, the header is no row
+    odd = pages.listing_quarantine(parsed, keep=["request_id"]).collect()
+    assert [(r.position, r.n_cells, r.cells, r.reason) for r in odd] == [(2, 4, ["a", "b", "c", "d"], "few_cells")]
     first = rows[0]
     assert first.document_type == "Roczne sprawozdanie finansowe"
     assert first.internal_element_id == "searchForm:docTable:0:j_idt1"
@@ -65,6 +67,13 @@ def test_listing_rows_and_keys(spark):
     assert [r.n for r in skipped] == [1, 2]
 
 
+def test_row_without_a_key_part_is_quarantined(spark):
+    no_id = ("<tr><td>1</td><td>T</td><td><a href='#'>Pokaż szczegóły</a></td><td>f</td><td>t</td></tr>")
+    parsed = parsed_df(spark, [listing(rows=no_id + R1)])
+    assert [r.position for r in pages.listing_rows(parsed).collect()] == [2]
+    assert [(r.position, r.reason) for r in pages.listing_quarantine(parsed).collect()] == [(1, "null_part")]
+
+
 def test_page_count(spark):
     parsed = parsed_df(spark, [listing(rows=R1, pager="Strona: 1/7"),
                                listing(rows=R1, pager="Strona: 3/12 "),
@@ -86,12 +95,13 @@ def test_diagnosis_precedence_and_scopes(spark):
         message_page(("otherForm", no_docs)),                                           # wrong scope
         "<partial-response><changes><update id='x'>unclosed",                           # malformed
         listing(rows=R1),
+        "<html><head><title>Przerwa techniczna</title></head><body><br></body></html>",
     ]
     parsed = parsed_df(spark, bodies)
-    out = parsed.select("request_id", pages.diagnose(pages.register_page_checks()).alias("d"))
+    out = parsed.select("request_id", pages.diagnose(pages.register_page_checks(F.col("title"))).alias("d"))
     got = [r.d for r in out.orderBy(F.col("request_id").cast("int")).collect()]
     assert got == ["no_documents", "cannot_display", "throttled", "cannot_display", "no_listing",
-                   "no_listing", "malformed", "ok"]
+                   "no_listing", "malformed", "ok", "maintenance"]
     plain = parsed.select(pages.diagnose(pages.register_page_checks(listing=False)).alias("d"))
     assert [r.d for r in plain.collect()].count("ok") == 3
     empty = parsed_df(spark, [listing(rows="")])

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from regiflow.operators import versions
+from regiflow.queries import QUERIES
+from regiflow.session import fresh_checkpoint_path
 
 
 def plan_of(df) -> str:
@@ -37,7 +39,7 @@ def test_per_company_answers_aggregate_partially(spark, name):
     assert re.search(r"Exchange \(\d+\)\n[\s:|]*\+- (Hash|Sort|ObjectHash)Aggregate", plan)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.queries() if not k.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(k for k in QUERIES if not k.startswith("stream_")))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -85,3 +87,34 @@ def test_hot_company_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_filters_pass_below_a_content_key(spark):
+    """A key column is deterministic: a filter above it reaches the scan."""
+    from regiflow.queries import stored_documents
+
+    plan = plan_of(stored_documents(spark, SF_SMALL).filter(F.col("o_orderkey") == 5))
+    assert "EqualTo(o_orderkey,5)" in plan.split("PushedFilters")[1].split("\n")[0]
+
+
+def test_archives_move_contents_once(spark):
+    """With stored sizes and broadcast off: one scan of the contents, and no
+    content in the scan of the manifest."""
+    from regiflow.operators import archives
+
+    names = "krs_number string, hash_id string, document_content_save_name string, n_bytes long"
+    path = f"{fresh_checkpoint_path(spark, 'test-archives')}"
+    spark.createDataFrame([("1", "a", "x", 3), ("1", "b", "y", 4)], names).write.parquet(f"{path}/records")
+    spark.createDataFrame([("a", bytearray(b"abc")), ("b", bytearray(b"abcd"))], "hash_id string, document_content binary") \
+        .write.parquet(f"{path}/contents")
+    records, contents = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/contents")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        built = archives.build_from_store(records, contents, part_bytes=3)
+        plan = plan_of(built)
+        assert len(re.findall(r"ReadSchema: struct<[^\n]*document_content:binary", plan)) == 1
+        assert "document_content:binary" not in plan_of(archives.manifest(records))
+        assert sum(r.n_entries for r in built.collect()) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -76,7 +76,7 @@ def test_replayed_batch_writes_the_same_folder(spark, tmp_root):
     raw = spark.createDataFrame(BATCHES[0], schemas.CHANGE_EVENTS)
     rows = changes.parse_changes(raw)
     for _ in range(2):
-        changes.write_batch_folder(rows, f"{tmp_root}/hist", 0)
+        changes.write_batch_folder(rows, f"{tmp_root}/hist", 0, writer="w")
     assert spark.read.parquet(f"{tmp_root}/hist").count() == 2
 
 
@@ -172,3 +172,55 @@ def test_current_versions_join_documents_back(spark, tmp_root):
     # id 3 arrived twice (a repeated event): one row per company all the same
     assert sorted((r.krs_number, r.id) for r in cur) == [("0000000001", 4), ("0000057814", 3)]
     assert all(json.loads(r.raw_data)["odpis"]["n"] == r.id for r in cur)
+
+
+def test_a_second_writer_or_new_checkpoint_loses_nothing(spark, tmp_root):
+    src = os.path.join(tmp_root, "in")
+    write_batches(src, BATCHES)
+    for ckpt in ("a", "b"):
+        changes.stream_versions_to_history(source(spark, src), f"{tmp_root}/hist", f"{tmp_root}/ptr",
+                                           name=f"t_writer_{ckpt}", checkpoint=f"{tmp_root}/{ckpt}")
+    hist = spark.read.parquet(f"{tmp_root}/hist")
+    assert hist.select("writer").distinct().count() == 2
+    assert sorted(r.id for r in hist.collect()) == sorted([1, 2, 3, 3, 4, 5] * 2)
+    once = versions.unique_versions(hist)
+    assert sorted(r.id for r in once.collect()) == [1, 2, 3, 4, 5]
+    assert versions.mark_current(once, "krs_number", ["record_created_at", "id"]).filter("is_current").count() == 2
+    assert changes.current_versions(spark, f"{tmp_root}/hist", f"{tmp_root}/ptr").count() == 2
+    assert changes.compact_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap") == 5
+    cur = changes.current_from_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap")
+    assert {(r.krs_number, r.id) for r in cur.collect()} == {("0000057814", 3), ("0000000001", 4)}
+
+
+def test_times_as_epochs_and_unreadable_times(spark):
+    import datetime as dt
+
+    raw = spark.createDataFrame([event(1, "0000057814", "1735725600000"), event(2, "0000057814", "1735725600"),
+                                 event(3, "0000057814", "1735725600000000"), event(4, "0000057814", "yesterday"),
+                                 event(5, "0000057814", None), event(None, "0000057814", "2025-01-01T10:00:00Z")], schemas.CHANGE_EVENTS)
+    got = changes.parse_changes(raw).orderBy("id").collect()
+    assert [(r.id, r.record_created_at) for r in got] == [(i, dt.datetime(2025, 1, 1, 10)) for i in (1, 2, 3)]
+    assert sorted(r.reason for r in changes.change_quarantine(raw).collect()) == ["bad_time", "bad_time", "no_key"]
+
+
+def test_rejects_are_written_beside_the_history(spark, tmp_root):
+    src = os.path.join(tmp_root, "in")
+    write_batches(src, BATCHES)
+    changes.stream_versions_to_history(source(spark, src), f"{tmp_root}/hist", f"{tmp_root}/ptr", name="t_rej", checkpoint=f"{tmp_root}/c")
+    events = spark.read.schema(schemas.CHANGE_EVENTS).json(src).count()
+    rejects = spark.read.parquet(f"{tmp_root}/hist_rejects")
+    assert sorted(r.reason for r in rejects.collect()) == ["malformed", "op_u", "tombstone"]
+    assert events == rejects.count() + spark.read.parquet(f"{tmp_root}/hist").count()
+
+
+def test_keep_first_inside_one_batch(spark, tmp_root):
+    src = os.path.join(tmp_root, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "f.json"), "w") as f:
+        for h, n in (("bb", 2), ("bb", 1), ("aa", 5)):
+            f.write(json.dumps({"hash_id": h, "n": n}) + "\n")
+    stream = spark.readStream.schema("hash_id string, n long").json(src)
+    for ckpt in ("x", "y"):
+        changes.run_available_now(stream, changes.insert_new_batch(f"{tmp_root}/stored", order=["n"]), f"t_first_{ckpt}", f"{tmp_root}/{ckpt}")
+    assert sorted((r.hash_id, r.n) for r in spark.read.parquet(f"{tmp_root}/stored").collect()) == [("aa", 5), ("bb", 1)]
+    assert changes.stored_once(spark, f"{tmp_root}/stored", order=["n"]).count() == 2
