@@ -86,6 +86,23 @@ QUERIES = {
 }
 
 SQL = {
+    # An example is the conversation up to an assistant turn (or to its end): its length is a running sum of rendered turns,
+    # each 10 characters of markers around role and text with a backslash behind every one of \\ < [ ].
+    "op6_chat_formatting": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+        rendered AS (
+            SELECT *, 10 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\\\<\\[\\]]', '', 'g')) AS size FROM turns),
+        placed AS (
+            SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+                   sum(size) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS shown
+            FROM rendered WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(shown) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+        FROM placed GROUP BY conv_id""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
