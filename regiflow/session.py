@@ -61,10 +61,13 @@ def checkpoint_root(spark: SparkSession) -> str:
             root = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset key
             root = None
+    root = root or sc.getCheckpointDir()        # set before in this session
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="regiflow-ckpt-")
+        sc.setCheckpointDir(root)
+        root = sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root

@@ -76,12 +76,12 @@ def main() -> None:
     full = "--full" in argv
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     only = set(a for a in args if not a.startswith("/"))
-    import __spark_entry__ as E
+    from regiflow.queries import QUERIES
     from regiflow.session import build_session
 
     spark = build_session()
     rows = []
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if only and name not in only:
             continue
         if name.startswith("stream_"):
