@@ -14,8 +14,10 @@ a small table that every task holds.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from bisect import bisect, bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -109,49 +111,55 @@ def compiled(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template
     return [Template(name, i, words_of(text), threshold) for i, (name, text) in enumerate(templates)]
 
 
-def _clusters(hits: list[int], gap: int):
-    """Runs of hit positions with fewer than ``gap`` others between two."""
-    start = last = hits[0]
-    for h in hits[1:]:
-        if h - last > gap:
-            yield start, last
-            start = h
-        last = h
-    yield start, last
-
-
-def _best_windows(grams: list, t: Template, a: int, b: int):
-    """Passages (first, last bigram) of grams[a..b] that match ``t``: the whole
-    stretch if its size is within bounds, and every window of the template's
-    own size; the best one first, then those that it leaves free."""
-    found = []
-    if t.least <= b - a + 1 <= t.most:
-        found.append((t.dice(grams[a:b + 1]), a, b))
-    size = t.size
-    if b - a + 1 > size:
-        have: Counter = Counter()
-        shared = 0
-        for i in range(a, b + 1):
-            g = grams[i]
-            have[g] += 1
-            shared += have[g] <= t.grams[g]
-            if i - a >= size:
-                g = grams[i - size]
-                shared -= have[g] <= t.grams[g]
-                have[g] -= 1
-            if i - a >= size - 1 and shared >= t.threshold * size - 1e-9:
-                found.append((shared / size, i - size + 1, i))
-    free = []
-    for score, x, y in sorted(found, key=lambda f: (-f[0], f[1])):
-        if score >= t.threshold - 1e-9 and all(y < p or q < x for _, p, q in free):
-            free.append((score, x, y))
-    return free
+def _best_from(grams: list, hits: list[int], t: Template, k: int, end: int):
+    """The closest passage (Dice, first, last bigram) that begins on hit ``k``
+    and ends on a hit before ``end``; None below the threshold."""
+    x, shared, best = hits[k], 0, None
+    have: Counter = Counter()
+    for j in range(k, len(hits)):
+        y = hits[j]
+        if y >= end or y - x >= t.most:
+            break
+        g = grams[y]
+        have[g] += 1
+        if have[g] <= t.grams[g]:
+            shared += 1
+            score = 2 * shared / (y - x + 1 + t.size)
+            if score >= t.threshold - 1e-9 and (best is None or score > best[0]):
+                best = score, x, y
+    return best
+
+
+def _passages(grams: list, hits: list[int], t: Template):
+    """Passages (Dice, first, last bigram) that match ``t``, of every size
+    within bounds: the closest one first, then those that share no word with
+    it.  A closest passage begins and ends on a hit."""
+    heap = []
+    for k in range(len(hits) - t.least + 1):
+        if hits[k + t.least - 1] - hits[k] < t.most:        # else too few hits for a match
+            best = _best_from(grams, hits, t, k, hits[-1] + 1)
+            if best:
+                heap.append((-best[0], best[1], best[2], k))
+    heapq.heapify(heap)
+    taken: list[tuple[int, int]] = []
+    while heap:
+        score, x, y, k = heapq.heappop(heap)
+        i = bisect(taken, (x, y))
+        if i and taken[i - 1][1] + 1 >= x:
+            continue
+        if i < len(taken) and taken[i][0] <= y + 1:         # what fits before the next one
+            best = _best_from(grams, hits, t, k, taken[i][0] - 1)
+            if best:
+                heapq.heappush(heap, (-best[0], best[1], best[2], k))
+            continue
+        taken.insert(i, (x, y))
+        yield -score, x, y
 
 
 def findings(text: str, templates: list[Template]) -> list[tuple[int, int, str, int, float]]:
     """(start, end, licence, template number, Dice) of the matches in one
     text, in code points, by start; of overlapping matches the longest, then
-    the closest stays."""
+    the closest stays, and the other's template is sought again around it."""
     low = text.lower()
     if len(low) != len(text):               # a letter whose lower case is longer: keep positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -166,18 +174,39 @@ def findings(text: str, templates: list[Template]) -> list[tuple[int, int, str,
     for i, g in enumerate(grams):
         if g in known:
             at.setdefault(g, []).append(i)
-    found = []
+    heap, hits_of = [], {}
+
+    def put(t: Template, hits: list[int]) -> None:
+        for score, x, y in _passages(grams, hits, t):
+            heapq.heappush(heap, (x - y, -score, x, t.number, y))
+
     for t in near:
         hits = sorted(i for g in t.grams for i in at.get(g, ()))
-        if len(hits) < t.least:
-            continue
-        for a, b in _clusters(hits, t.most - t.least + 1):
-            for score, x, y in _best_windows(grams, t, a, b):
-                found.append((y - x, score, places[x].start(), places[y + 1].end(), t.license, t.number))
+        if len(hits) >= t.least:
+            hits_of[t.number] = t, hits
+            put(t, hits)
+    taken: list[tuple[int, int]] = []           # first and last bigram, by place
     out = []
-    for _, score, start, end, name, number in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[5])):
-        if all(end <= s or e <= start for s, e, *_ in out):
-            out.append((start, end, name, number, score))
+    while heap:
+        _, score, x, number, y = heapq.heappop(heap)
+        t, hits = hits_of[number]
+        i = bisect(taken, (x, y))
+        if i and taken[i - 1][1] + 1 >= x or i < len(taken) and taken[i][0] <= y + 1:
+            # Other passages of the template may lie in what is left free around this one.
+            low_end, high_end = x - t.most, y + t.most
+            while i and taken[i - 1][1] >= low_end:
+                i -= 1
+            start = low_end
+            while start <= high_end:
+                stop = min(high_end + 1, taken[i][0] - 1) if i < len(taken) else high_end + 1
+                put(t, hits[bisect_left(hits, start):bisect_left(hits, stop)])
+                if i == len(taken):
+                    break
+                start = max(start, taken[i][1] + 2)
+                i += 1
+            continue
+        taken.insert(i, (x, y))
+        out.append((places[x].start(), places[y + 1].end(), t.license, number, -score))
     return sorted(out)
 
 

@@ -71,6 +71,44 @@ def test_bounds_prune_no_match():
         assert mine <= brute_names(text), text
 
 
+GPL = "Licensed under the GNU General Public License, version 3, and distributed under the terms below."
+
+
+def test_shortened_notice_beside_common_words():
+    assert names(GPL) == {"GPL-3.0"}
+    filler = "and of the work in the file under the terms of a list for the use of the copyright holder by the public"
+    mit = lic.TEMPLATES[4][1].split()
+    for cut in (slice(0, -10), slice(9, None)):
+        assert names(f"{filler} {' '.join(mit[cut])} {filler}") == {"MIT"}
+    assert names(f"{GPL} {GPL} Licensed under the MIT License. {GPL}") == {"GPL-3.0", "MIT"}
+
+
+def test_every_name_of_the_brute_force():
+    """Each template alone; with all of them, a name may only be missing where a longer or closer finding overlaps."""
+    rng = random.Random(5)
+    filler = "with this work and under the public of the terms of a the file in the software under the".split()
+    matched = 0
+    for _ in range(120):
+        t = rng.choice(KNOWN)
+        words = list(t.words)
+        for _ in range(rng.randint(0, 2 + len(words) // 5)):
+            i = rng.randrange(len(words)) if words else 0
+            words[i:i + rng.randint(0, 2)] = rng.choices(filler, k=rng.randint(0, 2))
+        text = " ".join(rng.choices(filler, k=rng.randint(0, 30)) + words + rng.choices(filler, k=rng.randint(0, 30)))
+        grams = lic.bigrams(lic.words_of(text))
+        found = lic.findings(text, KNOWN)
+        for t in KNOWN:
+            scores = [(t.dice(grams[a:a + n]), a, n) for a in range(len(grams)) for n in range(t.least, min(t.most, len(grams) - a) + 1)]
+            best = max(scores, default=(0, 0, 0))
+            alone = lic.findings(text, [t])
+            assert bool(alone) == (best[0] >= lic.THRESHOLD - 1e-9), (t.license, text)
+            if alone:
+                matched += 1
+                assert abs(max(f[4] for f in alone) - best[0]) < 1e-9
+                assert t.license in {f[2] for f in found} or any(f[0] < alone[0][1] and alone[0][0] < f[1] for f in found), text
+    assert matched > 60
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     got = {r.doc_id: set(r.licenses) for r in lic.scanned(docs).collect()}
