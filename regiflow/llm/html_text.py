@@ -35,35 +35,58 @@ WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
     modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination
     toolbar""".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
+#: What a class or id may hold beside words of the list and still name boilerplate (top-menu, cookie-bar, post-comments).
+QUALIFIERS = frozenset("""top bottom left right upper lower main primary secondary global site page mobile desktop sticky fixed
+    floating inner outer bar box block list items item links link button buttons icons icon wrapper wrap container inline area
+    section panel column col row slot unit zone form text message region""".split())
+PARTS_OF = frozenset("post posts entry article articles story stories user reader media google thread reply author".split())
+#: Elements whose id may name boilerplate; ids of others, headings above all, are targets of links.
+NAMED_BY_ID = frozenset("div section ul ol table".split())
 #: What an open element ends when it starts again beside itself, and where the search stops.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
             "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 _OPEN_TAG = re.compile(r"<[A-Za-z/!?]")
-_TOKEN = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def _names(token: str, words: frozenset[str]) -> bool:
+    """Whether a class or id as a whole is one of ``words`` or a compound of
+    them and qualifiers; has-sidebar, no-comments or related-work are not."""
+    if token.lower() in words:
+        return True
+    parts = [w.lower() for w in _TOKEN.findall(token)]
+    if not WORDS.isdisjoint(parts):
+        return all(w in words or w in QUALIFIERS or w in PARTS_OF for w in parts)
+    return not words.isdisjoint(parts) and all(w in words or w in QUALIFIERS for w in parts)     # not the header of an article
+
+
+# How far a block is from content.
+CONTENT, WRAPPED, NAMED, MARKED = range(4)     # an article in a NAMED wrapper is WRAPPED; MARKED by its element or role
 
 
 class PageLines(HTMLParser):
-    """Collects (text, tags, region, path of regions, boilerplate) per line."""
+    """Collects (text, tags, region, path of regions, level, in article) per line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, bool, bool, tuple[int, ...], bool]] = []   # name, hidden, boilerplate, regions, in article
+        self.lines: list[tuple[str, int, int, tuple[int, ...], int, bool]] = []
+        self.stack: list[tuple[str, bool, int, tuple[int, ...], bool]] = []   # name, hidden, level, regions, in article
         self.text: list[str] = []
         self.tags = 0
         self.regions = 0
-        self.hidden = self.boilerplate = self.in_article = False
+        self.hidden = self.in_article = False
+        self.level = CONTENT
         self.path: tuple[int, ...] = (0,)
 
     def _restore(self) -> None:
-        _, self.hidden, self.boilerplate, self.path, self.in_article = \
-            self.stack[-1] if self.stack else ("", False, False, (0,), False)
+        _, self.hidden, self.level, self.path, self.in_article = \
+            self.stack[-1] if self.stack else ("", False, CONTENT, (0,), False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.lines.append((text, self.tags, self.path[-1], self.path, self.boilerplate))
+            self.lines.append((text, self.tags, self.path[-1], self.path, self.level, self.in_article))
             self.tags = 0
 
     def _open_sibling(self, tag: str) -> None:
@@ -80,19 +103,30 @@ class PageLines(HTMLParser):
                 return None
         return None
 
-    def _is_boilerplate(self, tag: str, attrs) -> bool:
-        if tag in BOILERPLATE or tag == "header" and not self.in_article:
-            return True
+    def _level(self, tag: str, attrs) -> int:
+        """The level of an element in its place."""
+        level = self.level
+        if tag == "main" and level == NAMED:
+            level = CONTENT
+        elif tag == "article" and level == NAMED:
+            level = WRAPPED
+        if tag == "form":                   # some sites wrap the whole page in one
+            level = max(level, NAMED)
+        elif tag in BOILERPLATE or tag == "header" and not self.in_article:
+            return MARKED
+        words = WORDS if self.in_article else WORDS | HEADER_WORDS
         for key, value in attrs:
             if not value:
                 continue
             if key == "role" and value.strip().lower() in ROLES:
-                return True
-            if key in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                words = set(_TOKEN.findall(value.lower()))
-                if words & WORDS or not self.in_article and words & HEADER_WORDS:
-                    return True
-        return False
+                return MARKED
+            if tag in ("body", "html", "article", "main"):
+                continue
+            # In an article the id of a section is the slug of its heading.
+            by_id = key == "id" and tag in NAMED_BY_ID and not (tag == "section" and self.in_article)
+            if (key == "class" or by_id) and any(_names(token, words) for token in value.split()):
+                level = max(level, NAMED)
+        return level
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -112,10 +146,10 @@ class PageLines(HTMLParser):
         if tag in CONTAINERS and not self.in_article:
             self.regions += 1
             path = (*path, self.regions)
-        boilerplate = self.boilerplate or self._is_boilerplate(tag, attrs)
-        if boilerplate and not self.boilerplate:
+        level = self._level(tag, attrs)
+        if level != self.level:
             self.flush()
-        self.stack.append((tag, self.hidden or tag in HIDDEN, boilerplate, path, self.in_article or tag in ("article", "main")))
+        self.stack.append((tag, self.hidden or tag in HIDDEN, level, path, self.in_article or tag in ("article", "main")))
         self._restore()
 
     def handle_startendtag(self, tag, attrs):
@@ -125,8 +159,8 @@ class PageLines(HTMLParser):
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                around = self.stack[i - 1][2] if i else False
-                if tag not in INLINE and tag not in ("td", "th") or around != self.boilerplate:
+                around = self.stack[i - 1][2] if i else CONTENT
+                if tag not in INLINE and tag not in ("td", "th") or around != self.level:
                     self.flush()
                 del self.stack[i:]
                 self._restore()
@@ -185,7 +219,9 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     lines = page.lines
-    own = [i for i, line in enumerate(lines) if not line[4]]
+    # Articles in a wrapper named like boilerplate count where no other article has text.
+    free = any(line[4] == CONTENT and line[5] for line in lines)
+    own = [i for i, line in enumerate(lines) if line[4] == CONTENT or line[4] == WRAPPED and not free]
     if not own:
         return ""
     score = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in lines]))

@@ -48,6 +48,27 @@ def test_nothing_to_extract(markup):
     assert html_text.main_text(markup) in ("", "<", "&")
 
 
+WRAPPERS = ["layout has-sidebar", "no-comments", "content-with-sidebar", "social-science", "social", "site-banner"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("key", ["class", "id"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_of_wrappers_hide_no_article(name, key, tag):
+    assert html_text.main_text(page(f"{NAV}<div {key}='{name}'><{tag}><h1>Title</h1><p>{LONG}</p></{tag}></div>")) == f"Title\n\n{LONG}"
+
+
+def test_slugs_keep_their_text_and_names_of_boilerplate_do_not():
+    body = (f"<p>{LONG}</p><section id='related-work'><h2 id='menu'>Menu</h2><p id='comment-on-results'>Remark.</p></section>"
+            "<section id='notice'><p class='no-ad'>Last.</p></section>")
+    assert html_text.main_text(page(f"<article>{body}</article>")) == "\n\n".join([LONG, "Menu", "Remark.", "Last."])
+    for name in ("sidebar", "left-sidebar", "topMenu", "cookie_notice", "social-share-buttons", "ad-slot-1", "SIDEBAR", "post-comments"):
+        assert html_text.main_text(page(f"<article><p>{LONG}</p><div class='x {name}'>Buy</div></article>")) == LONG, name
+    comments = f"<section class='comments'><article class='comment'><p>{LONG} says a reader</p></article></section>"
+    assert html_text.main_text(page(f"<article><p>{LONG}</p>{comments}</article>{comments}")) == LONG
+    assert html_text.main_text(page(f"<form id='aspnet'><div class='widget'><main><p>{LONG}</p><form>Name</form></main></div></form>")) == LONG
+
+
 def test_plain_text_and_deep_or_long_pages():
     assert html_text.main_text("just text") == "just text"
     assert html_text.main_text("<div>" * 3000 + LONG) == LONG
