@@ -4,8 +4,9 @@ The standard library's parser turns a page into lines, one per block element.
 A line's text-to-tag ratio is its text length per tag; the ratios are smoothed
 with a Gaussian kernel along the page and split by a threshold into two
 clusters.  The regions (article, or else the enclosing container) that hold
-lines of the upper cluster are the content; every block of a content region is
-kept, so short paragraphs of an article stay.  Menus, headers, footers,
+lines of the upper cluster are the content, and with them all articles, or the
+container around the parts of one text (sections, quotes, a div per
+paragraph); every block of these is kept, so short paragraphs stay.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are told
 by their element, role or class and are never content.
 
@@ -15,6 +16,7 @@ One pass per page, no shuffle; memory is one Arrow batch of pages.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -73,7 +75,7 @@ class PageLines(HTMLParser):
         self.stack: list[tuple[str, bool, int, tuple[int, ...], bool]] = []   # name, hidden, level, regions, in article
         self.text: list[str] = []
         self.tags = 0
-        self.regions = 0
+        self.regions: list[tuple[int, str, str]] = [(-1, "", "")]      # around it, element, name, by number; 0 is the page
         self.hidden = self.in_article = False
         self.level = CONTENT
         self.path: tuple[int, ...] = (0,)
@@ -144,8 +146,9 @@ class PageLines(HTMLParser):
             return
         path = self.path
         if tag in CONTAINERS and not self.in_article:
-            self.regions += 1
-            path = (*path, self.regions)
+            named = {k: v for k, v in attrs if k in ("class", "id") and v}
+            self.regions.append((path[-1], tag, named.get("class") or named.get("id") or ""))
+            path = (*path, len(self.regions) - 1)
         level = self._level(tag, attrs)
         if level != self.level:
             self.flush()
@@ -226,10 +229,39 @@ def main_text(html: str | None) -> str:
         return ""
     score = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in lines]))
     cut = threshold(score)
-    content = {lines[i][2] for i in own if score[i] >= cut} or {lines[max(own, key=lambda i: score[i])][2]}
-    # A block also belongs to a content region around its own; the page (0) and its body (1) are around everything.
-    outer = {r for r in content if r > 1}
-    return "\n\n".join(lines[i][0] for i in own if lines[i][2] in content or outer.intersection(lines[i][3]))
+    upper = [i for i in own if score[i] >= cut] or [max(own, key=lambda i: score[i])]
+    content = {lines[i][2] for i in upper}
+    # A block also belongs to a content region around its own; the page and its body are around everything.
+    around = {r for r in content if page.regions[r][1] not in ("", "body")} | _lifted(lines, own, upper, page.regions)
+    return "\n\n".join(lines[i][0] for i in own if lines[i][2] in content or around.intersection(lines[i][3]))
+
+
+def _lifted(lines: list, own: list[int], upper: list[int], regions: list[tuple[int, str, str]]) -> set[int]:
+    """The regions whose blocks are all content: the articles if most of the
+    upper cluster's text is in them, else the smallest container with most of
+    it, or, where that is only a part of a text (a section, a quote, a div
+    around one block, unnamed, or of the same class as one beside it), the
+    one around its parts."""
+    weight: Counter = Counter()
+    for i in upper:
+        for r in lines[i][3]:
+            weight[r] += len(lines[i][0])
+    whole = weight[0]
+    articles = {r for r, (_, tag, _) in enumerate(regions) if tag in ("article", "main")}
+    if 2 * sum(weight[r] for r in articles) > whole:
+        return articles
+    region = max(r for r, n in weight.items() if 2 * n > whole)         # these are nested; inner ones have higher numbers
+    blocks = Counter(lines[i][2] for i in own)
+    beside = Counter(regions)
+    inside = Counter(r[0] for r in regions)
+    while region > 0:
+        outer, tag, name = regions[region]
+        part = tag in ("section", "blockquote") or tag == "div" and (
+            not name or blocks[region] == 1 and not inside[region] or beside[regions[region]] > 1)
+        if not part:
+            break
+        region = outer
+    return {region}
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -69,6 +69,32 @@ def test_slugs_keep_their_text_and_names_of_boilerplate_do_not():
     assert html_text.main_text(page(f"<form id='aspnet'><div class='widget'><main><p>{LONG}</p><form>Name</form></main></div></form>")) == LONG
 
 
+def short(around, inside=""):
+    """Three short parts, the last ones too far from a long one to be smoothed up."""
+    return "".join(f"<{around}>{inside}<p>{w}.</p></{around.split()[0]}>" for w in ("Two", "Three", "Four"))
+
+
+PARTS = {
+    "unnamed divs": f"<div id='c'><div><p>{LONG}</p></div>{short('div')}</div>",
+    "in the body": f"<div><p>{LONG}</p></div>{short('div')}",
+    "equal classes": f"<div id='c'><div class='part'><p>{LONG}</p><p>{LONG}</p></div>{short("div class='part'")}</div>",
+    "named blocks": f"<div id='c'><div id='a'><p>{LONG}</p></div>{short("div id='b'")}</div>",
+    "sections": f"<div id='c'><section id='x'><h2>One</h2><p>{LONG}</p></section>{short('section')}</div>",
+    "nested": f"<div id='c'><section><div><p>{LONG}</p></div></section>{short('section', '<div>')}</div>",
+    "quote": f"<div id='c'><blockquote><p>{LONG}</p></blockquote><p>Two.</p><p>Three.</p><p>Four.</p></div>",
+    "short quote": f"<div id='c'><div><p>{LONG}</p></div>{short('blockquote')}</div>",
+    "many divs": "<div id='c'>" + f"<div><p>{LONG}</p></div>" * 5 + short("div") + "</div>",
+    "articles": f"<article><p>{LONG}</p></article>{short('article')}",
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_of_one_text_stay_together(name):
+    menu = "<div id='x1'><a href='/'>Home</a> <a href='/a'>About</a></div>" if "<div id='c'>" in PARTS[name] else ""
+    got = html_text.main_text(page(f"{menu}{NAV}{PARTS[name]}<footer>x</footer>"))
+    assert sorted(got.split("\n\n")) == sorted(re.findall(r"<(?:p|h2)>(.*?)</", PARTS[name]))
+
+
 def test_plain_text_and_deep_or_long_pages():
     assert html_text.main_text("just text") == "just text"
     assert html_text.main_text("<div>" * 3000 + LONG) == LONG
