@@ -47,6 +47,9 @@ NAMED_BY_ID = frozenset("div section ul ol table".split())
 #: What an open element ends when it starts again beside itself, and where the search stops.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
             "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
+#: Elements whose content is text, where it ends at all.
+RAW = frozenset("textarea title iframe noembed noframes xmp".split())
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--(?:!|\s*)>)", re.S)
 _OPEN_TAG = re.compile(r"<[A-Za-z/!?]")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -75,6 +78,7 @@ class PageLines(HTMLParser):
         self.stack: list[tuple[str, bool, int, tuple[int, ...], bool]] = []   # name, hidden, level, regions, in article
         self.text: list[str] = []
         self.tags = 0
+        self.unended: set[str] = set()
         self.regions: list[tuple[int, str, str]] = [(-1, "", "")]      # around it, element, name, by number; 0 is the page
         self.hidden = self.in_article = False
         self.level = CONTENT
@@ -175,6 +179,20 @@ class PageLines(HTMLParser):
         if not self.hidden:
             self.text.append(data)
 
+    def parse_starttag(self, i):
+        end = super().parse_starttag(i)
+        tag = self.lasttag
+        if end > 0 and tag in RAW and tag not in self.unended and self.rawdata[i + 1:i + 1 + len(tag)].lower() == tag:
+            self.set_cdata_mode(tag)
+            if not self.interesting.search(self.rawdata, end):
+                self.clear_cdata_mode()
+                self.unended.add(tag)
+        return end
+
+    def parse_comment(self, i, report=1):
+        closed = _COMMENT.match(self.rawdata, i)        # an unclosed one goes to the end of the page
+        return closed.end() if closed else len(self.rawdata)
+
     def parse_html_declaration(self, i):
         try:
             return super().parse_html_declaration(i)
@@ -206,12 +224,8 @@ def threshold(values: np.ndarray, rounds: int = 30) -> float:
 
 
 def _finished(html: str) -> str:
-    """The page without a comment or tag that it breaks off in."""
-    open_comment = html.find("<!--", max(0, html.rfind("-->")))
-    if open_comment >= 0:
-        html = html[:open_comment]
-    at = html.rfind(">") + 1
-    cut = _OPEN_TAG.search(html, at)
+    """The page without a tag that it breaks off in."""
+    cut = _OPEN_TAG.search(html, html.rfind(">") + 1)
     return html[:cut.start()] if cut else html
 
 

@@ -95,6 +95,18 @@ def test_parts_of_one_text_stay_together(name):
     assert sorted(got.split("\n\n")) == sorted(re.findall(r"<(?:p|h2)>(.*?)</", PARTS[name]))
 
 
+@pytest.mark.parametrize("before", [
+    "<script><!-- code </script>", "<style><!-- p{} </style>", "<textarea><!-- code</textarea>", "<div title='<!-- x'></div>",
+    "<title><!-- x</title>", "<!-- x --!>", "<!-->", "<!--->", "<!-- a -- >", "<script>x = '<!--'</script><p title=\"<!--\"></p>"])
+def test_comment_marks_outside_comments_cut_nothing(before):
+    assert html_text.main_text(page(f"{before}<article><p>{LONG}</p></article>")) == LONG
+
+
+def test_unclosed_comment_goes_to_the_end():
+    assert html_text.main_text(page(f"<article><p>{LONG}</p><!-- x <p>{LONG}</p></article>")) == LONG
+    assert html_text.main_text(f"<head><title>T</head><article><p>{LONG}</p><textarea>x</article><textarea>") == LONG
+
+
 def test_plain_text_and_deep_or_long_pages():
     assert html_text.main_text("just text") == "just text"
     assert html_text.main_text("<div>" * 3000 + LONG) == LONG
