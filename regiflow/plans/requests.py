@@ -111,12 +111,19 @@ def bulletin_quarantine(bulletins: DataFrame, body: str = "body", day: str = "da
 
 def missing_pages(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
                   num_pages: str = "num_pages", ok: str = "diagnosis") -> DataFrame:
-    """Listing pages ``1..num_pages`` of a company that have not landed as
-    ok: ``(krs_number, page)``.  ``num_pages`` is the greatest that any landed
-    page of the company shows.  A listing is whole only without such rows."""
-    total = parsed.groupBy(krs).agg(F.max(num_pages).alias(num_pages)).filter(F.col(num_pages) >= 1)
-    landed = parsed.filter(F.col(ok) == "ok").select(krs, F.col(page).cast("int").alias(page))
-    return page_plan(total).select(krs, page).join(landed, [krs, page], "left_anti")
+    """Known listing pages of a company that have not landed as ok:
+    ``(krs_number, page)``.  Known are ``1..num_pages``, the greatest count
+    that any landed page of the company shows, page 1 without a count (unless
+    it says that there are no documents), and every landed page that failed.
+    A listing is whole only without such rows."""
+    at, said = F.col(page).cast("int"), F.coalesce(F.col(ok), F.lit(""))
+    none = F.coalesce(F.max((at == 1) & (said == "no_documents")), F.lit(False))
+    total = parsed.groupBy(krs).agg(
+        F.greatest(F.max(F.col(num_pages).cast("int")), F.when(none, 0).otherwise(1)).alias(num_pages))
+    failed = parsed.filter(~said.isin("ok", "no_documents")).select(krs, at.alias(page))
+    known = page_plan(total).select(krs, page).unionAll(failed.filter(validate.page_reason(F.col(page)).isNull())).distinct()
+    landed = parsed.filter(said == "ok").select(krs, at.alias(page))
+    return known.join(landed, [krs, page], "left_anti")
 
 
 def in_window(day: Column, as_of, n_days: int) -> Column:

@@ -150,3 +150,14 @@ def test_script_style_and_comments_are_not_text():
     body = ("<partial-response><changes><update id='searchForm'><![CDATA[" + cell
             + "]]></update></changes></partial-response>")
     assert pages.parse_partial_response(body)["rows"] == [["1", "T", "N", "F", "D"]]
+
+
+def test_missing_pages_without_any_count(spark):
+    from regiflow.plans import requests
+
+    rows = [("a", 1, None, "throttled"), ("b", 1, None, "maintenance"), ("b", 2, None, "malformed"), ("c", 1, None, "no_documents"),
+            ("d", 1, 3, "ok"), ("d", 3, None, "throttled"), ("e", 1, 1, "ok"), ("f", 2, None, "cannot_display"),
+            ("g", 1, 1, "ok"), ("g", 1, None, "throttled"), ("g", 4, None, "throttled"), ("h", 1, None, None)]
+    parsed = spark.createDataFrame(rows, "krs_number string, page int, num_pages int, diagnosis string")
+    got = sorted(tuple(r) for r in requests.missing_pages(parsed).collect())
+    assert got == [("a", 1), ("b", 1), ("b", 2), ("d", 2), ("d", 3), ("f", 1), ("f", 2), ("g", 4), ("h", 1)]
