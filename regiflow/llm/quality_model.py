@@ -33,6 +33,8 @@ BITS = 20
 PREFIXES = (4, 5, 6, 7)
 MAX_LABELS = 10_000
 CACHE_PIECES = 300_000
+LANGUAGES = 64                           # numbers of languages, by hash
+PER_EPOCH = 300                          # features that training takes in at a time
 _EDGES = (0.01, 0.03, 0.1, 0.3)          # a shape feature is set for each of these shares that it exceeds
 _STRIP = b"".join(bytes([b]) for b in range(128) if not chr(b).isalnum())
 
@@ -99,84 +101,120 @@ class OrdinalModel:
     thresholds: np.ndarray       # ascending; one less than there are grades
 
     def score(self, features: np.ndarray) -> float:
-        return float(self.weights[features].sum(dtype=np.float64))
+        return float(self.weights[features[features < len(self.weights)]].sum(dtype=np.float64))
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. K-1, one row per score."""
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def telling(rows: list[tuple[np.ndarray, int]], least_z: float, least_rows: int = 4, most_share: float = 0.1) -> np.ndarray:
-    """Mask of the features whose rows' mean grade lies ``least_z`` standard
-    errors or more below the overall mean, without the words of more than
-    ``most_share`` of the rows (they only mirror a text's language).  Most
-    words of a text tell nothing about its grade, and none makes up for an
-    insult or for junk: without weights they cannot drown those that tell."""
-    n, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for idx, grade in rows:
-        n[idx] += 1
-        total[idx] += grade
-    grades = np.array([g for _, g in rows] or [0], float)
-    below = (n * grades.mean() - total) / np.sqrt(np.maximum(n, 1)) / max(grades.std(), 1e-9)
-    shape = np.zeros(1 << BITS, bool)
-    shape[[hashed(b"s%d:%d" % (k, b)) for k in range(4) for b in range(len(_EDGES))]] = True
-    return (n >= least_rows) & (below >= least_z) & (shape | (n <= most_share * len(rows)))
-
-
-def train(rows: Iterable[tuple[np.ndarray, int]], grades: int, epochs: int = 8, rate: float = 0.5, l1: float = 1.0,
-          l2: float = 0.1, least_z: float = 4.0, seed: int = 7) -> OrdinalModel:
-    """Maximum likelihood by FTRL-proximal steps over the ``telling``
-    features, the thresholds by gradient steps on their gaps.  Rows with equal
-    features and grade count once; rows are taken in a fixed shuffled order,
-    so equal input gives an equal model.  Without rows the weights are 0 and
-    the thresholds evenly spaced."""
+def language(name: str | None) -> int:
+    """The number of a language, above those of the features."""
+    return (1 << BITS) + zlib.crc32((name or "").encode()) % LANGUAGES
+
+
+def _ends(scores: np.ndarray, grade: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade <= own) and P(grade < own) of each row."""
+    last = len(theta)
+    upper = np.where(grade < last, _sigmoid(theta[np.minimum(grade, last - 1)] - scores), 1.0)
+    return upper, np.where(grade > 0, _sigmoid(theta[np.maximum(grade, 1) - 1] - scores), 0.0)
+
+
+def _fit_thresholds(scores: np.ndarray, grade: np.ndarray, theta: np.ndarray) -> None:
+    """Each threshold by bisection between its neighbours (the loss is convex)."""
+    for k in range(len(theta)):
+        low, high = theta[k - 1] + 1e-2 if k else -20.0, theta[k + 1] - 1e-2 if k + 1 < len(theta) else 20.0
+        for _ in range(30):
+            theta[k] = (low + high) / 2
+            upper, lower = _ends(scores, grade, theta)
+            p = np.maximum(upper - lower, 1e-12)
+            slope = (lower * (1 - lower) / p)[grade == k + 1].sum() - (upper * (1 - upper) / p)[grade == k].sum()
+            low, high = (theta[k], high) if slope < 0 else (low, theta[k])
+
+
+def train(rows: Iterable[tuple[np.ndarray, int]], grades: int, epochs: int = 15, l1: float = 2.0, l2: float = 0.1,
+          relax: float = 0.1) -> OrdinalModel:
+    """Penalised maximum likelihood over all hashed features, with weights of
+    either sign.  A feature's L1 penalty is ``l1`` standard errors of its
+    gradient without any weights, so common and rare ones are held alike: a
+    word's evidence counts beside that of the others, and no share of rows
+    rules it out.  Each epoch takes in the features whose gradient exceeds
+    their penalty and solves for the chosen ones by coordinate descent; those
+    that stay are solved once more with ``relax`` of the penalty.
+
+    The numbers of languages have weights of their own without L1, left out
+    of the model: words are compared within a language.  Rows with equal
+    features and grade count once; equal input gives an equal model.  Without
+    rows the weights are 0 and the thresholds evenly spaced."""
     rows = list({(f.tobytes(), g): (f, g) for f, g in rows}.values())
-    use = telling(rows, least_z)
-    rows = [(f[use[f]], g) for f, g in rows]
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    first, gaps = -1.0, np.zeros(max(0, grades - 2))     # theta_0 and the logs of the gaps
-    order = np.random.default_rng(seed)
-
-    def thetas():
-        return first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-
-    def weight(idx):
-        zi, ni = z[idx], n[idx]
-        return np.where(zi <= l1, 0.0, -(zi - l1) / ((1.0 + np.sqrt(ni)) / rate + l2))      # never above 0
-
-    steps = 0
+    theta = np.linspace(-1.0, 1.0, grades - 1) if grades > 2 else np.zeros(grades - 1)
+    weights = np.zeros(1 << BITS, np.float32)
+    if not rows:
+        return OrdinalModel(weights, theta)
+    grade = np.array([g for _, g in rows])
+    names = np.concatenate([f for f, _ in rows])
+    if not len(names):
+        _fit_thresholds(np.zeros(len(rows)), grade, theta)
+        return OrdinalModel(weights, theta)
+    order = np.argsort(names, kind="stable")
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])[order]     # rows by feature
+    names, start = np.unique(names[order], return_index=True)
+    end = np.append(start[1:], len(at))
+    del order
+    scores, w = np.zeros(len(rows)), np.zeros(len(names))
+    _fit_thresholds(scores, grade, theta)
+
+    def slopes():
+        upper, lower = _ends(scores, grade, theta)
+        return 1.0 - upper - lower, np.maximum(upper * (1 - upper) + lower * (1 - lower), 0.1)
+
+    def solve(chosen: np.ndarray, penalty: np.ndarray, steps: int) -> None:
+        for _ in range(steps):
+            slope, curve = slopes()
+            left, moved = slope / curve, 0.0
+            own = [(j, at[start[j]:end[j]]) for j in chosen]
+            own = [(j, i, curve[i], curve[i].sum() + l2) for j, i in own]
+            for _ in range(3):
+                for j, i, c, a in own:
+                    v = w[j] * (a - l2) - c @ left[i]
+                    new = np.sign(v) * max(0.0, abs(v) - penalty[j]) / a
+                    if change := new - w[j]:
+                        left[i] += change
+                        scores[i] += change
+                        w[j] = new
+                        moved = max(moved, abs(change))
+            _fit_thresholds(scores, grade, theta)
+            if moved < 1e-2:
+                return
+
+    nuisance = names >= 1 << BITS
+    solve(np.flatnonzero(nuisance), np.zeros(len(names)), 6)
+    penalty = l1 * max(slopes()[0].std(), 1e-9) * np.sqrt(end - start)
+    penalty[nuisance] = 0
+    active = nuisance.copy()
     for _ in range(epochs):
-        for r in order.permutation(len(rows)):
-            idx, grade = rows[r]
-            w = weight(idx)
-            theta = thetas()
-            f = np.concatenate([[0.0], _sigmoid(theta - w.sum()), [1.0]])
-            upper, lower = f[grade + 1], f[grade]
-            g = 1.0 - upper - lower                        # d loss / d score
-            sigma = (np.sqrt(n[idx] + g * g) - np.sqrt(n[idx])) / rate
-            z[idx] += g - sigma * w
-            n[idx] += g * g
-            p = max(upper - lower, 1e-9)
-            d = np.zeros(grades - 1)                       # d loss / d theta
-            if grade < grades - 1:
-                d[grade] -= upper * (1 - upper) / p
-            if grade > 0:
-                d[grade - 1] += lower * (1 - lower) / p
-            d = np.clip(d, -5, 5)
-            steps += 1
-            eta = 0.1 / np.sqrt(1 + steps / 500)
-            if len(gaps):
-                gaps -= eta * np.cumsum(d[::-1])[::-1][1:] * np.exp(gaps)
-                gaps = np.clip(gaps, -4, 4)
-            first -= eta * d.sum()
-    return OrdinalModel(weight(np.arange(1 << BITS)).astype(np.float32), thetas())
+        excess = np.abs(np.add.reduceat(slopes()[0].astype(np.float32)[at], start)) / np.maximum(penalty, 1e-9)
+        excess[active] = 0
+        new = np.flatnonzero(excess > 1)
+        if not len(new):
+            break
+        active[new[np.argsort(-excess[new], kind="stable")[:PER_EPOCH]]] = True
+        solve(np.flatnonzero(active), penalty, 6)
+        active = nuisance | (w != 0)
+    solve(np.flatnonzero(active), relax * penalty, 10)
+    weights[names[~nuisance]] = w[~nuisance]
+    for j in np.flatnonzero(nuisance):          # the thresholds fit the scores that texts will get
+        scores[at[start[j]:end[j]]] -= w[j]
+    _fit_thresholds(scores, grade, theta)
+    return OrdinalModel(weights, theta)
 
 
 def rated_features(docs: DataFrame, ratings: DataFrame, grade: Column, max_labels: int = MAX_LABELS, id_col: str = "doc_id",
-                   text_col: str = "text") -> list[tuple[int, np.ndarray, int]]:
+                   text_col: str = "text", lang_col: str = "lang") -> list[tuple[int, np.ndarray, int]]:
     """``(id, features, grade)`` of at most ``max_labels`` rated documents, by
     id.  Rated rows without a grade or id are left out; of several ratings of
-    a document the lowest counts."""
+    a document the lowest counts.  Where ``docs`` has ``lang_col``, the number
+    of the language stands last among the features."""
     sample = (ratings.select(F.col(id_col).cast("long").alias("doc_id"), grade.cast("int").alias("grade"))
               .filter("doc_id is not null and grade is not null")
               .groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -186,12 +224,15 @@ def rated_features(docs: DataFrame, ratings: DataFrame, grade: Column, max_label
         features = Features()
         for batch in batches:
             rows = [features(t.as_py()) for t in batch.column(2)]
+            if batch.num_columns > 3:
+                rows = [np.append(f, np.int32(language(n))) for f, n in zip(rows, batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))],
                                              ["doc_id", "grade", "features"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("data"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("data"),
+                        *([F.col(lang_col).cast("string").alias("lang")] if lang_col in docs.columns else []))
     found = (texts.join(F.broadcast(sample), "doc_id")          # at most max_labels rows of two numbers
-             .select("doc_id", "grade", "data").mapInArrow(run, "doc_id long, grade int, features array<int>"))
+             .select("doc_id", "grade", *texts.columns[1:]).mapInArrow(run, "doc_id long, grade int, features array<int>"))
     rows = found.orderBy("doc_id").toArrow().combine_chunks()
     lists = rows["features"].chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -204,8 +245,8 @@ def held_out(doc_id: int) -> bool:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, max_labels: int = MAX_LABELS, id_col: str = "doc_id",
-        text_col: str = "text") -> OrdinalModel:
-    rows = rated_features(docs, ratings, grade, max_labels, id_col, text_col)
+        text_col: str = "text", lang_col: str = "lang") -> OrdinalModel:
+    rows = rated_features(docs, ratings, grade, max_labels, id_col, text_col, lang_col)
     return train([(f, g) for d, f, g in rows if not held_out(d)], grades)
 
 

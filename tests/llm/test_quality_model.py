@@ -42,6 +42,49 @@ def test_training_is_deterministic_and_bounded(spark, rated):
     assert len(qm.rated_features(docs, labels, grade_of_labels(), max_labels=50)) <= 50
 
 
+def _texts(rng, n, *marks):
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    return [qm.Features()(" ".join([*rng.choice(words, 30), *marks]).encode()) for _ in range(n)]
+
+
+def _kept(model, texts):
+    return (model.tails(np.array([model.score(f) for f in texts]))[:, 1] >= 0.5).mean()
+
+
+def test_a_bad_source_with_a_third_of_the_labels():
+    rng = np.random.default_rng(3)
+    for marks in (["zork"], ["zork", "blub"]):
+        model = qm.train([(f, 2) for f in _texts(rng, 300)] + [(f, 0) for f in _texts(rng, 150, *marks)], 3)
+        assert _kept(model, _texts(rng, 100)) == 1
+        assert _kept(model, _texts(rng, 100, *marks)) == 0
+
+
+def test_words_seen_in_few_bad_rows():
+    rng = np.random.default_rng(4)
+    bad = [f"{chr(97 + i)}nsult" for i in range(20)]
+    rows = [(f, 2) for f in _texts(rng, 300)] + [(f, 1) for w in bad for f in _texts(rng, 5, w)]
+    model = qm.train(rows, 3)
+    assert _kept(model, _texts(rng, 200)) >= 0.95
+    assert np.mean([_kept(model, _texts(rng, 10, w)) for w in bad]) <= 0.1
+
+
+def test_sound_words_count_and_languages_do_not():
+    rng = np.random.default_rng(5)
+    model = qm.train([(f, 2) for f in _texts(rng, 150, "sound")] + [(f, 1) for f in _texts(rng, 150)], 3)
+    assert model.weights.max() > 0
+    assert _kept(model, _texts(rng, 50, "sound")) == 1 and _kept(model, _texts(rng, 50)) == 0
+
+    def lang(rows, name):
+        return [np.append(f, np.int32(qm.language(name))) for f in rows]
+
+    # Most rated texts of one language are bad; its own words do not tell, the mark does.
+    rows = [(f, 2) for f in lang(_texts(rng, 200, "the"), "en")] + [(f, 1) for f in lang(_texts(rng, 20, "the", "zork"), "en")]
+    rows += [(f, 2) for f in lang(_texts(rng, 30, "der"), "de")] + [(f, 1) for f in lang(_texts(rng, 100, "der", "zork"), "de")]
+    model = qm.train(rows, 3)
+    assert model.weights[qm.hashed(b"wder")] == 0 == model.weights[qm.hashed(b"wthe")]
+    assert _kept(model, _texts(rng, 50, "der")) == 1 and _kept(model, _texts(rng, 50, "der", "zork")) == 0
+
+
 def test_tails_are_probabilities_of_ordered_grades():
     model = qm.OrdinalModel(np.zeros(1 << qm.BITS, np.float32), np.array([-1.0, 0.5]))
     tails = model.tails(np.array([-50.0, 0.0, 50.0]))
