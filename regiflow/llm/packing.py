@@ -4,7 +4,8 @@ Hierarchical residual packing.  Texts are tokenised once and cut into pieces;
 only the pieces' lengths and places travel on.  Each partition packs its own
 pieces best-fit, longest first, and emits the bins that are full or nearly
 so.  Underfull bins become the items of the next round, on an eighth of the
-partitions, until one partition is left or a round joins hardly any bins.  A
+partitions, until one is left; where they are too many for one task, they are
+mixed afresh round by round until a round saves no bin.  A
 task of a later round also tries the pieces of its underfull bins one by one
 and takes that result if it needs fewer bins.
 
@@ -121,7 +122,7 @@ def _packed(capacity: int, closed_at: int, level: int):
         loose = best_fit(length, capacity)                  # the same bins, opened
         if len(loose[2]) < len(fill):
             bins, places, fill = loose
-        number = (np.int64(level) << 56) | (np.int64(part) << 32)
+        number = (np.int64(level) << 48) | (np.int64(part) << 24)         # rounds are many, bins of a task few
         cols = [table[c] for c in _COLUMNS] + [pa.array(number + bins), pa.array(places), pa.array(fill[bins] < closed_at)]
         out = pa.table(cols, [*_COLUMNS, "bin", "offset", "open"])
         yield from out.to_batches(max_chunksize=65536)
@@ -146,9 +147,10 @@ def pack(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY, nearly
         state = materialize(spark, state.mapInArrow(_packed(capacity, closed_at, level), _BINS), "pack-bins")
         done.append(state.filter("not open"))
         left = state.filter("open")
-        rows, bins = left.agg(F.count("*"), F.count_distinct("bin")).first()
-        last = parts == 1 or not rows or (before is not None and parts <= -(-rows // ROWS_PER_TASK) and bins > 0.99 * before)
-        if last:
+        first = F.col("offset") == 0            # one row of every bin
+        total, rows, bins = state.agg(F.count_if(first), F.count_if("open"), F.count_if(first & F.col("open"))).first()
+        mixing = before is not None and parts <= -(-rows // ROWS_PER_TASK)
+        if parts == 1 or not rows or mixing and total >= before:
             done.append(left)
             break
         before, level = bins, level + 1

@@ -77,3 +77,23 @@ def test_rounds_reach_the_fewest_sequences(spark, lengths, over):
 def test_best_fit_takes_the_tightest_bin():
     bins, places, fill = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert fill.tolist() == [10, 10] and bins.tolist() == [0, 1, 0, 1, 1] and places.tolist() == [0, 0, 6, 5, 8]
+
+
+def test_bins_too_many_for_one_task_are_mixed_until_a_round_saves_none(spark, monkeypatch):
+    rounds = []
+
+    def watched(session, df, name):
+        out = write(session, df, name)
+        if name == "pack-bins":
+            rounds.append(out.selectExpr("count_if(offset = 0)", "count_if(offset = 0 and open)").first())
+        return out
+
+    write = packing.materialize
+    monkeypatch.setattr(packing, "materialize", watched)
+    monkeypatch.setattr(packing, "ROWS_PER_TASK", 50)
+    lengths = [70] * 1500 + [52] * 40 + [48] * 40 + [1]         # the last one keeps bins open
+    got = packing.pack(spark, items(spark, lengths, 40), 100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(lengths)))
+    check_sequences(got, 100)
+    assert len(rounds) > 1 and rounds[-1][0] == rounds[-2][1]
+    assert all(after[0] < before[1] for before, after in zip(rounds, rounds[1:-1]))
