@@ -205,7 +205,8 @@ SQL: dict[str, str] = {
     """,
     "missing_pages": f"""
         SELECT krs_number, page FROM ({_PAGE_KINDS}) p
-        WHERE diagnosis <> 'ok' AND krs_number IN (SELECT krs_number FROM ({_PAGE_KINDS}) WHERE diagnosis = 'ok')
+        WHERE diagnosis <> 'ok'
+          AND (diagnosis <> 'no_documents' OR krs_number IN (SELECT krs_number FROM ({_PAGE_KINDS}) WHERE diagnosis = 'ok'))
     """,
     "document_records": f"""
         SELECT sha256(CAST(p_partkey AS VARCHAR)) AS hash_id, {_zfill('CAST(p_size AS VARCHAR)')} AS krs_number,
