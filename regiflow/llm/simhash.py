@@ -132,13 +132,14 @@ def _forest(values: np.ndarray, max_distance: int) -> Iterator[tuple[int, int]]:
     """Spanning edges of the links among the fingerprints at one anchor."""
     rest = values
     while len(rest):
-        root, front, rest = rest[0], [rest[0]], rest[1:]
+        front, rest = [rest[0]], rest[1:]
         while front and len(rest):
-            near = np.bitwise_count(rest ^ front.pop()) <= max_distance
+            at = front.pop()
+            near = np.bitwise_count(rest ^ at) <= max_distance
             hits, rest = rest[near], rest[~near]
             front.extend(hits)
             for h in hits:
-                yield root, h
+                yield at, h
 
 
 def _edges_of(anchor: np.ndarray, fp: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:
