@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, licenses, packing, quality_model, quality_rules, secret_scan, simhash
+from . import (bpe, chat, exact_dedup, html_text, lexical_search, licenses, packing, quality_model, quality_rules, secret_scan,
+               simhash)
 from .common import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +73,10 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, _documents(spark, sf_dir))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=20)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": q_op1,
     "op2_license_scan": q_op2,
@@ -83,8 +88,12 @@ QUERIES = {
     "op8_best_fit_packing": q_op8,
     "op9_html_extraction": q_op9,
     "op10_exact_dedup": q_op10,
+    "op11_ranked_lexical_search": q_op11,
 }
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 SQL = {
     # An example is the conversation up to an assistant turn (or to its end): its length is a running sum of rendered turns,
     # each 10 characters of markers around role and text with a backslash behind every one of \\ < [ ].
@@ -109,4 +118,17 @@ SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_ranked_lexical_search": f"""
+        WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+        stats AS (SELECT count(*) FILTER (len(terms) > 0) AS documents, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM docs),
+        counts AS (SELECT k, doc_id, len(terms) AS n, term, count(*) AS tf FROM docs, unnest(terms) t(term) GROUP BY ALL),
+        wanted AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+                    FROM counts, stats GROUP BY term, documents),
+        scored AS (
+            SELECT item_id, doc_id, k, CAST(sum(repeats * w * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * n * documents // all_terms))))
+                                            AS BIGINT) AS score
+            FROM counts JOIN wanted USING (term) JOIN weights USING (term), stats GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20""",
 }
