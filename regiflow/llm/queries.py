@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, exact_dedup, html_text, lexical_search, licenses, packing, quality_model, quality_rules, secret_scan,
-               simhash)
+from . import (bpe, chat, exact_dedup, html_text, lexical_search, licenses, packing, quality_model, quality_rules,
+               repeated_phrases, secret_scan, simhash)
 from .common import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,10 @@ def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=20)
 
 
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.digests(repeated_phrases.without_repeats(spark, _documents(spark, sf_dir), window=20))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": q_op1,
     "op2_license_scan": q_op2,
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_html_extraction": q_op9,
     "op10_exact_dedup": q_op10,
     "op11_ranked_lexical_search": q_op11,
+    "op13_substring_dedup": q_op13,
 }
 
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
@@ -131,4 +136,13 @@ SQL = {
             FROM counts JOIN wanted USING (term) JOIN weights USING (term), stats GROUP BY ALL)
         SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
         WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20""",
+    "op13_substring_dedup": r"""
+        WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT k, doc_id, i, list_slice(words, i, i + 19) AS w FROM docs, unnest(range(1, len(words) - 18)) t(i)),
+        later AS (SELECT k, i FROM starts QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, k, i) > 1),
+        gone AS (SELECT DISTINCT k, i + j AS i FROM later, range(0, 20) t(j)),
+        words AS (SELECT k, i, words[i] AS word FROM docs, unnest(range(1, len(words) + 1)) t(i)),
+        kept AS (SELECT k, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (k)""",
 }
