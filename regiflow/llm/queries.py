@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, chat, exact_dedup, html_text, lexical_search, licenses, packing, quality_model, quality_rules,
-               repeated_phrases, secret_scan, simhash)
+               repeated_phrases, secret_scan, simhash, structure_repair)
 from .common import materialize
+from .repair_sql import REPAIR
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,6 +78,12 @@ def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=20)
 
 
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows, found = structure_repair.repair(spark, structure_repair.damaged(turns))
+    return structure_repair.digests(turns, rows, found)
+
+
 def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_phrases.digests(repeated_phrases.without_repeats(spark, _documents(spark, sf_dir), window=20))
 
@@ -93,6 +100,7 @@ QUERIES = {
     "op9_html_extraction": q_op9,
     "op10_exact_dedup": q_op10,
     "op11_ranked_lexical_search": q_op11,
+    "op12_structure_repair": q_op12,
     "op13_substring_dedup": q_op13,
 }
 
@@ -136,6 +144,7 @@ SQL = {
             FROM counts JOIN wanted USING (term) JOIN weights USING (term), stats GROUP BY ALL)
         SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
         WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20""",
+    "op12_structure_repair": REPAIR,
     "op13_substring_dedup": r"""
         WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         starts AS (SELECT k, doc_id, i, list_slice(words, i, i + 19) AS w FROM docs, unnest(range(1, len(words) - 18)) t(i)),
