@@ -47,6 +47,17 @@ def test_whole_table(spark):
     assert n <= math.ceil(1.005 * sum(r.length for r in got) / 2048) + 1
 
 
+def test_pieces_of_every_kind(spark):
+    """Plain pieces are split before the library is asked, others are not."""
+    rng = np.random.default_rng(3)
+    letters = list("abcxyzABC019.,'!?-#") + ["é", "Ä", "ß", "ſ", "ı", "İ", "ñ", "Σ", "\u0301", "日", "\u00d7", "\u2019", "<|", "|>", " ", "\n", "\u00a0"]
+    rows = [(i, "".join(rng.choice(letters, rng.integers(1, 40)))) for i in range(3000)]
+    rows += [(-1, "it's we'LL 'tis IT'S <|endoftext|> a<|ENDOFTEXT|>b 12's ' 's")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pieces(df, PATH).collect()
+    assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got], key=str) == want_pieces(rows)
+
+
 def test_null_empty_repeated_and_extra_columns(spark):
     rows = [(1, None), (2, ""), (None, "a b c"), (4, "word " * 5000), (4, "word " * 5000), (5, "x " * 2047), (6, "x " * 2048)]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, bin int")
