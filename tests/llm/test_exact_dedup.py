@@ -59,3 +59,28 @@ def test_one_block_over_many_partitions(spark):
     rows = [(i, "same text") for i in range(3000)] + [(9000 + i, f"text {i}") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert result(exact_dedup.exact_duplicates(spark, df)) == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_two_blocks_of_one_hash_at_a_border(spark, bits):
+    """A hash of few bits: every border has blocks of one hash on both sides."""
+    rows = [(d, f"text {d % 170}" + "x" * (d % 3 * 9)) for d in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found, texts, names = exact_dedup.identities(spark, df, block_bytes=8, hash_bits=bits).collect(), dict(rows), {}
+        for r in found:
+            names.setdefault((r.level, r.name), set()).add(texts[r.doc_id])
+        assert len(found) == len(rows) and sorted(map(len, names.values())) == [1] * len(set(texts.values()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_one_block_over_many_partitions_keeps_one_name(spark):
+    rows = [(d, "the same block of text" if d % 3 else f"text {d}") for d in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert result(exact_dedup.exact_duplicates(spark, df)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
