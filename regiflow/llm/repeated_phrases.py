@@ -363,8 +363,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # 2. Runs whose anchor is met twice, with the row that met it first.
     runs = hashed.join(own.select("row"), "row", "left_semi").select("row", F.inline("runs"))
     met = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("row").alias("owner")).filter(F.col("n") > 1)
-    spots = runs.join(met.select("anchor", "owner"), "anchor").groupBy("row").agg(
-        F.collect_list(F.struct("start", "windows", "owner")).alias("spots"))
+    # Written first: then both sides of the join are plain shuffles, and AQE can split an anchor that many documents have.
+    met = materialize(spark, met.select("anchor", "owner"), "phrases-met")
+    spots = runs.join(met, "anchor").groupBy("row").agg(F.collect_list(F.struct("start", "windows", "owner")).alias("spots"))
     spots = spots.join(own.select("row", "tag", "doc_id"), "row")
     segments = materialize(spark, _segments(texts.select("tag", "data").join(spots, "tag"), window), "phrases-segments")
     drop_written(spark, hashed)
