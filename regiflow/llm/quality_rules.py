@@ -17,10 +17,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import materialize, whole_text
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -200,15 +200,14 @@ def judged(counted: DataFrame, model: VoteModel, threshold: float = 0.5) -> Data
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_sound") >= threshold))
 
 
-def keep_sound(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_sound(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns.
 
     Defined results: a null text counts as empty and is dropped (no words);
     repeated rows share a verdict; an empty table gives no rows; columns of
     any name pass through, as the counts stand beside the row's struct.
-    The text is read twice (estimate, then filter); nothing is written.
+    The rows are written once with their counts; the estimate and the filter
+    read the counts alone.
     """
-    counted = counts(docs, text)
-    # A filter that uses the row number stays above the counts; otherwise the optimizer would push it below them
-    # and compute every count again inside its condition.
-    return judged(counted, fit(counted)).filter("kept and row >= 0").select("doc.*")
+    counted = materialize(spark, counts(docs, text), "quality-counts")
+    return judged(counted, fit(counted)).filter("kept").select("doc.*")

@@ -98,10 +98,10 @@ def test_stage_keeps_columns_and_rows(spark):
     sound = "this is a plain sentence with some ordinary words in it. " * 1 + "another one follows here, short and clean."
     rows = [(1, sound, 5, "x"), (1, sound, 5, "x"), (None, sound, None, None), (2, None, 0, "y"), (3, "### $$$ " * 50, 1, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, `kept.doc` string")
-    out = qr.keep_sound(df)
+    out = qr.keep_sound(spark, df)
     assert out.schema == df.schema
     assert sorted([tuple(r) for r in out.collect()], key=str) == sorted(rows[:3], key=str)
-    assert qr.keep_sound(df.limit(0)).count() == 0
+    assert qr.keep_sound(spark, df.limit(0)).count() == 0
 
 
 def test_estimates_find_how_often_rules_vote():
