@@ -19,7 +19,7 @@ from regiflow.llm.queries import TOKENIZER
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.keep_sound(docs)
+    return quality_rules.keep_sound(spark, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
