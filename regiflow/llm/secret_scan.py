@@ -2,12 +2,13 @@
 
 Base secrets are found by fixed patterns and always reported.  Weaker parts
 (key names with a value, long mixed tokens, endpoints) are only candidates: an
-interval join within a scope of characters reports a candidate when the parts
-that complete a credential stand near it: an access identifier near a
-secret, a secret near an identifier, an endpoint near both.
+interval join within scopes reports a candidate when the parts that complete a
+credential stand near it: an access identifier near a secret, a secret near an
+identifier, an endpoint near both.  Near is a distance of characters, or a
+greater one within a paragraph (a block without an empty line).
 
 Only DataFrame functions are used.  Texts are read once; what is written and
-shuffled afterwards is positions.  The join runs on (row, cell of ``scope``
+shuffled afterwards is positions.  The join runs on (row, cell of a scope's
 characters), so a group holds no more than the parts that fit into one cell;
 it is a semi join, so pairs are never emitted.
 """
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SCOPE = 200
+SCOPE = 200                  # characters between parts of a credential
+PARAGRAPH_SCOPE = 2000       # and within a paragraph
+_BREAK = r"\n[ \t\r\n]*\n"
 ID, SECRET, ENDPOINT = "id", "secret", "endpoint"
 
 
@@ -53,11 +56,13 @@ PARTS = (
 
 
 def _found(k: int, part: Part) -> Column:
-    """All matches of one kind as (kind, nr, gap before, length, ok)."""
+    """All matches of one kind as (kind, nr, gap before, length, paragraphs
+    that end in the gap, ok); no match holds a line break."""
     also = "".join(f" and m{k}[i] rlike '{a}'" for a in part.also)
     return F.expr(f"""
         if(m{k} is null, array(), transform(sequence(0, size(m{k}) - 1),
            i -> named_struct('kind', {k}, 'nr', i, 'gap', length(g{k}[i]), 'len', length(m{k}[i]),
+                             'breaks', if(position('\n' in g{k}[i]) = 0, 0, regexp_count(g{k}[i], r'{_BREAK}')),
                              'ok', length({'v' if part.group else 'm'}{k}[i]) >= {part.least}{also})))""")
 
 
@@ -85,11 +90,12 @@ def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _positions(matches: DataFrame) -> DataFrame:
-    """``(row, kind, start, end)`` of the matches that count."""
+    """``(row, kind, start, end, paragraph)`` of the matches that count."""
     before = Window.partitionBy("row", "kind").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
     return (matches.select("row", F.explode("found").alias("f")).select("row", "f.*")
             .withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before))
-            .filter("ok").select("row", "kind", (F.col("end") - F.col("len")).alias("start"), "end"))
+            .withColumn("paragraph", F.sum("breaks").over(before))
+            .filter("ok").select("row", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "paragraph"))
 
 
 def _cells(spans: DataFrame, scope: int, reach: int) -> DataFrame:
@@ -98,43 +104,51 @@ def _cells(spans: DataFrame, scope: int, reach: int) -> DataFrame:
         F.floor((F.col("start") - reach) / scope), F.floor((F.col("end") + reach) / scope))))
 
 
-def _near(candidates: DataFrame, parts: DataFrame, scope: int, reach: int, how: str) -> DataFrame:
-    """Candidates with (left_semi) or without (left_anti) one of ``parts`` at
-    most ``reach`` characters away."""
-    if how == "left_anti":
-        hit = _near(candidates, parts, scope, reach, "left_semi")
-        return candidates.join(hit, ["row", "kind", "start", "end"], "left_anti")
-    a, b = _cells(candidates, scope, reach).alias("a"), _cells(parts, scope, 0).alias("b")
+_SPAN = ["row", "kind", "start", "end", "paragraph"]
+
+
+def _near(candidates: DataFrame, parts: DataFrame, reach: int, in_paragraph: bool = False) -> DataFrame:
+    """Candidates with one of ``parts`` at most ``reach`` characters away,
+    ``in_paragraph``: in their own paragraph."""
+    cell = max(reach, SCOPE)
+    a, b = _cells(candidates, cell, reach).alias("a"), _cells(parts, cell, 0).alias("b")
     on = (F.col("a.row") == F.col("b.row")) & (F.col("a.cell") == F.col("b.cell")) & \
         (F.col("b.start") < F.col("a.end") + reach) & (F.col("a.start") < F.col("b.end") + reach)
-    return a.join(b, on, "left_semi").select("row", "kind", "start", "end").distinct()
+    if in_paragraph:
+        on = on & (F.col("a.paragraph") == F.col("b.paragraph"))
+    return a.join(b, on, "left_semi").select(*_SPAN).distinct()
 
 
-def _linked(spans: DataFrame, scope: int) -> DataFrame:
+def _linked(spans: DataFrame, scope: int, paragraph_scope: int) -> DataFrame:
     """The candidates that stand near the parts completing a credential."""
     def role(*names, base=None):
         return [k for k, p in enumerate(PARTS) if p.role in names and base in (None, p.base)]
 
+    def near(candidates, parts):
+        found = _near(candidates, parts, scope)
+        return found.unionAll(_near(candidates, parts, paragraph_scope, True)).distinct() if paragraph_scope else found
+
     base = spans.filter(F.col("kind").isin([k for k, p in enumerate(PARTS) if p.base]))
-    weak = _near(spans.filter(F.col("kind").isin([k for k, p in enumerate(PARTS) if not p.base])), base, scope, 0, "left_anti")
+    weak = spans.filter(F.col("kind").isin([k for k, p in enumerate(PARTS) if not p.base]))
+    weak = weak.join(_near(weak, base, 0), _SPAN, "left_anti")
     parts = base.unionAll(weak)
     ids = parts.filter(F.col("kind").isin(role(ID)))
     secrets = parts.filter(F.col("kind").isin(role(SECRET)))
-    by_id = _near(weak.filter(F.col("kind").isin(role(SECRET, ENDPOINT, base=False))), ids, scope, scope, "left_semi")
-    by_secret = _near(weak.filter(F.col("kind").isin(role(ID, ENDPOINT, base=False))), secrets, scope, scope, "left_semi")
+    by_id = near(weak.filter(F.col("kind").isin(role(SECRET, ENDPOINT, base=False))), ids)
+    by_secret = near(weak.filter(F.col("kind").isin(role(ID, ENDPOINT, base=False))), secrets)
     ends = F.col("kind").isin(role(ENDPOINT))
-    return (by_id.filter(~ends).unionAll(by_secret.filter(~ends))
-            .unionAll(by_id.filter(ends).join(by_secret.filter(ends), ["row", "kind", "start", "end"], "left_semi")))
+    return by_id.filter(~ends).unionAll(by_secret.filter(~ends)).unionAll(by_id.filter(ends).join(by_secret.filter(ends), _SPAN, "left_semi"))
 
 
-def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE,
+         paragraph_scope: int = PARAGRAPH_SCOPE) -> DataFrame:
     """``(row, doc_id, found)`` per row of ``docs``: ``found`` is the array of
     (start, kind, end), sorted, empty where nothing was found.  ``row`` only
     tells apart rows of this result."""
     matches = materialize(spark, _matches(docs, id_col, text_col), "secret-matches")
     spans = materialize(spark, _positions(matches), "secret-spans")
     base = spans.filter(F.col("kind").isin([k for k, p in enumerate(PARTS) if p.base]))
-    found = (base.unionAll(_linked(spans, scope)).groupBy("row")
+    found = (base.unionAll(_linked(spans, scope, paragraph_scope)).groupBy("row")
              .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found")))
     return matches.select("row", "doc_id").join(found, "row", "left").select(
         "row", "doc_id", F.coalesce("found", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")).alias("found"))
@@ -151,7 +165,8 @@ def _written(kinds: list[int]) -> Column:
         lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE,
+         paragraph_scope: int = PARAGRAPH_SCOPE) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` per row of
     ``docs``.
 
@@ -162,12 +177,12 @@ def secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     """
     every, base = list(range(len(PARTS))), [k for k, p in enumerate(PARTS) if p.base]
     count = [F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{PARTS[k].name}") for k in base]
-    return scan(spark, docs, id_col, text_col, scope).select(
+    return scan(spark, docs, id_col, text_col, scope, paragraph_scope).select(
         "doc_id", *count, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(every).alias("spans"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text", scope: int = SCOPE,
-           marker: str = "[SECRET]") -> DataFrame:
+           paragraph_scope: int = PARAGRAPH_SCOPE, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of ``text_col`` replaced by
     ``marker``; overlapping spans become one.
 
@@ -184,7 +199,7 @@ def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text", scope:
         "secret-rows")
     spans = materialize(spark, _positions(rows), "secret-spans")
     base = spans.filter(F.col("kind").isin([k for k, p in enumerate(PARTS) if p.base]))
-    found = (base.unionAll(_linked(spans, scope)).groupBy("row")
+    found = (base.unionAll(_linked(spans, scope, paragraph_scope)).groupBy("row")
              .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans")))
     hit = F.size("found") > 0
     clean = rows.filter(~hit).select("doc")

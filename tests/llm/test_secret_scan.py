@@ -19,7 +19,7 @@ def brute_base(text):
     return sorted(out)
 
 
-def brute_spans(text, scope=ss.SCOPE):
+def brute_spans(text, scope=ss.SCOPE, wide=ss.PARAGRAPH_SCOPE):
     base = brute_base(text)
     weak = []
     for k, p in enumerate(ss.PARTS):
@@ -30,10 +30,12 @@ def brute_spans(text, scope=ss.SCOPE):
     near = lambda a, b, reach: b[0] < a[2] + reach and a[0] < b[2] + reach
     weak = [w for w in weak if not any(near(w, b, 0) for b in base)]
     role = lambda s: ss.PARTS[s[1]].role
+    paragraph = lambda s: len([m for m in re.finditer(r"\n[ \t\r\n]*\n", text) if m.end() <= s[0]])
+    linkable = lambda a, b: near(a, b, scope) or near(a, b, wide) and paragraph(a) == paragraph(b)
     parts, linked = base + weak, []
     for w in weak:
-        ids = any(role(p) == ss.ID and near(w, p, scope) for p in parts)
-        secrets = any(role(p) == ss.SECRET and near(w, p, scope) for p in parts)
+        ids = any(role(p) == ss.ID and linkable(w, p) for p in parts)
+        secrets = any(role(p) == ss.SECRET and linkable(w, p) for p in parts)
         if {ss.SECRET: ids, ss.ID: secrets, ss.ENDPOINT: ids and secrets}[role(w)]:
             linked.append(w)
     return base, sorted(base + linked)
@@ -64,6 +66,9 @@ TEXTS = [
     f"https://api.example.com/v1 {LONG}", f"user_id: someone12 password: opensesame1 https://db.example.com", "ASIAIOSFODNN7EXAMPLE1 " + "ab" * 20,
     f"äöü漢字\U0001f600 {KEY} ß token=aaaaaaa \U0001f600 {LONG}", "password==== =abcdef", "secret\"': 'x", "token:\npassword:abcdef",
     "passwordpassword=aaaaaa=token=bbbbbb", "token=" + "a" * 5000, " ".join([KEY, LONG]) * 40,
+    f"{KEY}\n# a comment\n" + "x " * 600 + f"\n{LONG}", f"{KEY}" + " x" * 1200 + f" {LONG}", f"{KEY}" + " x" * 150 + f"\n \n{LONG}",
+    f"a\n\n\nb {KEY}" + " x" * 150 + f" {LONG}\n\nclient_id=abc.def-12345" + " y" * 200 + " https://api.example.com/v1\n\n",
+    f"[a]\nuser_id = someone12\n" + "# text\n" * 60 + f"key = {LONG}\nurl = https://api.example.com\n\n[b]\nurl = https://b.example.com\n",
     f"endpoint=db.internal:5432 {KEY} secret=abcdefgh", "tokens=abcdef TOKEN'= \"AbCdEf", "pİassword=abcdef paſſword=abcdef toKen=abcdef"]
 
 
