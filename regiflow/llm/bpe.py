@@ -14,10 +14,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +33,33 @@ _SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2
                            0x205F, 0x3000]))
 CACHE_PIECES = 300_000
 
+# The tokenizer's patterns know the letters and numbers of Unicode 16, its lower case that of Unicode 17.  Fixed values: what
+# these have beside Unicode 15.1, as ranges of code points, and as first and last capital with the first small letter.
+_MORE_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+                 (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+                 (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+                 (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+_MORE_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+                 (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+_MORE_LOWER = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+               (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+               (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+_LOWER = {a + k: b + k for a, z, b in _MORE_LOWER for k in range(z - a + 1)}
+#: Up to here all versions of Unicode agree on letters and numbers.
+_SETTLED = 0x370
+
+
+@lru_cache(maxsize=1)
+def _classes() -> tuple[str, str]:
+    """The tokenizer's letters and numbers as character ranges of a set."""
+    def ranges(kind, more):
+        held = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+        held = np.array(sorted({*held, *(c for a, b in more for c in range(a, b + 1))}))
+        cuts = np.flatnonzero(np.diff(held) > 1)
+        return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(held[np.r_[0, cuts + 1]], held[np.r_[cuts, len(held) - 1]]))
+
+    return ranges("L", _MORE_LETTERS), ranges("N", _MORE_NUMBERS)
+
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte: printable Latin-1 for itself,
@@ -67,13 +96,21 @@ class WordBpe:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a.removesuffix(self.end) + b])
                        for rank, (a, b) in enumerate(pairs)}
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE))
+        self.split = split["pattern"]["Regex"].replace(r"\s", _SPACE)
+        self.pattern = regex.compile(self.split)
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.letters = byte_characters()
         self.words = PieceCache(self._word_ids, cache_pieces)
         self.pieces = PieceCache(self._piece_ids, cache_pieces)
 
+    @cached_property
+    def exact_pattern(self):
+        """The split with the tokenizer's own letters and numbers; built when
+        a text first needs it."""
+        letters, numbers = _classes()
+        return regex.compile(self.split.replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
+
     def _word_ids(self, word: str) -> bytes:
         return array("I", self.merge(word)).tobytes()
 
@@ -111,7 +148,10 @@ class WordBpe:
             text = self.spaces.sub(" ", text)
         # Character by character: lower case here has no rule for final sigma.
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        pattern = self.pattern
+        if not text.isascii() and ord(max(text)) >= _SETTLED:
+            text, pattern = text.translate(_LOWER), self.exact_pattern
+        return b"".join(map(self.words.__getitem__, pattern.findall(text)))
 
     def _piece_ids(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8")

@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -59,6 +60,17 @@ def test_random_texts(own, library, text):
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point(own, library):
+    """Between letters, so its class, lower case and bytes all show."""
+    points = [c for c in [*range(0x20000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c <= 0xDFFF]      # the rest is Han or unassigned
+    texts = [f"a{chr(c)}b" for c in points] + [f"{chr(c)}{chr(c)}." for c in points if unicodedata.category(chr(c)) in ("Cn", "Nd", "No", "Lu")]
+    wrong = []
+    for at in range(0, len(texts), 50_000):
+        part = texts[at:at + 50_000]
+        wrong += [t for t, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False)) if own.encode(t) != e.ids]
+    assert wrong == []
+
+
 def test_null_rows_and_extra_columns(spark, library):
     rows = [(1, None), (None, "a b"), (2, ""), (2, ""), (3, "word " * 50_000)]
     df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, data string")
