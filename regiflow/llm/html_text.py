@@ -26,21 +26,23 @@ from pyspark.sql import functions as F
 
 # Element names and class words (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template svg math iframe object audio video canvas title".split())
+HIDDEN = frozenset("head script style noscript template svg iframe object audio video canvas title annotation".split())
 BOILERPLATE = frozenset("nav footer aside form button select textarea dialog menu fieldset label option datalist".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike
-    strong sub sup time tt u var img br wbr ruby rt rp nobr""".split())
+    strong sub sup time tt u var img br wbr ruby rt rp nobr
+    math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup munder mover munderover mfenced mstyle
+    mpadded mphantom menclose mtable mtr mtd annotation""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation
-    menu breadcrumb breadcrumbs sidebar aside footer comment comments disqus cookie cookies consent notice notices alert popup
-    modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination
-    toolbar""".split())
+    menu breadcrumb breadcrumbs sidebar aside footer comment comments commentlist disqus cookie cookies consent notice notices alert popup
+    modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets
+    pagination toolbar""".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 #: What a class or id may hold beside words of the list and still name boilerplate (top-menu, cookie-bar, post-comments).
 QUALIFIERS = frozenset("""top bottom left right upper lower main primary secondary global site page mobile desktop sticky fixed
     floating inner outer bar box block list items item links link button buttons icons icon wrapper wrap container inline area
-    section panel column col row slot unit zone form text message region""".split())
+    section panel column col row slot unit zone form text message region law info policy eu gdpr""".split())
 PARTS_OF = frozenset("post posts entry article articles story stories user reader media google thread reply author".split())
 #: Elements whose id may name boilerplate; ids of others, headings above all, are targets of links.
 NAMED_BY_ID = frozenset("div section ul ol table".split())
@@ -52,6 +54,7 @@ RAW = frozenset("textarea title iframe noembed noframes xmp".split())
 _COMMENT = re.compile(r"<!--(?:-?>|.*?--(?:!|\s*)>)", re.S)
 _OPEN_TAG = re.compile(r"<[A-Za-z/!?]")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SIZE = re.compile(r"\d+x\d+")
 
 
 def _names(token: str, words: frozenset[str]) -> bool:
@@ -59,7 +62,7 @@ def _names(token: str, words: frozenset[str]) -> bool:
     them and qualifiers; has-sidebar, no-comments or related-work are not."""
     if token.lower() in words:
         return True
-    parts = [w.lower() for w in _TOKEN.findall(token)]
+    parts = [w.lower() for w in _TOKEN.findall(_SIZE.sub(" ", token))]
     if not WORDS.isdisjoint(parts):
         return all(w in words or w in QUALIFIERS or w in PARTS_OF for w in parts)
     return not words.isdisjoint(parts) and all(w in words or w in QUALIFIERS for w in parts)     # not the header of an article
@@ -126,8 +129,8 @@ class PageLines(HTMLParser):
                 continue
             if key == "role" and value.strip().lower() in ROLES:
                 return MARKED
-            if tag in ("body", "html", "article", "main"):
-                continue
+            if tag in ("body", "html", "main") or tag == "article" and not self.in_article:
+                continue                    # an article in an article may be a reader's comment
             # In an article the id of a section is the slug of its heading.
             by_id = key == "id" and tag in NAMED_BY_ID and not (tag == "section" and self.in_article)
             if (key == "class" or by_id) and any(_names(token, words) for token in value.split()):

@@ -33,6 +33,14 @@ CASES = {
     "inline": (page(f"<article><p>{LONG}</p><p>a<b>b</b><i>c <u>d</i>e</u> f</p></article>"), [LONG, "abc de f"]),
     "one short article": (page(f"{NAV}<div class='ad'>{LONG}</div><article><h1>Hi</h1><p>Yes.</p></article>"), ["Hi", "Yes."]),
     "roles": (page(f"<div role='navigation'>{LONG}</div><div role='main'><p>{LONG}</p></div><div role='contentinfo'>c</div>"), [LONG]),
+    "comment lists": (page(f"<article><h1>T</h1><p>{LONG}</p><ol class='commentlist'><li>{LONG} says a reader</li></ol></article>"), ["T", LONG]),
+    "nested comment articles": (page(f"<article><p>{LONG}</p><article class='comment'><p>{LONG} says a reader</p></article><p>End.</p></article>"),
+                                [LONG, "End."]),
+    "advert sizes": (page(f"<article><p>{LONG}</p><div class='ad-300x250'>Buy this</div><p>End.</p></article>"), [LONG, "End."]),
+    "compounds": (page(f"<article><div class='cookie-law-info-bar'>We use cookies</div><p>{LONG}</p><div class='footer-widgets'>More</div>"
+                       f"<div class='privacy-law-news'>Law</div></article>"), [LONG, "Law"]),
+    "formulas": (page(f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>"),
+                 [LONG, "so x=2 holds"]),
     "comment and cdata": (page(f"<!-- {LONG} --><article><![CDATA[x]]><![foo[y]]><?pi?><p>{LONG}</p></article>"), [LONG]),
 }
 
