@@ -5,9 +5,8 @@
   type, name, date from and date to, with no separator.  Normalising is
   NFKD -> strip -> lower -> NBSP to space:
 
-  - NFKD is Python's ``unicodedata`` in an Arrow function that gets null for
-    ASCII rows (where NFKD is the identity).  It is deterministic, so filters
-    pass below a key column; Spark's reflection functions are not;
+  - NFKD is built of array functions over tables (``nfkd``); ASCII rows, where
+    it is the identity, skip it;
   - strip is ``btrim`` with Python's whitespace set (``str.isspace``), which
     only looks at the two ends of the text - a regex would scan all of it;
   - the rest is built-in.
@@ -16,14 +15,12 @@
 from __future__ import annotations
 
 import sys
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regiflow import constants as K
+from regiflow.functions.nfkd import nfkd
 
 # Python's str.strip() removes exactly the characters for which
 # str.isspace() holds; built from that rule, ASCII subset apart.
@@ -46,16 +43,6 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
 
-def nfkd(c: Column) -> Column:
-    """Unicode NFKD of a text column (null stays null)."""
-    return _nfkd(c)
-
-
-@F.pandas_udf(T.StringType())
-def _nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
-
-
 def ascii_normalize(c: Column) -> Column:
     """NFKD -> strip -> lower -> NBSP to space, for ASCII text (NFKD is the
     identity there and NBSP cannot occur)."""
@@ -63,10 +50,8 @@ def ascii_normalize(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """NFKD, strip, lower, NBSP to space - on any text; only texts that
-    are not ASCII go through Python."""
-    wide = nfkd(F.when(~is_ascii(c), c))
-    full = F.replace(F.lower(F.btrim(wide, F.lit(PY_WHITESPACE))), F.lit("\xa0"), F.lit(" "))
+    """NFKD, strip, lower, NBSP to space - on any text."""
+    full = F.replace(F.lower(F.btrim(nfkd(c), F.lit(PY_WHITESPACE))), F.lit("\xa0"), F.lit(" "))
     return F.when(is_ascii(c), ascii_normalize(c)).otherwise(full)
 
 

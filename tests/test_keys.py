@@ -1,6 +1,7 @@
 """Company keys (P1) and document content keys."""
 
 import hashlib
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -43,6 +44,30 @@ def test_normalize_keeps_l_with_stroke_and_splits_accents(spark):
     assert got[1] == "abc" and got[2] is None
 
 
+def test_nfkd_of_every_code_point(spark):
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"{chr(c)}|" for c in points[at:at + 512]) for at in range(0, len(points), 512)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(8)
+    got = {r.i: r.n for r in df.select("i", keys.nfkd(F.col("t")).alias("n")).collect()}
+    assert got == {i: unicodedata.normalize("NFKD", t) for i, t in enumerate(texts)}
+
+
+def test_nfkd_puts_marks_into_canonical_order(spark):
+    rng = random.Random(7)
+    marks = [chr(c) for c in range(0x300, 0x1100) if unicodedata.combining(chr(c))] + list("\U0001d165\U0001d16d\U0001e944")
+    others = list("aAzŻé ńﬁﬃ각힣ㄱÅ½ẛ̣\u0344\u1e69\U0001f600") + ["\u1100\u1161", "x"]
+    texts = ["".join(rng.choice(marks if rng.random() < 0.6 else others) for _ in range(rng.randrange(1, 14))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate([*texts, "", "plain"])), "i int, t string").repartition(8)
+    got = {r.i: r.n for r in df.select("i", keys.nfkd(F.col("t")).alias("n")).collect()}
+    assert got == {i: unicodedata.normalize("NFKD", t) for i, t in enumerate([*texts, "", "plain"])}
+
+
+def test_no_python_in_the_plan_of_a_key(spark):
+    df = spark.createDataFrame(POLISH, "k string, t string, n string, f string, d string")
+    out = df.select(keys.document_key(*[F.col(c) for c in "ktnfd"]).alias("h"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
+
+
 def test_null_part_gives_reason(spark):
     df = spark.createDataFrame([("1", None)], "a string, b string")
     row = df.select(keys.document_key(F.col("a"), F.col("b"), F.col("a"), F.col("a"), F.col("a")).alias("h"),
