@@ -5,8 +5,11 @@ plan they are constants that are folded once.  A code point's entry is found
 by two array look-ups (its block of 256, then its place in it), so a character
 costs the same whatever the size of the tables.
 
-1. The text is cut into runs of ASCII, which stay, and single characters.
-2. Hangul syllables are decomposed by arithmetic, other characters by table.
+1. The different characters of a text that come apart are found; Hangul
+   syllables are decomposed by arithmetic, others by table.
+2. Where they are few, as in texts of one alphabet, each is replaced in one
+   pass over the text.  Where they are many, the text is cut into runs of other
+   characters, which stay, and single ones.
 3. Where marks stand side by side they are put into canonical order: by
    combining class, those of one class as they stood.
 """
@@ -21,6 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 256
+_FEW = 64                               # characters that are replaced one after the other
 _SEPARATOR = "\x01"                    # in no decomposition
 # Hangul by rule: first syllable and the first letters, vowels and tails with their numbers.
 _SYLLABLES, _LEADS, _VOWELS, _TAILS = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A7, 28)
@@ -74,7 +78,7 @@ def _letter(first: tuple[int, int], n: Column, none: bool = False) -> Column:
 
 
 def _decomposed(piece: Column) -> Column:
-    """A run of ASCII, or one character taken apart."""
+    """One character taken apart; a piece that starts with ASCII stays."""
     point = F.ascii(piece)
     s = point - _SYLLABLES
     per_lead = _VOWELS[1] * _TAILS[1]
@@ -96,12 +100,26 @@ def _ordered(text: Column) -> Column:
         return F.when(piece.rlike(f"^[{marks}]{{2}}"), F.array_join(F.transform(F.array_sort(keyed), lambda k: k["c"]), "")).otherwise(piece)
 
     pieces = F.regexp_extract_all(text, F.lit(f"[{marks}]+|[^{marks}]+"), F.lit(0))
-    return F.when(text.rlike(f"[{marks}]{{2}}"), F.array_join(F.transform(pieces, run), "")).otherwise(text)
+    # A quick look first: every such mark has a mark's category, or none yet that the JVM knows.
+    ordered = F.when(text.rlike(f"[{marks}]{{2}}"), F.array_join(F.transform(pieces, run), "")).otherwise(text)
+    return F.when(text.rlike(r"[\p{M}\p{Cn}]{2}"), ordered).otherwise(text)
+
+
+def _apart(text: Column) -> Column:
+    def by(found: Column) -> Column:
+        one_by_one = F.aggregate(found, text, lambda t, c: F.replace(t, c, _decomposed(c)))
+        pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+        return F.when(F.size(found) <= _FEW, one_by_one).otherwise(F.array_join(F.transform(pieces, _decomposed), ""))
+
+    wide = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
+    return _once(F.filter(wide, lambda c: (c != "") & (_decomposed(c) != c)), by)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def nfkd(text: Column) -> Column:
     """Unicode NFKD of a text column (null stays null)."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
-    apart = F.array_join(F.transform(pieces, _decomposed), "")
-    once = F.transform(F.array(apart), _ordered)[0]              # an array of one: taken apart once, used three times
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(once)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_once(_apart(text), _ordered))
