@@ -1,12 +1,13 @@
 """Archives of requested documents (S10) and their manifest.
 
 Upstream builds one in-memory zip for a whole request.  Here every company's
-documents are split into parts of bounded size before grouping: the number of
-parts of a company comes from a partial aggregate of its byte count, and each
-document goes to part ``pmod(xxhash64(hash_id), n_parts)``.  A company holding
-a third of all bytes therefore becomes many groups of about ``part_bytes``
-each, and no task holds more than one such group's bytes at a time.  Each
-group is zipped by ``applyInPandas`` (deflate, entry ``{krs}_{save_name}``).
+documents are split into parts of bounded size before grouping, on records
+without contents: ``bounded_parts`` cuts a company by its running bytes, so no
+part is over ``part_bytes`` but a single document that is.  A company holding a
+third of all bytes becomes many groups, and no task holds more than one group's
+bytes at a time.  Each group is zipped by ``applyInPandas`` (deflate, entry
+``{krs}_{save_name}``).  ``assign_parts`` spreads documents by hash instead,
+which needs no order but holds a part to ``part_bytes`` only in expectation.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiflow.functions.text import archive_entry_name
+from regiflow.operators.running import running_sums
 
 ARCHIVE_SCHEMA = ("krs_number string, part int, n_parts int, n_entries bigint, "
                   "n_bytes bigint, archive binary")
@@ -54,13 +56,35 @@ def assign_parts(docs: DataFrame, krs: str = "krs_number", content: str = "docum
                 .withColumn("part", F.pmod(F.xxhash64("hash_id"), F.col("n_parts")).cast("int")))
 
 
+def bounded_parts(records: DataFrame, krs: str = "krs_number", part_bytes: int = DEFAULT_PART_BYTES) -> DataFrame:
+    """``(krs, hash_id, n_bytes, part, n_parts)`` of records with ``n_bytes``:
+    no part of more than one document holds over ``part_bytes``.
+
+    Documents of at most half a part go, in key order, to the part of
+    ``part_bytes // 2`` running bytes in which they start: a part then holds
+    less than a half and one more document.  Larger ones are parts of their
+    own, numbered after these.  Parts count from 0 without gaps."""
+    half = part_bytes // 2
+    size = F.coalesce(F.col("n_bytes"), F.lit(0)).cast("long")
+    small = size <= half
+    summed = running_sums(records.select(krs, "hash_id", "n_bytes"), [krs], ["hash_id"],
+                          {"_before": F.when(small, size), "_large": F.when(small, 0).otherwise(1)})
+    start = F.expr(f"_before div {max(half, 1)}L")
+    shape = summed.groupBy(F.col(krs).alias("_krs")).agg(
+        (F.coalesce(F.max(F.when(small, start)), F.lit(-1)) + 1).alias("_small_parts"), F.count_if(~small).alias("_large_parts"))
+    part = F.when(small, start).otherwise(F.col("_small_parts") + F.col("_large"))
+    return summed.join(shape, F.col(krs).eqNullSafe(F.col("_krs"))).select(
+        krs, "hash_id", "n_bytes", part.cast("int").alias("part"), (F.col("_small_parts") + F.col("_large_parts")).cast("int").alias("n_parts"))
+
+
 def build_from_store(records: DataFrame, contents: DataFrame, krs: str = "krs_number",
                      save_name: str = "document_content_save_name", content: str = "document_content",
                      part_bytes: int = DEFAULT_PART_BYTES) -> DataFrame:
-    """S10 over records that carry ``n_bytes``: parts are assigned on the
-    narrow records, and only then the contents are joined by ``hash_id``, so
-    contents are read once."""
-    parted = assign_parts(records.select(krs, "hash_id", save_name, "n_bytes"), krs, content, part_bytes)
+    """S10 over records that carry ``n_bytes`` and have a ``hash_id`` each:
+    parts are cut on the narrow records, and only then the contents are joined
+    by ``hash_id``, so contents are read once."""
+    parts = bounded_parts(records, krs, part_bytes).drop("n_bytes")
+    parted = records.select(krs, "hash_id", save_name).join(parts, [krs, "hash_id"])
     return _zipped(parted.join(contents.select("hash_id", content), "hash_id"), krs, save_name, content)
 
 

@@ -1,0 +1,75 @@
+"""Running sums per key, and archive parts cut by them."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from regiflow.operators import archives
+from regiflow.operators.running import running_sums
+
+
+@pytest.fixture()
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def _rows(seed, n=4000):
+    """One key, and null as a key, with many of the rows."""
+    rng = random.Random(seed)
+    return [(rng.choice(["HOT", "HOT", None, f"k{rng.randrange(300)}"]), i, rng.choice([0, 1, 7, 1000, None])) for i in range(n)]
+
+
+def test_running_sums_equal_a_loop(uncoalesced):
+    rows = _rows(1)
+    df = uncoalesced.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    got = running_sums(df, ["k"], ["i"], {"before": F.col("v"), "place": F.lit(1)}).collect()
+    want, sums, places = {}, defaultdict(int), defaultdict(int)
+    for k, i, v in rows:
+        want[i] = (k, v, sums[k], places[k])
+        sums[k] += v or 0
+        places[k] += 1
+    assert {r.i: (r.k, r.v, r.before, r.place) for r in got} == want
+
+
+def test_empty_and_coalesced_input(spark):
+    df = spark.createDataFrame([], "k string, i long, v long")
+    assert running_sums(df, ["k"], ["i"], {"before": F.col("v")}).collect() == []
+    one = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, i long, v long")
+    assert [r.before for r in running_sums(one, ["k"], ["i"], {"before": F.col("v")}).sort("i").collect()] == [0, 5]
+
+
+def test_a_hot_key_is_summed_in_many_tasks(uncoalesced):
+    df = uncoalesced.range(30_000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("i"))
+    out = running_sums(df, ["k"], ["i"], {"place": F.lit(1)})
+    # the rows that were written: the hot key lies in several partitions
+    written = [f for f in out.inputFiles()]
+    parts = uncoalesced.read.parquet(*written).filter("k = 'HOT'").groupBy("_part").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 10_000
+    assert out.filter("k = 'HOT'").agg(F.max("place")).first()[0] == 9_999
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    over_rows = [line for line in plan.split("\n") if "Window [sum(_own_place" in line]
+    assert over_rows and all("windowspecdefinition(_part" in line for line in over_rows)
+
+
+@pytest.mark.parametrize("part_bytes", [1, 2, 100, 5000])
+def test_no_part_is_over_its_size(uncoalesced, part_bytes):
+    rng = random.Random(part_bytes)
+    rows = [(rng.choice(["HOT", f"c{i % 7}"]), f"h{i:05d}", rng.choice([0, 1, 10, 49, 50, 51, 99, 100, 101, 3000, None])) for i in range(1500)]
+    df = uncoalesced.createDataFrame(rows, "krs_number string, hash_id string, n_bytes long").repartition(4)
+    parts, counts = defaultdict(list), {}
+    for r in archives.bounded_parts(df, part_bytes=part_bytes).collect():
+        parts[r.krs_number, r.part].append(r.n_bytes or 0)
+        counts[r.krs_number] = r.n_parts
+    assert sum(map(len, parts.values())) == len(rows)
+    assert all(len(sizes) == 1 or sum(sizes) <= part_bytes for sizes in parts.values())
+    for company, n in counts.items():
+        assert sorted(p for c, p in parts if c == company) == list(range(n))
+    # not more than about two parts for each part_bytes, and one for each large document
+    for company, n in counts.items():
+        sizes = [v or 0 for c, _, v in rows if c == company]
+        small = sum(v for v in sizes if v <= part_bytes // 2)
+        assert n <= small // max(part_bytes // 2, 1) + 1 + sum(v > part_bytes // 2 for v in sizes)
