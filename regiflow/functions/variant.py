@@ -90,16 +90,55 @@ def company_record(df: DataFrame, raw: str = "raw_data", keep: Sequence[str] = (
     projection instead of copying the parse into every field.  County takes
     ``powiat`` and municipality ``gmina`` (upstream had them swapped)."""
     keep = list(keep)
+    values = [scalar(value).alias(name) for name, value in _fields()]
+    return _scoped(df, raw, keep).select(*keep, "extract_kind", *values)
+
+
+def _scoped(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
+    """The extract kind, the entity and the seat of every extract."""
     parsed = df.select(*keep, parse(F.col(raw)).alias("_v"))
     section = parsed.select(*keep, get(F.col("_v"), KIND_PATH).alias("extract_kind"),
                             get(F.col("_v"), SECTION1, "variant").alias("_d"))
-    scoped = section.select(
+    return section.select(
         *keep, "extract_kind",
         first_present(*[get(F.col("_d"), f"$.{k}", "variant") for k in ENTITY_KEYS]).alias("_entity"),
         first_present(*[get(F.col("_d"), f"$.{k}", "variant") for k in SEAT_KEYS]).alias("_seat"))
-    fields = []
+
+
+def _fields() -> list[tuple[str, Column]]:
+    """The fields of the company record as variants."""
+    out = []
     for name, scope, paths in COMPANY_FIELDS:
         options = [get(F.col(f"_{scope}"), f"$.{p}", "variant") for p in paths]
-        value = options[0] if len(options) == 1 else first_present(*options)
-        fields.append(scalar(value).alias(name))
-    return scoped.select(*keep, "extract_kind", *fields)
+        out.append((name, options[0] if len(options) == 1 else first_present(*options)))
+    return out
+
+
+def field_history(df: DataFrame, raw: str = "raw_data", keep: Sequence[str] = ()) -> DataFrame:
+    """P19 over full extracts: one row for every entry of every field of the
+    company record, ``(keep, extract_kind, field, entry, value, is_last)``.
+
+    A field that is a list gives a row for each entry, numbered from 0 as it
+    stands; a scalar or an object is one entry.  ``value`` is a scalar as
+    text, an object or list as its JSON, null for a JSON null in a list.  A
+    field that is missing, null or an empty list has no row.  ``is_last``
+    marks the entries that ``company_record`` shows.
+
+    Each extract is parsed once; its fields become rows of one short array and
+    their lists are exploded by a lateral ``variant_explode``, so no list is
+    gathered again and nothing is shuffled."""
+    keep = list(keep)
+    fields = F.array(*[F.struct(F.lit(name).alias("field"), value.alias("_value")) for name, value in _fields()])
+    rows = _scoped(df, raw, keep).select(*keep, "extract_kind", F.inline(fields))
+    rows = rows.filter(F.col("_value").isNotNull() & ~F.is_variant_null("_value"))
+    # The number of entries is null for anything but a list, which the explode then leaves as one row without a place.
+    size = F.size(F.try_variant_get("_value", "$", "array<variant>"))
+    rows = rows.withColumn("_size", F.when(size >= 0, size)).filter("_size is null or _size > 0")
+    listed = F.when(F.col("_size").isNotNull(), F.col("_value"))
+    entries = rows.withColumn("_list", listed).lateralJoin(
+        df.sparkSession.tvf.variant_explode_outer(F.col("_list").outer()))
+    entry = F.when(F.col("_size").isNull(), F.col("_value")).otherwise(F.col("value"))
+    text = F.coalesce(F.try_variant_get(entry, "$", "string"), F.when(~F.is_variant_null(entry), F.to_json(entry)))
+    at = F.coalesce(F.col("pos"), F.lit(0))
+    return entries.select(*keep, "extract_kind", "field", at.alias("entry"), text.alias("value"),
+                          (at == F.coalesce(F.col("_size"), F.lit(1)) - 1).alias("is_last"))

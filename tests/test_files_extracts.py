@@ -74,3 +74,33 @@ def test_first_present_is_python_or(spark):
     pick = variant.first_present(variant.get(v, "$.a", "variant"), variant.get(v, "$.b", "variant"))
     got = [r.p for r in df.select(F.to_json(pick).alias("p")).collect()]
     assert got == ['"x"', '"y"', "0", "null"]
+
+
+def test_field_history_of_scalars_lists_and_objects(spark):
+    import json
+
+    def raw(entity, seat=None):
+        return json.dumps({"odpis": {"rodzaj": "Pełny", "dane": {"dzial1": {"danePodmiotu": entity, "siedzibaIAdres": seat or {}}}}})
+
+    extracts = [
+        ("list", raw({"nazwa": ["Old", "New ŻÓŁĆ"], "formaPrawna": "SA", "identyfikatory": {"nip": [{"nip": "1", "wpis": 2}], "regon": 12}})),
+        ("odd", raw({"nazwa": [["a", "b"], None, True, 1.5], "formaPrawna": []}, {"adres": {"kraj": None, "ulica": {"x": 1}}})),
+        ("foreign", json.dumps({"odpis": {"dane": {"dzial1": {"danePodmiotu": {}, "danePodmiotuZagranicznego": {"nazwa": "GmbH"}}}}})),
+        ("broken", "{"), ("null", None), ("empty", "{}")]
+    df = spark.createDataFrame(extracts, "k string, raw_data string")
+    got = sorted((r.k, r.field, r.entry, r.value, r.is_last) for r in variant.field_history(df, keep=["k"]).collect())
+    assert got == sorted([
+        ("list", "full_name", 0, "Old", False), ("list", "full_name", 1, "New ŻÓŁĆ", True), ("list", "legal_form", 0, "SA", True),
+        ("list", "nip_number", 0, '{"nip":"1","wpis":2}', True), ("list", "regon_number", 0, "12", True),
+        ("odd", "full_name", 0, '["a","b"]', False), ("odd", "full_name", 1, None, False), ("odd", "full_name", 2, "true", False),
+        ("odd", "full_name", 3, "1.5", True), ("odd", "street", 0, '{"x":1}', True), ("foreign", "full_name", 0, "GmbH", True)],
+        key=lambda r: (r[0], r[1], r[2]))
+    last = {(r.k, r.field): r.value for r in variant.field_history(df, keep=["k"]).filter("is_last").collect()}
+    record = {r.k: r for r in variant.company_record(df, keep=["k"]).collect()}
+    assert all(record[k][field] == value for (k, field), value in last.items() if not (value or "").startswith("{"))
+
+
+def test_field_history_explodes_without_a_shuffle(spark):
+    df = spark.createDataFrame([("a", "{}")], "k string, raw_data string")
+    plan = variant.field_history(df, keep=["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "variant_explode" in plan and "Exchange" not in plan and "Python" not in plan
