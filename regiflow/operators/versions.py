@@ -61,12 +61,16 @@ def _join_top(df: DataFrame, keys: list[str], order: Sequence[str], how: str, ex
     return df.join(t, cond, how)
 
 
-def mark_current(df: DataFrame, key, order: Sequence[str], flag: str = "is_current") -> DataFrame:
+def mark_current(df: DataFrame, key, order: Sequence[str], flag: str = "is_current", repeated: bool = False) -> DataFrame:
     """Every row kept; ``flag`` is true for exactly the row with the
-    greatest ``order`` tuple of its key (order columns end with a unique id;
-    a history that may hold one version twice goes through
-    ``unique_versions`` first, or both copies would be flagged)."""
+    greatest ``order`` tuple of its key (order columns end with a unique id).
+
+    ``repeated``: the rows come from a history that is delivered at least
+    once.  Of rows that share key and order tuple one is kept - they are one
+    version - so a key has one current row whatever the history holds."""
     keys = _as_list(key)
+    if repeated:
+        df = df.dropDuplicates([*keys, *order])
     is_top = None
     for c in order:
         eq = F.col(c).eqNullSafe(F.col(f"_max_{c}"))
@@ -114,6 +118,37 @@ def current_row_of(df: DataFrame, key: str, value, order: Sequence[str]) -> Data
               .orderBy(*[F.col(c).desc() for c in order]).limit(1))
 
 
+def _latest_statuses(responses: DataFrame, key: str, option: str, status: str, order: Sequence[str], options: Sequence[str]) -> DataFrame:
+    """Per company and option the status of its latest answer, ``_status<i>``."""
+    ordering = F.struct(*[F.col(c) for c in order])
+    return responses.groupBy(key).agg(*[
+        F.max_by(F.col(status), F.when(F.col(option) == F.lit(o), ordering)).alias(f"_status{i}") for i, o in enumerate(options)])
+
+
+def _walk(walked: DataFrame, key: str, option: str, status: str, options: Sequence[str]) -> DataFrame:
+    """The walk over ``_latest_statuses``: the first option that is not 404."""
+    chosen_option, chosen_status = None, None
+    for i, o in enumerate(options):
+        st = F.col(f"_status{i}")
+        stop = F.coalesce(st, F.lit(0)) != K.NOT_FOUND_STATUS
+        chosen_option = (F.when(stop, F.lit(o)) if chosen_option is None
+                         else chosen_option.when(stop, F.lit(o)))
+        chosen_status = (F.when(stop, st) if chosen_status is None
+                         else chosen_status.when(stop, st))
+    out = walked.select(key, chosen_option.alias(option), chosen_status.cast("int").alias(status))
+    return out.withColumn("outcome", F.when(F.col(option).isNull(), F.lit("not_found"))
+                          .otherwise(response_outcome(F.col(status))))
+
+
+def first_found_stream(responses: DataFrame, key: str = "krs_number", option: str = "registry", status: str = "status_code",
+                       order: Sequence[str] = ("ts", "response_id"), options: Sequence[str] = tuple(K.REGISTRIES)) -> DataFrame:
+    """J5 over a stream of answers, for update mode: the walk of every company
+    with an answer in the batch, from all its answers so far.  The state is a
+    status and its order for each option; an answer older than the one held
+    changes nothing, and rows are aggregated before they reach the state."""
+    return _walk(_latest_statuses(responses, key, option, status, order, options), key, option, status, options)
+
+
 def first_found(companies: DataFrame, responses: DataFrame, key: str = "krs_number",
                 option: str = "registry", status: str = "status_code",
                 order: Sequence[str] = ("ts", "response_id"),
@@ -132,19 +167,5 @@ def first_found(companies: DataFrame, responses: DataFrame, key: str = "krs_numb
     options have a null ordering and are ignored).  The responses are read
     once and aggregated on the map side; the walk is a CASE chain over the
     options; the only join is the (left) one with the company list."""
-    ordering = F.struct(*[F.col(c) for c in order])
-    latest = [F.max_by(F.col(status), F.when(F.col(option) == F.lit(o), ordering)).alias(f"_status{i}")
-              for i, o in enumerate(options)]
-    per_company = responses.groupBy(key).agg(*latest)
-    walked = companies.select(key).distinct().join(per_company, key, "left")
-    chosen_option, chosen_status = None, None
-    for i, o in enumerate(options):
-        st = F.col(f"_status{i}")
-        stop = F.coalesce(st, F.lit(0)) != K.NOT_FOUND_STATUS
-        chosen_option = (F.when(stop, F.lit(o)) if chosen_option is None
-                         else chosen_option.when(stop, F.lit(o)))
-        chosen_status = (F.when(stop, st) if chosen_status is None
-                         else chosen_status.when(stop, st))
-    out = walked.select(key, chosen_option.alias(option), chosen_status.cast("int").alias(status))
-    return out.withColumn("outcome", F.when(F.col(option).isNull(), F.lit("not_found"))
-                          .otherwise(response_outcome(F.col(status))))
+    per_company = _latest_statuses(responses, key, option, status, order, options)
+    return _walk(companies.select(key).distinct().join(per_company, key, "left"), key, option, status, options)

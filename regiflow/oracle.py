@@ -491,3 +491,53 @@ SQL: dict[str, str] = {
 # The extracts as a stream differ from the batch in their kind only.
 SQL["stream_company_records"] = SQL["company_records"].replace(
     "'Pełny' AS extract_kind", "CASE WHEN c_custkey % 2 = 0 THEN 'Pełny' ELSE 'Aktualny' END AS extract_kind")
+SQL["history_current_flag"] = SQL["current_flag"]
+SQL["stream_compacted_versions"] = SQL["stream_current_versions"]
+SQL["stream_registry_walk"] = SQL["first_found_registry"]
+SQL["created_table_rows"] = _VERSIONS
+SQL["bucketed_new_documents"] = """
+    SELECT sha256(text) AS hash_id, doc_id, source, lang FROM documents
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NOT IN (SELECT doc_id FROM labels), doc_id, source, lang) = 1
+"""
+SQL["archive_parts"] = f"""
+    WITH sized AS (SELECT krs_number, hash_id, n_bytes, n_bytes <= 32768 AS small FROM ({_FILES})),
+    summed AS (
+        SELECT *, coalesce(sum(n_bytes) FILTER (small) OVER before, 0) AS bytes_before, count(*) FILTER (NOT small) OVER before AS large_before
+        FROM sized WINDOW before AS (PARTITION BY krs_number ORDER BY hash_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    shaped AS (
+        SELECT *, coalesce(max(bytes_before // 32768) FILTER (small) OVER every, -1) + 1 AS small_parts,
+               count(*) FILTER (NOT small) OVER every AS large_parts
+        FROM summed WINDOW every AS (PARTITION BY krs_number))
+    SELECT krs_number, hash_id, n_bytes, CAST(CASE WHEN small THEN bytes_before // 32768 ELSE small_parts + large_before END AS INTEGER) AS part,
+           CAST(small_parts + large_parts AS INTEGER) AS n_parts
+    FROM shaped
+"""
+SQL["page_updates"] = f"""
+    SELECT k.krs_number, k.page, CAST(CASE WHEN diagnosis IN ('maintenance', 'malformed') THEN 0 ELSE 1 END AS INTEGER) AS n_updates,
+           CASE WHEN diagnosis = 'throttled' THEN '<p>Wymagane oczekiwanie pomiędzy kolejnymi wywołaniami</p>' END AS wait,
+           CASE WHEN diagnosis = 'cannot_display' THEN '<p>Witryna sieci Web nie może wyświetlić strony</p>' END AS view_root,
+           CASE WHEN diagnosis = 'no_documents' THEN '<p>Brak dokumentów dla KRS: 1</p>' END AS message,
+           CASE WHEN diagnosis = 'ok' THEN n_rows + 1 END AS table_rows
+    FROM ({_PAGE_KINDS}) k
+    JOIN (SELECT krs_number, page, count(*) AS n_rows FROM ({_PAGED}) GROUP BY ALL) r ON r.krs_number = k.krs_number AND r.page = k.page
+"""
+# The lists as JSON, entry by entry; a scalar is a list of one.
+SQL["company_field_history"] = f"""
+    WITH names AS (SELECT o_custkey AS c_custkey, to_json(list(o_orderpriority ORDER BY o_orderkey)) AS names FROM orders GROUP BY ALL),
+    fields AS (
+        SELECT c_custkey, unnest([
+            {{'field': 'full_name', 'entries': CASE WHEN c_custkey % 2 = 0 THEN coalesce(names, '[]') ELSE to_json([c_name]) END}},
+            {{'field': 'legal_form', 'entries': to_json([c_mktsegment])}},
+            {{'field': 'nip_number', 'entries': to_json([{{'nip': CAST(c_custkey AS VARCHAR), 'wpis': c_custkey % 7}}])}},
+            {{'field': 'house_number', 'entries': to_json([c_custkey % 200])}},
+            {{'field': 'email', 'entries': CASE c_custkey % 4
+                WHEN 1 THEN to_json(['k' || CAST(c_custkey AS VARCHAR) || '@example.pl', NULL])
+                WHEN 3 THEN to_json(['one@example.pl']) ELSE '[]' END}}], recursive := true)
+        FROM customer LEFT JOIN names USING (c_custkey)),
+    entries AS (
+        SELECT c_custkey, field, json_array_length(entries) AS n, json_extract(entries, '$[' || i || ']') AS entry, i
+        FROM fields, unnest(range(CAST(json_array_length(entries) AS BIGINT))) t(i))
+    SELECT {_zfill('CAST(c_custkey AS VARCHAR)')} AS krs_number, 'Pełny' AS extract_kind, field, CAST(i AS INTEGER) AS entry,
+           CASE WHEN json_type(entry) <> 'NULL' THEN json_extract_string(entry, '$') END AS value, i = n - 1 AS is_last
+    FROM entries
+"""

@@ -42,8 +42,8 @@ def extract_refresh(companies: DataFrame, landed: DataFrame, key: str = "krs_num
                     stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new versions, outcome per company).  With ``stored`` (the history
     so far) versions that it holds are left out, so a rerun appends nothing.
-  A company key that fails F1
-    gets outcome ``invalid_<reason>`` (upstream raises) and no request.
+    A company key that fails F1 gets outcome ``invalid_<reason>`` (upstream
+    raises) and no request.
 
     The version of a found company is the body of the latest 200 answer of
     the registry that stopped the walk; its id is derived from the request id

@@ -43,6 +43,7 @@ EVENT_STATES = {                     # event type -> job state
     "purchase": "finished",
     "error": "failed",
 }
+STORE_BUCKETS = 16                   # buckets of the document store
 LISTING_CHUNK = 8                    # entries per chunk of a nested listing
 ONE_COMPANY = 7
 PAGE_MARKERS = [                     # driver pages: label, scope, marker
@@ -107,6 +108,26 @@ def q_first_found_registry(spark, sf_dir):
     return versions.first_found(resp, resp)
 
 
+def q_history_current_flag(spark, sf_dir):
+    """W1 on a history that holds every third version twice: still exactly one
+    current row per company."""
+    raw = raw_versions(spark, sf_dir)
+    twice = raw.unionAll(raw.filter(F.col("id") % 3 == 0))
+    return versions.mark_current(twice, "krs_number", ["record_created_at", "id"], repeated=True)
+
+
+def q_created_table_rows(spark, sf_dir):
+    """The raw table is created when missing, before and after its rows
+    were appended; the second time changes nothing."""
+    root, rows = fresh_checkpoint_path(spark, "created_table"), raw_versions(spark, sf_dir)
+    name = "raw_extracts_" + root.rsplit("-", 1)[1]
+    for n in range(2):
+        tables.ensure_table(spark, name, rows.schema, f"{root}/raw")
+        if n == 0:
+            rows.write.insertInto(name)
+    return spark.table(name)
+
+
 # --- validation -----------------------------------------------------------
 
 def q_validate_company_key(spark, sf_dir):
@@ -325,6 +346,20 @@ def q_insert_new_documents(spark, sf_dir):
                                       order=["doc_id"], carry=["source", "lang"])
 
 
+def q_bucketed_new_documents(spark, sf_dir):
+    """S7/J1/S9 on the bucketed store: it is created when missing and holds
+    the labelled documents; the others are inserted if absent, twice."""
+    docs = _t(spark, sf_dir, "documents").select(keys.sha256_hex(F.col("text")).alias("hash_id"), "doc_id", "source", "lang")
+    labelled = docs.join(_t(spark, sf_dir, "labels"), "doc_id", "left_semi").select(docs.columns)
+    root = fresh_checkpoint_path(spark, "bucketed_documents")
+    name, buckets = "documents_" + root.rsplit("-", 1)[1], STORE_BUCKETS
+    for incoming in (labelled, docs, docs):
+        tables.ensure_bucketed_table(spark, name, docs.schema, f"{root}/store", buckets)
+        first = documents.keep_first(incoming, "hash_id", ["doc_id"], ["source", "lang"])
+        tables.insert_absent(first, name, buckets)
+    return spark.table(name)
+
+
 def q_pending_documents(spark, sf_dir):
     """W3+J1: supplier listings (order = page, line = position); lines with
     return flag R are stored already."""
@@ -394,6 +429,11 @@ def q_archive_manifest(spark, sf_dir):
     return archives.manifest(file_records(spark, sf_dir))
 
 
+def q_archive_parts(spark, sf_dir):
+    """The archive part of every requested file, cut by running bytes."""
+    return archives.bounded_parts(file_records(spark, sf_dir), part_bytes=FILE_PART_BYTES)
+
+
 def q_archive_totals(spark, sf_dir):
     """Zip archives built per company part; totals per company."""
     built = archives.build_from_store(file_records(spark, sf_dir), requested_files(spark, sf_dir), part_bytes=FILE_PART_BYTES)
@@ -477,6 +517,16 @@ def q_listing_quarantine(spark, sf_dir):
         "krs_number", "page", "position", "n_cells", F.col("cells")[0].alias("first_cell"), "reason")
 
 
+def q_page_updates(spark, sf_dir):
+    """The texts of update blocks looked up by their ids."""
+    parsed = pages.parse_pages(register_pages(spark, sf_dir), "body", ["krs_number", "page"], keep_updates=True)
+    update = lambda i: F.try_element_at("updates", F.lit(i))
+    return parsed.select(
+        "krs_number", "page", F.coalesce(F.size("updates"), F.lit(0)).alias("n_updates"), update("unloggedForm:j_idt9").alias("wait"),
+        update("javax.faces.ViewRoot").alias("view_root"), update("unloggedForm:j_idt1").alias("message"),
+        F.regexp_count(update("searchForm"), F.lit("<tr>")).cast("long").alias("table_rows"))
+
+
 def q_missing_pages(spark, sf_dir):
     """Listing pages that have not landed as ok (the listing is not whole)."""
     return requests.missing_pages(flows.parsed_listing(register_pages(spark, sf_dir)))
@@ -553,6 +603,32 @@ def q_company_records(spark, sf_dir):
     return variant.company_record(register_extracts(spark, sf_dir), "raw_data", keep=["krs_number"])
 
 
+def history_extracts(spark, sf_dir):
+    """Full extracts (stand-in) whose fields are lists in part: the names of
+    every second customer are its orders' priorities in order, tax numbers are
+    a list of objects, e-mail addresses are missing, empty, or end with null."""
+    priorities = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    orders = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.transform(priorities, lambda o: o["o_orderpriority"]).alias("names"))
+    c = _t(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    key, text = F.col("c_custkey"), lambda v: F.to_json(F.array(v))     # noqa: E731
+    quoted = lambda v: F.regexp_replace(text(v), r"^\[|\]$", "")         # noqa: E731
+    names = F.when(key % 2 == 0, F.coalesce(F.to_json("names"), F.lit("[]"))).otherwise(quoted(F.col("c_name")))
+    email = (F.when(key % 4 == 0, F.lit("[]")).when(key % 4 == 1, F.concat(F.lit('["k'), key.cast("string"), F.lit('@example.pl", null]')))
+             .when(key % 4 == 2, F.lit("null")).otherwise(F.lit('"one@example.pl"')))
+    raw = F.concat(
+        F.lit('{"odpis": {"rodzaj": "Pełny", "dane": {"dzial1": {"danePodmiotu": {"nazwa": '), names, F.lit(', "formaPrawna": '),
+        quoted(F.col("c_mktsegment")), F.lit(', "identyfikatory": {"nip": [{"wpis": '), (key % 7).cast("string"), F.lit(', "nip": "'),
+        key.cast("string"), F.lit('"}]}}, "siedzibaIAdres": {"adres": {"nrDomu": '), (key % 200).cast("string"),
+        F.lit('}, "adresPocztyElektronicznej": '), email, F.lit("}}}}}"))
+    return c.select(_company(key).alias("krs_number"), raw.alias("raw_data"))
+
+
+def q_company_field_history(spark, sf_dir):
+    """P19 over lists: every entry of every field of every extract."""
+    return variant.field_history(history_extracts(spark, sf_dir), keep=["krs_number"])
+
+
 def q_json_props(spark, sf_dir):
     """P18-P20 on event documents: kind tag, a field, a falsy fallback."""
     ev = _t(spark, sf_dir, "events").select("event_id", "props")
@@ -642,6 +718,38 @@ def q_stream_current_versions(spark, sf_dir):
     return current.select("krs_number", "id", "record_created_at", "raw_data")
 
 
+def _arriving(df: DataFrame, root: str, key: str, times: int = 3):
+    """``df`` as a file stream (stand-in) that gets a share of the rows before
+    each of ``times`` starts: yields the stream after each share."""
+    for n in range(times):
+        df.filter(F.col(key) % times == n).write.parquet(f"{root}/landed/share={n}")
+        yield df.sparkSession.readStream.schema(df.schema).parquet(f"{root}/landed/*")
+
+
+def q_stream_compacted_versions(spark, sf_dir):
+    """S8/ST2: the change events arrive in three shares; the history is
+    compacted after the second, so the answer comes from compacted files and
+    one later batch."""
+    root = fresh_checkpoint_path(spark, "stream_compacted_versions")
+    history, compacted = f"{root}/history", f"{root}/compacted"
+    for n, events in enumerate(_arriving(_t(spark, sf_dir, "events"), root, "event_id")):
+        changes.stream_versions_to_history(change_events(events), history, f"{root}/pointers",
+                                           name="stream_compacted_versions", checkpoint=f"{root}/ckpt")
+        if n == 1:
+            changes.compact_history(spark, history, compacted)
+    current = changes.current_versions(spark, history, f"{root}/pointers", compacted_root=compacted)
+    return current.select("krs_number", "id", "record_created_at", "raw_data")
+
+
+def q_stream_registry_walk(spark, sf_dir):
+    """J5 as a stream: the landed answers arrive in three shares, out of
+    order; the stream is started again for each."""
+    root = fresh_checkpoint_path(spark, "stream_registry_walk")
+    for answers in _arriving(landed_responses(spark, sf_dir), root, "response_id"):
+        changes.stream_registry_walk(answers, f"{root}/walk", "stream_registry_walk", f"{root}/ckpt")
+    return changes.walked_companies(spark, f"{root}/walk")
+
+
 def q_stream_change_rejects(spark, sf_dir):
     """ST1: the change events that carry no version, written per batch with
     their reason; some times are epochs (good) or unreadable (rejected)."""
@@ -760,4 +868,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_new_documents": q_stream_new_documents,
     "stream_company_records": q_stream_company_records,
     "extract_refresh": q_extract_refresh,
+    "history_current_flag": q_history_current_flag,
+    "created_table_rows": q_created_table_rows,
+    "bucketed_new_documents": q_bucketed_new_documents,
+    "archive_parts": q_archive_parts,
+    "page_updates": q_page_updates,
+    "company_field_history": q_company_field_history,
+    "stream_compacted_versions": q_stream_compacted_versions,
+    "stream_registry_walk": q_stream_registry_walk,
 }

@@ -7,6 +7,7 @@ filters into the Parquet (or JDBC) scan.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,11 +147,11 @@ def stored_keys_near(stored: DataFrame, incoming: DataFrame, key: str = "hash_id
 # place (Spark's built-in tables have no MERGE).
 
 
-def publish_snapshot(df: DataFrame, root: str, version: int) -> str:
+def publish_snapshot(df: DataFrame, root: str, version: int, partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` as snapshot ``version`` and then point readers at it."""
     spark = df.sparkSession
     path = os.path.join(root, f"v={version}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     pointer = spark.createDataFrame([(int(version), path)], "version long, path string")
     pointer.write.mode("append").parquet(os.path.join(root, "_pointers"))
     return path
@@ -161,3 +162,32 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     rows, then a plain read)."""
     newest = spark.read.parquet(os.path.join(root, "_pointers")).agg(F.max_by("path", "version")).first()[0]
     return spark.read.parquet(newest)
+
+
+# --- store bucketed by content key ---------------------------------------------
+# A catalog table clustered by ``hash_id``, a digest, so no bucket is hot.  A
+# batch is shuffled to the buckets; the stored side is read bucket by bucket
+# and never moves, however large it has become.
+
+
+def ensure_bucketed_table(spark: SparkSession, name: str, schema: T.StructType, path: str, buckets: int,
+                          key: str = "hash_id") -> None:
+    """Create the store when missing.  With at least as many buckets as
+    ``spark.sql.shuffle.partitions`` a join follows the buckets."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
+              f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+
+
+def absent_from(incoming: DataFrame, name: str, key: str = "hash_id") -> DataFrame:
+    """The rows of ``incoming`` whose key the store ``name`` does not hold."""
+    return incoming.join(incoming.sparkSession.table(name).select(key), key, "left_anti")
+
+
+def insert_absent(incoming: DataFrame, name: str, buckets: int, key: str = "hash_id") -> None:
+    """Append the rows of ``incoming`` (one per key) that the store does
+    not hold; a rerun appends nothing.  One task writes a bucket."""
+    spark = incoming.sparkSession
+    fresh = absent_from(incoming, name, key).select(*spark.table(name).columns)
+    fresh.repartition(buckets, key).sortWithinPartitions(key).write.insertInto(name)
+    spark.catalog.refreshTable(name)

@@ -53,26 +53,32 @@ def parse_changes(events: DataFrame) -> DataFrame:
     flag, which is derived (W1), and may carry a placeholder instead of the
     document.  Every event that gives no row here is in
     ``change_quarantine`` with its reason."""
-    parsed = _enveloped(events).filter(_reject_reason().isNull())
-    a = "_e.after."
-    return parsed.select(
-        F.col(a + "id").alias("id"),
-        utc_wall_clock(F.col(a + "record_created_at")).alias("record_created_at"),
-        F.col(a + "krs_number").alias("krs_number"),
-        F.col(a + "raw_data").alias("raw_data"),
-        F.col("_e.ts_ms").alias("ts_ms"),
-    )
+    return _kept(_parsed(events))
 
 
 def change_quarantine(events: DataFrame) -> DataFrame:
     """Events that carry no version, with the reason."""
-    return (_enveloped(events).withColumn("reason", _reject_reason())
-            .filter(F.col("reason").isNotNull()).select("key", "value", "reason"))
+    return _rejected(_parsed(events))
+
+
+def _parsed(events: DataFrame) -> DataFrame:
+    """Every event parsed once: the version's fields, or the event itself and
+    why it carries none."""
+    env = events.select("key", "value", F.from_json(F.col("value"), schemas.CHANGE_ENVELOPE).alias("_e"))
+    timed = env.withColumn("_time", utc_wall_clock(F.col("_e.after.record_created_at"))).withColumn("reason", _reject_reason())
+    kept = F.col("reason").isNull()
+    fields = {"id": F.col("_e.after.id"), "record_created_at": F.col("_time"), "krs_number": F.col("_e.after.krs_number"),
+              "raw_data": F.col("_e.after.raw_data"), "ts_ms": F.col("_e.ts_ms")}
+    return timed.select("reason", F.when(~kept, F.col("key")).alias("key"), F.when(~kept, F.col("value")).alias("value"),
+                        *[F.when(kept, c).alias(n) for n, c in fields.items()])
 
 
-def _enveloped(events: DataFrame) -> DataFrame:
-    env = F.from_json(F.col("value"), schemas.CHANGE_ENVELOPE)
-    return events.select("key", "value", env.alias("_e"))
+def _kept(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("reason").isNull()).select("id", "record_created_at", "krs_number", "raw_data", "ts_ms")
+
+
+def _rejected(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("reason").isNotNull()).select("key", "value", "reason")
 
 
 def _reject_reason() -> Column:
@@ -83,7 +89,7 @@ def _reject_reason() -> Column:
             .when(~op.isin(K.CHANGE_OPS_KEPT), F.concat(F.lit("op_"), op))
             .when(after.isNull(), F.lit("no_after"))
             .when(after["id"].isNull() | after["krs_number"].isNull(), F.lit("no_key"))
-            .when(utc_wall_clock(after["record_created_at"]).isNull(), F.lit("bad_time")))
+            .when(F.col("_time").isNull(), F.lit("bad_time")))
 
 
 def latest_pointers(version_rows: DataFrame) -> DataFrame:
@@ -188,16 +194,16 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
     rejects = rejects_root or f"{history_root.rstrip('/')}_rejects"
 
     def on_batch(raw: DataFrame, batch_id: int) -> None:
-        raw = raw.persist()
-        rows = parse_changes(raw)
+        parsed = _parsed(raw).persist()                  # history, pointers and rejects come from one parse
+        rows = _kept(parsed)
         try:
             # by day and company: few files a day, each with a narrow company range
             daily = rows.withColumn("ingest_day", F.to_date("record_created_at"))
             write_batch_folder(daily.repartitionByRange("ingest_day", "krs_number"), history_root, batch_id, ["ingest_day"])
             write_batch_folder(latest_pointers(rows), pointers_root, batch_id)
-            write_batch_folder(change_quarantine(raw), rejects, batch_id)
+            write_batch_folder(_rejected(parsed), rejects, batch_id)
         finally:
-            raw.unpersist()
+            parsed.unpersist()
 
     return run_available_now(events, on_batch, name, checkpoint)
 
@@ -218,8 +224,61 @@ def current_from_pointers(spark: SparkSession, pointers_root: str,
     return latest_pointers(snap.unionByName(newer.select(*snap.columns)))
 
 
+def read_history(spark: SparkSession, history_root: str, compacted_root: str | None = None,
+                 upto: dict[str, int] | None = None) -> DataFrame:
+    """The history: the newest compacted files, where there are any, and the
+    batches of every writer that they do not include (``writer`` and
+    ``batch_id`` are partition columns, so folders they include are not
+    read).  With ``upto`` only each writer's batches up to its number."""
+    batches = spark.read.parquet(history_root)
+    if upto is not None:
+        wanted = F.lit(False)
+        for writer, last in upto.items():
+            wanted = wanted | ((F.col("writer") == writer) & (F.col("batch_id") <= last))
+        batches = batches.filter(wanted)
+    if compacted_root is None or not _has_snapshot(spark, compacted_root):
+        return batches.drop("writer", "batch_id")
+    for writer, last in _snapshot_positions(spark, compacted_root).items():
+        batches = batches.filter((F.col("writer") != writer) | (F.col("batch_id") > last))
+    compacted = tables.read_snapshot(spark, compacted_root)
+    return compacted.unionByName(batches.drop("writer", "batch_id").select(*compacted.columns))
+
+
+def compact_history(spark: SparkSession, history_root: str, compacted_root: str) -> int:
+    """Rewrite all batch folders so far as files ranged by (day, company) under
+    a manifest that ``read_history`` follows; versions that were delivered
+    twice become one.  Returns the manifest's version: the number of batches
+    included, from 0.
+
+    Which batches are included is settled first, so batches that arrive
+    meanwhile stay outside.  Readers see the new files only when the pointer
+    row is written, after files and manifest are complete; a run that breaks
+    off leaves the answer as it was, and the next one writes its own folder.
+    Batch folders are not touched; those of a published manifest may be
+    deleted once no reader uses an older one."""
+    positions = _last_batches(spark, history_root)
+    version = sum(n + 1 for n in positions.values()) - 1
+    rows = versions.unique_versions(read_history(spark, history_root, compacted_root, upto=positions))
+    clustered = rows.repartitionByRange("ingest_day", "krs_number").sortWithinPartitions("ingest_day", "krs_number")
+    _publish_positions(spark, compacted_root, version, positions)
+    tables.publish_snapshot(clustered, compacted_root, version, ["ingest_day"])
+    return version
+
+
+def _last_batches(spark: SparkSession, root: str) -> dict[str, int]:
+    """The last batch of each writer: a row per stream, from folder names."""
+    rows = spark.read.parquet(root).groupBy("writer").agg(F.max("batch_id").alias("batch_id")).collect()
+    return {r.writer: int(r.batch_id) for r in rows}
+
+
+def _publish_positions(spark: SparkSession, snapshot_root: str, version: int, last: dict[str, int]) -> None:
+    rows = [(version, w, n) for w, n in last.items()]
+    (spark.createDataFrame(rows, "version long, writer string, batch_id long").write.mode("overwrite")
+     .parquet(os.path.join(snapshot_root, "_positions", f"v={version}")))
+
+
 def current_versions(spark: SparkSession, history_root: str, pointers_root: str,
-                     snapshot_root: str | None = None) -> DataFrame:
+                     snapshot_root: str | None = None, compacted_root: str | None = None) -> DataFrame:
     """ST2 read side: the current version rows (documents included) - the
     history joined back to the current pointers on (day, company, id, time);
     the day is the history's partition column, so days without a current
@@ -228,7 +287,7 @@ def current_versions(spark: SparkSession, history_root: str, pointers_root: str,
     (at-least-once sources) leaves two equal history rows; the answer keeps
     one per (company, id) - a small de-duplication over about one row per
     company."""
-    history = spark.read.parquet(history_root)
+    history = read_history(spark, history_root, compacted_root)
     current = (current_from_pointers(spark, pointers_root, snapshot_root)
                .withColumn("ingest_day", F.to_date("record_created_at")))
     return (history.join(current, ["ingest_day", "krs_number", "id", "record_created_at"], "left_semi")
@@ -239,13 +298,10 @@ def compact_pointers(spark: SparkSession, pointers_root: str, snapshot_root: str
     """Publish the current pointers as a snapshot; later reads start from it.
     The last batch of each writer that it includes is written beside it.
     Returns its version: the number of batches included, from 0."""
-    positions = spark.read.parquet(pointers_root).groupBy("writer").agg(F.max("batch_id").alias("batch_id"))
-    last = {r.writer: int(r.batch_id) for r in positions.collect()}       # a row per stream
+    last = _last_batches(spark, pointers_root)
     version = sum(n + 1 for n in last.values()) - 1
     current = current_from_pointers(spark, pointers_root, snapshot_root)
-    rows = [(version, w, n) for w, n in last.items()]
-    (spark.createDataFrame(rows, "version long, writer string, batch_id long").write.mode("overwrite")
-     .parquet(os.path.join(snapshot_root, "_positions", f"v={version}")))
+    _publish_positions(spark, snapshot_root, version, last)
     tables.publish_snapshot(current, snapshot_root, version)
     return version
 
@@ -265,6 +321,24 @@ def _snapshot_positions(spark: SparkSession, snapshot_root: str) -> dict[str, in
     return {r.writer: r.batch_id for r in rows}
 
 
+def stream_registry_walk(responses: DataFrame, walk_root: str, name: str = "registry_walk", checkpoint: str | None = None,
+                         **columns) -> StreamingQuery:
+    """J5 as a stream of landed answers: per batch the walk of the companies
+    that were answered (``versions.first_found_stream``) in a folder of its own.
+    A company whose walk is pending is to be asked at its ``registry`` next."""
+    walked = versions.first_found_stream(responses, **columns)
+    return run_available_now(walked, lambda df, n: write_batch_folder(df, walk_root, n), name, checkpoint, output_mode="update")
+
+
+def walked_companies(spark: SparkSession, walk_root: str, key: str = "krs_number") -> DataFrame:
+    """The walk of every company as its last batch left it (one stream's
+    batches are in order; its state holds all answers before)."""
+    rows = spark.read.parquet(walk_root)
+    columns = [c for c in rows.columns if c not in (key, "writer", "batch_id")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("batch_id")).alias("_last"))
+    return last.select(key, *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
 def dedup_stream(rows: DataFrame, key: str = "hash_id") -> DataFrame:
     """ST3: keep the first row of each key across the whole stream (state of
     one key per document)."""
@@ -300,7 +374,9 @@ def insert_new_batch(stored_root: str, key: str = "hash_id",
                 stored = stored.filter((F.col("writer") != writer) | (F.col("batch_id") != batch_id))
                 near = tables.stored_keys_near(stored, df, key)
                 fresh = df.join(near, key, "left_anti")
-            write_batch_folder(fresh, stored_root, batch_id, [tables.PREFIX], writer)
+            # A task writes a key range, so a batch has about as many files as tasks and prefixes, not their product.
+            spread = fresh.repartitionByRange(tables.PREFIX, key).sortWithinPartitions(tables.PREFIX, key)
+            write_batch_folder(spread, stored_root, batch_id, [tables.PREFIX], writer)
         finally:
             df.unpersist()
 

@@ -1,0 +1,191 @@
+"""The bucketed document store (S7, J1, S9) and the compacted history."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from regiflow.session import fresh_checkpoint_path
+from regiflow.operators import versions
+from regiflow.sources import tables
+from regiflow.streaming import changes
+
+SCHEMA = "hash_id string, n long"
+
+
+@pytest.fixture()
+def store(spark):
+    root = fresh_checkpoint_path(spark, "store")
+    name = "store_" + root.rsplit("-", 1)[1]
+    tables.ensure_bucketed_table(spark, name, spark.createDataFrame([], SCHEMA).schema, f"{root}/store", 16)
+    yield name
+    spark.sql(f"DROP TABLE {name}")
+
+
+def docs(spark, numbers):
+    return spark.createDataFrame([(i,) for i in numbers], "n long").select(F.sha2(F.col("n").cast("string"), 256).alias("hash_id"), "n")
+
+
+def test_rerun_and_overlap_append_nothing_twice(spark, store):
+    for numbers in (range(50), range(50), range(30, 80), []):
+        tables.insert_absent(docs(spark, numbers), store, 16)
+    assert sorted(r.n for r in spark.table(store).collect()) == list(range(80))
+    tables.ensure_bucketed_table(spark, store, spark.table(store).schema, "/nowhere", 16)        # is there: nothing happens
+    assert spark.table(store).count() == 80
+
+
+def test_the_stored_side_does_not_move(spark, store):
+    tables.insert_absent(docs(spark, range(2000)), store, 16)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")                                     # show the plan that runs
+        out = tables.absent_from(docs(spark, range(1000, 3000)), store)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        join = plan.index("SortMergeJoin")
+        stored = plan[plan.index("FileScan parquet", join) - 400:]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert "Exchange" not in stored[stored.rindex("Sort", 0, 400):400]
+        assert out.count() == 1000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def event(i, krs, day):
+    after = {"id": i, "record_created_at": f"2025-01-{day:02d}T10:00:00Z", "is_current": True, "krs_number": krs, "raw_data": "{}"}
+    return {"key": krs, "value": json.dumps({"after": after, "op": "c", "ts_ms": i})}
+
+
+class Arriving:
+    """A change stream with a checkpoint; each call adds a file and runs it."""
+
+    def __init__(self, spark, root):
+        self.spark, self.root, self.n = spark, root, 0
+        os.makedirs(f"{root}/in")
+
+    def __call__(self, events):
+        self.n += 1
+        with open(f"{self.root}/in/part-{self.n}.json", "w") as f:
+            f.writelines(json.dumps(e) + "\n" for e in events)
+        stream = self.spark.readStream.schema("key string, value string").json(f"{self.root}/in")
+        changes.stream_versions_to_history(stream, f"{self.root}/history", f"{self.root}/pointers", "arriving", f"{self.root}/ckpt")
+
+    def answer(self, compacted=True):
+        root = f"{self.root}/compacted" if compacted else None
+        rows = changes.current_versions(self.spark, f"{self.root}/history", f"{self.root}/pointers", compacted_root=root)
+        return sorted((r.krs_number, r.id) for r in rows.collect())
+
+    def compact(self):
+        return changes.compact_history(self.spark, f"{self.root}/history", f"{self.root}/compacted")
+
+    def files(self):
+        rows = changes.read_history(self.spark, f"{self.root}/history", f"{self.root}/compacted")
+        found = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()]                # those that are read
+        return [f for f in found if "/history/" in f], [f for f in found if "/compacted/" in f]
+
+
+def test_compaction_changes_no_answer(spark, tmp_root):
+    """Before, after, with later batches, and after a second one."""
+    stream = Arriving(spark, tmp_root)
+    for n in range(4):
+        stream([event(10 * n + i, f"{i:010d}", 1 + (n + i) % 3) for i in range(6)] + [event(10 * n, f"{0:010d}", 1 + n % 3)])
+    before = stream.answer(False)
+    assert stream.answer() == before
+    assert stream.compact() == 3
+    batches, compacted = stream.files()
+    assert not batches and 0 < len(compacted) <= 3 * 8                   # days x tasks, whatever the number of batches
+    assert stream.answer() == before
+    # an event delivered twice is one version in the compacted files
+    rows = changes.read_history(spark, f"{tmp_root}/history", f"{tmp_root}/compacted")
+    assert rows.count() == rows.select("krs_number", "id").distinct().count() == 24
+    stream([event(99, f"{2:010d}", 9)])
+    assert len(stream.files()[0]) >= 1 and stream.answer() == stream.answer(False) and (f"{2:010d}", 99) in stream.answer()
+    assert stream.compact() == 4 and not stream.files()[0] and stream.answer() == stream.answer(False)
+
+
+def test_a_failed_compaction_changes_nothing(spark, tmp_root, monkeypatch):
+    stream = Arriving(spark, tmp_root)
+    stream([event(1, "a", 1), event(2, "b", 1)])
+    stream.compact()
+    stream([event(3, "a", 2)])
+    want = stream.answer(False)
+    published = tables.publish_snapshot
+
+    def breaks_off(df, root, version, *more):
+        df.write.mode("overwrite").parquet(os.path.join(root, f"v={version}"))
+        raise RuntimeError("lost before the pointer was written")
+
+    monkeypatch.setattr(tables, "publish_snapshot", breaks_off)
+    with pytest.raises(RuntimeError):
+        stream.compact()
+    assert stream.answer() == want
+    monkeypatch.setattr(tables, "publish_snapshot", published)
+    assert stream.compact() == 1 and stream.answer() == want
+
+
+def test_batches_that_arrive_during_a_compaction_stay_outside(spark, tmp_root, monkeypatch):
+    stream = Arriving(spark, tmp_root)
+    stream([event(1, "a", 1)])
+    positions = changes._last_batches
+
+    def then_one_more(spark_, root):
+        found = positions(spark_, root)
+        stream([event(2, "a", 2)])
+        return found
+
+    monkeypatch.setattr(changes, "_last_batches", then_one_more)
+    stream.compact()
+    assert stream.answer() == stream.answer(False) == [("a", 2)]
+    assert len(stream.files()[0]) >= 1
+
+
+def test_files_of_a_batch_are_bounded(spark, tmp_root):
+    """The keyed store: about tasks + prefixes files, not tasks x prefixes."""
+    os.makedirs(tmp_root)
+    docs(spark, range(3000)).write.parquet(f"{tmp_root}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_root}/in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        changes.run_available_now(stream, changes.insert_new_batch(f"{tmp_root}/store", order=["n"]), "bounded", f"{tmp_root}/ckpt")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = spark.read.parquet(f"{tmp_root}/store")
+    assert stored.count() == 3000 and len(stored.inputFiles()) <= 256 + 8
+
+
+def test_one_current_row_whatever_the_history_holds(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("a", 2, "y"), ("b", 1, "z"), (None, 5, "n"), (None, 5, "n")]
+    df = spark.createDataFrame(rows, "krs_number string, id long, raw_data string").withColumn("t", F.lit(1))
+    out = versions.mark_current(df, "krs_number", ["t", "id"], repeated=True).collect()
+    assert sorted(str(r.krs_number) for r in out if r.is_current) == ["None", "a", "b"] and len(out) == 4
+
+
+def answers(rows):
+    return [{"krs_number": k, "registry": r, "status_code": s, "ts": t, "response_id": i} for i, (k, r, s, t) in enumerate(rows)]
+
+
+ANSWER = "krs_number string, registry string, status_code int, ts long, response_id long"
+
+
+def test_the_walk_as_a_stream_follows_every_start(spark, tmp_root):
+    """a: P is 404, then S ok, then an old answer of P arrives; b: pending,
+    then an error; c: 404 at both; d: only S has answered."""
+    steps = [([("a", "P", 404, 1), ("b", "S", 200, 1), ("c", "P", 404, 1), ("d", "S", 404, 3)],
+              {"a": ("S", None, "pending"), "b": ("P", None, "pending"), "c": ("S", None, "pending"), "d": ("P", None, "pending")}),
+             ([("a", "S", 200, 2), ("b", "P", 500, 2), ("c", "S", 404, 2)],
+              {"a": ("S", 200, "ok"), "b": ("P", 500, "error"), "c": (None, None, "not_found"), "d": ("P", None, "pending")}),
+             ([("a", "S", 404, 1), ("a", "P", 200, 0), ("c", "P", 200, 5)],
+              {"a": ("S", 200, "ok"), "b": ("P", 500, "error"), "c": ("P", 200, "ok"), "d": ("P", None, "pending")})]
+    os.makedirs(f"{tmp_root}/in")
+    seen = []
+    for n, (rows, want) in enumerate(steps):
+        seen += rows
+        with open(f"{tmp_root}/in/{n}.json", "w") as f:
+            f.writelines(json.dumps(a) + "\n" for a in answers(rows))
+        stream = spark.readStream.schema(ANSWER).json(f"{tmp_root}/in")
+        changes.stream_registry_walk(stream, f"{tmp_root}/walk", "walk", f"{tmp_root}/ckpt")
+        got = {r.krs_number: (r.registry, r.status_code, r.outcome) for r in changes.walked_companies(spark, f"{tmp_root}/walk").collect()}
+        batch = spark.read.schema(ANSWER).json(f"{tmp_root}/in")
+        assert got == want == {r.krs_number: (r.registry, r.status_code, r.outcome) for r in versions.first_found(batch, batch).collect()}
