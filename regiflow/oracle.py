@@ -541,3 +541,11 @@ SQL["company_field_history"] = f"""
            CASE WHEN json_type(entry) <> 'NULL' THEN json_extract_string(entry, '$') END AS value, i = n - 1 AS is_last
     FROM entries
 """
+SQL["stream_log_versions"] = SQL["stream_current_versions"]
+SQL["stream_accounts"] = f"""
+    WITH counted AS (SELECT outcome, count(*) AS n FROM ({_CHANGES}) GROUP BY outcome)
+    SELECT 'in' AS outcome, CAST(sum(n) AS BIGINT) AS n_rows FROM counted
+    UNION ALL SELECT coalesce(o.as_said, r.outcome), coalesce(n, 0)
+    FROM (VALUES ('version'), ('tombstone'), ('malformed'), ('op_u'), ('no_after'), ('no_key'), ('bad_time')) r(outcome)
+    LEFT JOIN (VALUES ('version', 'out'), ('op_u', 'op_*')) o(outcome, as_said) USING (outcome) LEFT JOIN counted USING (outcome)
+"""

@@ -30,6 +30,7 @@ from regiflow.operators import archives, documents, jobs, pages, versions
 from regiflow.plans import flows, requests
 from regiflow.session import fresh_checkpoint_path
 from regiflow.sources import tables
+from regiflow.sources.change_log import change_log
 from regiflow.sources.tables import read_table, stream_table
 from regiflow.streaming import changes
 
@@ -495,6 +496,8 @@ def register_pages(spark, sf_dir):
             .when(k % 11 == 1, update("javax.faces.ViewRoot", F.lit("<p>Witryna sieci Web nie może wyświetlić strony</p>")))
             .when(k % 19 == 4, update("unloggedForm:j_idt1", F.lit("<p>Brak dokumentów dla KRS: 1</p>")))
             .otherwise(update("searchForm", table)))
+    # Landed pages are read from many files; these would come out of one small shuffle partition.
+    pages_ = pages_.repartition(spark.sparkContext.defaultParallelism, "o_custkey", "page")
     return pages_.select(F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("page").cast("string")).alias("request_id"),
                          _company(F.col("o_custkey")).alias("krs_number"), F.col("page").cast("int").alias("page"), body.alias("body"))
 
@@ -741,6 +744,29 @@ def q_stream_compacted_versions(spark, sf_dir):
     return current.select("krs_number", "id", "record_created_at", "raw_data")
 
 
+def q_stream_log_versions(spark, sf_dir):
+    """S3: the change events as a log of JSON lines that grows between three
+    starts of the stream; answer = the current version of every company."""
+    root = fresh_checkpoint_path(spark, "stream_log_versions")
+    for n in range(3):
+        own = change_events(_t(spark, sf_dir, "events").filter(F.col("event_id") % 3 == n))
+        own.select(F.to_json(F.struct("key", "value"), {"ignoreNullFields": "false"})).write.text(f"{root}/log/{n}")
+        changes.stream_versions_to_history(change_log(spark, f"{root}/log"), f"{root}/history", f"{root}/pointers",
+                                           name="stream_log_versions", checkpoint=f"{root}/ckpt")
+    current = changes.current_versions(spark, f"{root}/history", f"{root}/pointers")
+    return current.select("krs_number", "id", "record_created_at", "raw_data")
+
+
+def q_stream_accounts(spark, sf_dir):
+    """ST1: the accounts of the batches: events in, versions out, and events
+    rejected by reason, counted while they were written."""
+    root = fresh_checkpoint_path(spark, "stream_accounts")
+    for events in _arriving(_t(spark, sf_dir, "events"), root, "event_id", 2):
+        changes.stream_versions_to_history(odd_times(change_events(events)), f"{root}/history", f"{root}/pointers",
+                                           name="stream_accounts", checkpoint=f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/history_accounts").groupBy("outcome").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def q_stream_registry_walk(spark, sf_dir):
     """J5 as a stream: the landed answers arrive in three shares, out of
     order; the stream is started again for each."""
@@ -876,4 +902,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "company_field_history": q_company_field_history,
     "stream_compacted_versions": q_stream_compacted_versions,
     "stream_registry_walk": q_stream_registry_walk,
+    "stream_log_versions": q_stream_log_versions,
+    "stream_accounts": q_stream_accounts,
 }

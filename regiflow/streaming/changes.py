@@ -26,12 +26,14 @@ from pyspark.errors import AnalysisException
 
 from regiflow import constants as K
 from regiflow import schemas
-from regiflow.functions import variant
+from regiflow.functions import accounting, variant
 from regiflow.operators import documents, versions
 from regiflow.session import stream_checkpoint_path
 from regiflow.sources import tables
 
 VERSION_ORDER = ["record_created_at", "id"]
+#: Why an event carries no version.
+REJECT_REASONS = ["tombstone", "malformed", "op_*", "no_after", "no_key", "bad_time"]
 
 
 def utc_wall_clock(text: Column) -> Column:
@@ -179,7 +181,9 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
     """ST1+S8+ST2+ST5: parse change events, append the versions to the
     history, the latest pointer of each company in the batch to the pointer
     table and the events without a version, with their reason, to the rejects
-    (``<history_root>_rejects`` unless named), restartably.
+    (``<history_root>_rejects`` unless named), restartably.  The batch's
+    account, ``(outcome, rows)`` for rows in, out and rejected by reason, goes
+    to ``<history_root>_accounts``; a batch whose account does not add up fails.
 
     The current pointer of a company is the greatest over all pointer
     batches (``current_from_pointers``) - the same answer as a stateful
@@ -201,7 +205,11 @@ def stream_versions_to_history(events: DataFrame, history_root: str, pointers_ro
             daily = rows.withColumn("ingest_day", F.to_date("record_created_at"))
             write_batch_folder(daily.repartitionByRange("ingest_day", "krs_number"), history_root, batch_id, ["ingest_day"])
             write_batch_folder(latest_pointers(rows), pointers_root, batch_id)
-            write_batch_folder(_rejected(parsed), rejects, batch_id)
+            # All parsed rows pass here once, from memory, without a shuffle: the place to count them.
+            counted, seen = accounting.accounted(parsed, REJECT_REASONS)
+            write_batch_folder(_rejected(counted), rejects, batch_id)
+            account = raw.sparkSession.createDataFrame(accounting.account_of(seen), "outcome string, n_rows long")
+            write_batch_folder(account, f"{history_root.rstrip('/')}_accounts", batch_id)
         finally:
             parsed.unpersist()
 
