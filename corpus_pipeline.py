@@ -5,6 +5,9 @@ Each stage takes the documents that the stage before it kept and returns the
 ones it keeps, with the columns of ``documents``; the last returns packed
 pieces.  Between stages the documents are written as Parquet and read again,
 so a lost executor costs at most the stage that is running.
+
+Defined results: an empty table gives no rows at every stage; columns of any
+name pass through all stages but the last; a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -18,29 +21,35 @@ from regiflow.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts do (no
+    words).  Repeated rows share a verdict; null ids do not matter."""
     return quality_rules.keep_sound(spark, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id stays."""
+    """Of documents with equal texts the one with the largest id stays; null
+    ids sort below all others.  Of rows that share id and text one stays.  A
+    null text equals the empty one."""
     return exact_dedup.deduplicated(spark, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by fingerprints at most 2 bits apart the one with
-    the smallest id stays."""
+    the smallest id stays (null ids last; of rows that share it the first in
+    the table's files).  Texts without a word have fingerprint 0."""
     return simhash.deduplicated(spark, docs, shingle_words=3, max_distance=2)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret found is replaced by a marker; no document goes."""
+    """Every secret found is replaced by a marker; no document goes.  A null
+    text stays null, and so does its ``n_chars``."""
     return (secret_scan.redact(spark, docs)
             .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token sequences of at most 2048."""
+    """The documents as token sequences of at most 2048.  Null and empty texts
+    are the separator alone; repeated rows are packed each; null ids stay."""
     return packing.pack_documents(spark, docs, TOKENIZER, capacity=2048)
 
 

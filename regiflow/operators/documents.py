@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiflow import constants as K
+from regiflow.operators.running import running_sums
 
 
 def new_rows(listing: DataFrame, stored: DataFrame, key: str = "hash_id") -> DataFrame:
@@ -68,6 +69,14 @@ def pending_work(listing: DataFrame, stored: DataFrame, key: str = "hash_id",
         "work_order", (F.col(page) - 1) * F.lit(page_size) + F.col(position))
 
 
+def dense_order(pending: DataFrame, company: str = "krs_number", key: str = "hash_id") -> DataFrame:
+    """``pending_work`` with ``place``, the number of a row among its
+    company's pending rows, from 1 without gaps, and ``ahead``, how many there
+    are before it.  By running sums, so no company is put into one task."""
+    summed = running_sums(pending, [company], ["work_order", key], {"ahead": F.lit(1)})
+    return summed.withColumn("place", F.col("ahead") + 1)
+
+
 def next_pending(pending: DataFrame, company: str = "krs_number") -> DataFrame:
     """The cursor's next row of each company: least ``work_order`` (a partial
     aggregate, so a company with a third of the rows is one row per map task

@@ -138,6 +138,36 @@ def _read_html(fragment: str | None) -> _TableReader | None:
 UPDATES_FIELD = T.StructField("updates", T.MapType(T.StringType(), T.StringType()))
 
 
+def update_texts(body: str | None) -> dict[str, str] | None:
+    """The text of every update block of a partial response by id, the first
+    of each id, in their order; null for a body that is no XML."""
+    try:
+        root = ET.fromstring(body or "")
+    except ET.ParseError:
+        return None
+    out: dict[str, str] = {}
+    for el in root.iter("update"):
+        out.setdefault(el.get("id") or "", el.text or "")
+    return out
+
+
+@F.udtf(returnType="update_id string, place int, update_text string", useArrow=True)
+class UpdateBlocks:
+    """One row per update block of a page body."""
+
+    def eval(self, body: str) -> Iterator[tuple[str, int, str]]:
+        for place, (update_id, text) in enumerate((update_texts(body) or {}).items()):
+            yield update_id, place, text
+
+
+def update_blocks(pages: DataFrame, body: str = "body", keep: Sequence[str] = ("request_id",)) -> DataFrame:
+    """P8 as rows: the update blocks of every landed page, ``(keep, update_id,
+    place, update_text)``, by a lateral join with a table function.  A block is
+    looked up by a filter on its id; a page that is no XML has none."""
+    rows = pages.select(*keep, F.col(body).alias("_body")).lateralJoin(UpdateBlocks(F.col("_body").outer()))
+    return rows.select(*keep, "update_id", "place", "update_text")
+
+
 def parse_partial_response(body: str | None, keep_updates: bool = False) -> dict:
     """Structure of one landed page (see ``PARSED_FIELDS``); with
     ``keep_updates`` also every update block's text by id (first of each
@@ -152,18 +182,11 @@ def parse_partial_response(body: str | None, keep_updates: bool = False) -> dict
     title = _TITLE.search(body)
     if title:
         out["title"] = html.unescape(title.group(1)) or None
-    try:
-        root = ET.fromstring(body)
-    except ET.ParseError:
+    by_id = update_texts(body)
+    if by_id is None:
         out["malformed"] = True
         return out
-    by_id: dict[str, str] = {}
-    message = None
-    for el in root.iter("update"):
-        uid = el.get("id") or ""
-        by_id.setdefault(uid, el.text or "")
-        if message is None and uid.startswith(K.MESSAGE_UPDATE_PREFIX):
-            message = el.text or ""
+    message = next((t for i, t in by_id.items() if i.startswith(K.MESSAGE_UPDATE_PREFIX)), None)
     if message is not None:
         out["message_text"] = "".join(_read_html(message).text)
     if K.VIEWROOT_UPDATE_ID in by_id:

@@ -549,3 +549,16 @@ SQL["stream_accounts"] = f"""
     FROM (VALUES ('version'), ('tombstone'), ('malformed'), ('op_u'), ('no_after'), ('no_key'), ('bad_time')) r(outcome)
     LEFT JOIN (VALUES ('version', 'out'), ('op_u', 'op_*')) o(outcome, as_said) USING (outcome) LEFT JOIN counted USING (outcome)
 """
+SQL["page_update_blocks"] = f"""
+    SELECT krs_number, page, CAST(0 AS INTEGER) AS place,
+           CASE diagnosis WHEN 'throttled' THEN 'unloggedForm:j_idt9' WHEN 'cannot_display' THEN 'javax.faces.ViewRoot'
+                          WHEN 'no_documents' THEN 'unloggedForm:j_idt1' ELSE 'searchForm' END AS update_id,
+           CASE diagnosis WHEN 'throttled' THEN '<p>Wymagane oczekiwanie pomiędzy kolejnymi wywołaniami</p>'
+                          WHEN 'cannot_display' THEN '<p>Witryna sieci Web nie może wyświetlić strony</p>'
+                          WHEN 'no_documents' THEN '<p>Brak dokumentów dla KRS: 1</p>' END AS message
+    FROM ({_PAGE_KINDS}) WHERE diagnosis NOT IN ('maintenance', 'malformed')
+"""
+SQL["pending_places"] = f"""
+    SELECT krs_number, hash_id, work_order, row_number() OVER (PARTITION BY krs_number ORDER BY work_order, hash_id) AS place
+    FROM ({SQL['pending_documents']})
+"""

@@ -377,6 +377,11 @@ def q_pending_documents(spark, sf_dir):
     return documents.pending_work(listing, stored, "hash_id")
 
 
+def q_pending_places(spark, sf_dir):
+    """Every pending row's place in its listing, without gaps."""
+    return documents.dense_order(q_pending_documents(spark, sf_dir)).select("krs_number", "hash_id", "work_order", "place")
+
+
 def q_next_pending_documents(spark, sf_dir):
     """W3 cursor: each supplier listing's next row to fetch."""
     return documents.next_pending(q_pending_documents(spark, sf_dir))
@@ -530,6 +535,13 @@ def q_page_updates(spark, sf_dir):
         F.regexp_count(update("searchForm"), F.lit("<tr>")).cast("long").alias("table_rows"))
 
 
+def q_page_update_blocks(spark, sf_dir):
+    """P8 as rows: the update blocks of every page, by a table function."""
+    blocks = pages.update_blocks(register_pages(spark, sf_dir), keep=["krs_number", "page"])
+    own = F.when(F.col("update_id") != "searchForm", F.col("update_text"))
+    return blocks.select("krs_number", "page", "update_id", "place", own.alias("message"))
+
+
 def q_missing_pages(spark, sf_dir):
     """Listing pages that have not landed as ok (the listing is not whole)."""
     return requests.missing_pages(flows.parsed_listing(register_pages(spark, sf_dir)))
@@ -899,6 +911,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bucketed_new_documents": q_bucketed_new_documents,
     "archive_parts": q_archive_parts,
     "page_updates": q_page_updates,
+    "page_update_blocks": q_page_update_blocks,
+    "pending_places": q_pending_places,
     "company_field_history": q_company_field_history,
     "stream_compacted_versions": q_stream_compacted_versions,
     "stream_registry_walk": q_stream_registry_walk,

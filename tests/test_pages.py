@@ -161,3 +161,14 @@ def test_missing_pages_without_any_count(spark):
     parsed = spark.createDataFrame(rows, "krs_number string, page int, num_pages int, diagnosis string")
     got = sorted(tuple(r) for r in requests.missing_pages(parsed).collect())
     assert got == [("a", 1), ("b", 1), ("b", 2), ("d", 2), ("d", 3), ("f", 1), ("f", 2), ("g", 4), ("h", 1)]
+
+
+def test_update_blocks_as_rows(spark):
+    two = ("<partial-response><changes><update id='a'><![CDATA[<b>x</b>]]></update><update id='b'>ż</update><update id='a'>later</update>"
+           "<update>none</update></changes></partial-response>")
+    df = spark.createDataFrame([(1, two), (2, "<broken"), (3, None), (4, "<partial-response/>")], "request_id int, body string")
+    out = pages.update_blocks(df)
+    assert sorted(map(tuple, out.collect())) == [(1, "", 2, "none"), (1, "a", 0, "<b>x</b>"), (1, "b", 1, "ż")]
+    assert [r.update_text for r in out.filter("update_id = 'b'").collect()] == ["ż"]
+    parsed = pages.parse_pages(df, keep_updates=True).filter("updates is not null").collect()
+    assert {(r.request_id, i): t for r in parsed for i, t in r.updates.items()} == {(r[0], r[1]): r[3] for r in out.collect()}
