@@ -71,6 +71,11 @@ def test_whole_table(spark):
     assert result(turns) == brute([(r.conv_id, r.turn, r.role, r.text) for r in turns.collect()])
 
 
+def test_a_very_long_turn(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "ab]c\\ " * 300_000), (1, 2, "assistant", "end")]
+    assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], SCHEMA)) == []
 

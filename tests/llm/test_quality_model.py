@@ -112,3 +112,53 @@ def test_rows_nulls_repeats_and_missing_ratings(spark):
     empty = qm.fit(docs.limit(0), ratings.limit(0), F.lit(1), 3)
     assert not empty.weights.any() and (np.diff(empty.thresholds) > 0).all()
     assert qm.graded(docs.limit(0), empty, select=2).count() == 0
+
+
+def _plain_score(weights, text):
+    """The score of a text from the definition, feature by feature."""
+    import re
+    import zlib
+
+    pieces = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    names, marks = set(), [0, 0, 0]
+    for p in pieces:
+        core = re.sub(r"^[^0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+$", "", p)
+        low = core.lower()
+        if low:
+            names |= {"w" + low, *("p" + low[:n] for n in (4, 5, 6, 7) if len(low) > n)}
+        marks[0] += bool(re.search(r"[#*$%&|<>]", p))
+        marks[1] += "!!" in p
+        marks[2] += len(core) > 1 and core.isupper()
+    runs = [tuple(pieces[i:i + 3]) for i in range(len(pieces) - 2)]
+    shares = [m / max(1, len(pieces)) for m in marks] + [1 - len(set(runs)) / len(runs) if runs else 0.0]
+    names |= {f"s{k}:{j}" for k, share in enumerate(shares) for j, edge in enumerate((0.01, 0.03, 0.1, 0.3)) if share > edge}
+    numbers = {zlib.crc32(n.encode()) % 2 ** 20 for n in names}
+    return sum(float(weights[n]) for n in numbers)
+
+
+def test_registered_query_equals_a_plain_scoring(spark):
+    from conftest import SF_SMALL
+    from regiflow.llm.queries import QUERIES
+
+    docs, labels = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    model = qm.fit(docs, labels, grade_of_labels(), grades=3)
+    got = {r.doc_id: r for r in QUERIES["op7_quality_classifier"](spark, SF_SMALL).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and model.weights.any()
+    for doc in rows:
+        score = _plain_score(model.weights, doc.text)
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        r = got[doc.doc_id]
+        assert np.allclose([r.score, r.expected_grade, r.tail_probability], [score, sum(tails), tails[1]], atol=1e-5)
+        assert r.kept == (r.tail_probability >= 0.5)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    weights = np.zeros(1 << qm.BITS, np.float32)
+    weights[qm.hashed(b"wzork")], weights[qm.hashed(b"wfine")] = -2, 1
+    model = qm.OrdinalModel(weights, np.array([-1.0, 0.5]))
+    long = "fine words " * 200_000 + "zork"
+    df = spark.createDataFrame([(1, long, 9, 9, 9, "x"), (2, "fine", 9, 9, 9, "x")],
+                               "doc_id long, text string, score int, data int, kept int, tail_probability string")
+    got = {r.doc_id: r for r in qm.graded(df, model, select=2).collect()}
+    assert {d: round(r.score, 5) for d, r in got.items()} == {d: round(_plain_score(weights, t), 5) for d, t in ((1, long), (2, "fine"))}

@@ -113,3 +113,13 @@ def test_many_parts_in_one_text(spark):
     text = " ".join(f"{KEY} {LONG} https://h{i}.example.com" for i in range(800))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert result(spark, df) == [want(1, text)]
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    long = "word " * 300_000 + f"{KEY} {LONG}\n\n" + "x" * 100_000 + " token=abcdefgh"
+    names = ["row", "kind", "start", "end", "paragraph", "cell", "f", "m0", "found"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)
+    df = spark.createDataFrame([(1, long, *[0] * len(names)), (2, TEXTS[14], *[1] * len(names))], schema)
+    assert result(spark, df) == sorted([want(1, long), want(2, TEXTS[14])], key=str)
+    out = {r.doc_id: r for r in ss.redact(spark, df).collect()}
+    assert out[1].text == brute_redact(long) and out[2].paragraph == 1
