@@ -41,14 +41,20 @@ NOTES = {
     "changed_companies": "explode then partial distinct",
     "dispatch_plan": "distinct companies x literal 2-route array (no join)",
     "bulletin_requests": "explode of a 3-day sequence, partial distinct",
-    "document_hash_id": "ICU NFKD in the JVM, no Python",
-    "document_content_keys": "whole texts, ICU NFKD in the JVM",
+    "document_hash_id": "NFKD in built-in functions, no Python",
+    "document_content_keys": "whole texts, NFKD in built-in functions",
     "document_key_collisions": "partial count-distinct of part tuples per key",
     "docs_of_company": "projection only",
     "insert_new_documents": "partial min(struct) per text hash, then anti-join; texts hashed, never shuffled",
     "pending_documents": "anti-join on content key; work order is a column, no window",
     "next_pending_documents": "partial min(struct) per company",
-    "archive_totals": "sizes aggregate, salted (company, part) shuffle, zip per group in Python",
+    "archive_parts": "narrow rows ranged by (company, key), running bytes per (partition, company), carried sums joined back",
+    "archive_totals": "parts cut by running bytes, (company, part) shuffle, zip per group in Python",
+    "pending_places": "running counts as for the archive parts",
+    "company_field_history": "one parse, lateral variant_explode, no shuffle",
+    "bucketed_new_documents": "read of the store; its inserts join the buckets without moving them (tests/test_store.py)",
+    "page_update_blocks": "lateral join with a Python table function",
+    "history_current_flag": "copies reduced, then as current_flag",
     "company_records": "Spark-built extracts, staged VARIANT flattening",
     "job_status": "one aggregate per job (max_by state)",
     "queue_state_counts": "job aggregate, then conditional counts per queue",
