@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,14 +240,16 @@ def rated_features(docs: DataFrame, ratings: DataFrame, grade: Column, max_label
 
 
 def held_out(doc_id: int) -> bool:
-    """A fifth of the rated rows, by id, never used in fitting."""
+    """A fifth of the rated rows, by id: a hold-out for ``fit``."""
     return zlib.crc32(b"%d" % doc_id) % 5 == 0
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, max_labels: int = MAX_LABELS, id_col: str = "doc_id",
-        text_col: str = "text", lang_col: str = "lang") -> OrdinalModel:
+        text_col: str = "text", lang_col: str = "lang", hold_out: Callable[[int], bool] | None = None) -> OrdinalModel:
+    """The model of the rated documents (at most ``max_labels``); rows for
+    whose id ``hold_out`` says so are left for a test, none by default."""
     rows = rated_features(docs, ratings, grade, max_labels, id_col, text_col, lang_col)
-    return train([(f, g) for d, f, g in rows if not held_out(d)], grades)
+    return train([(f, g) for d, f, g in rows if hold_out is None or not hold_out(d)], grades)
 
 
 def graded(docs: DataFrame, model: OrdinalModel, select: int, threshold: float = 0.5, id_col: str = "doc_id",

@@ -153,6 +153,14 @@ def test_registered_query_equals_a_plain_scoring(spark):
         assert r.kept == (r.tail_probability >= 0.5)
 
 
+def test_hold_out_is_a_parameter(spark):
+    docs, labels = spark.read.parquet(f"{SF_CHECK}/documents.parquet"), spark.read.parquet(f"{SF_CHECK}/labels.parquet")
+    rows = qm.rated_features(docs, labels, grade_of_labels())
+    every, part = qm.fit(docs, labels, grade_of_labels(), 3), qm.fit(docs, labels, grade_of_labels(), 3, hold_out=qm.held_out)
+    assert (every.weights == qm.train([(f, g) for _, f, g in rows], 3).weights).all()
+    assert (part.weights == qm.train([(f, g) for d, f, g in rows if not qm.held_out(d)], 3).weights).all()
+
+
 def test_very_long_text_and_clashing_columns(spark):
     weights = np.zeros(1 << qm.BITS, np.float32)
     weights[qm.hashed(b"wzork")], weights[qm.hashed(b"wfine")] = -2, 1
