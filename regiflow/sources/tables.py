@@ -164,6 +164,18 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(newest)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below ``path``, none where it is missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(f.getPath()) for f in system.listStatus(folder) if f.isDirectory()] if system.exists(folder) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # --- store bucketed by content key ---------------------------------------------
 # A catalog table clustered by ``hash_id``, a digest, so no bucket is hot.  A
 # batch is shuffled to the buckets; the stored side is read bucket by bucket

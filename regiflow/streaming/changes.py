@@ -238,17 +238,22 @@ def read_history(spark: SparkSession, history_root: str, compacted_root: str | N
     batches of every writer that they do not include (``writer`` and
     ``batch_id`` are partition columns, so folders they include are not
     read).  With ``upto`` only each writer's batches up to its number."""
-    batches = spark.read.parquet(history_root)
+    compacted = tables.read_snapshot(spark, compacted_root) if compacted_root and _has_snapshot(spark, compacted_root) else None
+    try:
+        batches = spark.read.parquet(history_root)
+    except AnalysisException:                # every batch so far is compacted and gone
+        if compacted is None:
+            raise
+        return compacted
     if upto is not None:
         wanted = F.lit(False)
         for writer, last in upto.items():
             wanted = wanted | ((F.col("writer") == writer) & (F.col("batch_id") <= last))
         batches = batches.filter(wanted)
-    if compacted_root is None or not _has_snapshot(spark, compacted_root):
+    if compacted is None:
         return batches.drop("writer", "batch_id")
     for writer, last in _snapshot_positions(spark, compacted_root).items():
         batches = batches.filter((F.col("writer") != writer) | (F.col("batch_id") > last))
-    compacted = tables.read_snapshot(spark, compacted_root)
     return compacted.unionByName(batches.drop("writer", "batch_id").select(*compacted.columns))
 
 
@@ -262,9 +267,11 @@ def compact_history(spark: SparkSession, history_root: str, compacted_root: str)
     meanwhile stay outside.  Readers see the new files only when the pointer
     row is written, after files and manifest are complete; a run that breaks
     off leaves the answer as it was, and the next one writes its own folder.
-    Batch folders are not touched; those of a published manifest may be
-    deleted once no reader uses an older one."""
+    Batch folders are not touched (``forget_compacted`` does that)."""
     positions = _last_batches(spark, history_root)
+    if _has_snapshot(spark, compacted_root):                 # of folders that are gone, too
+        for writer, last in _snapshot_positions(spark, compacted_root).items():
+            positions[writer] = max(last, positions.get(writer, last))
     version = sum(n + 1 for n in positions.values()) - 1
     rows = versions.unique_versions(read_history(spark, history_root, compacted_root, upto=positions))
     clustered = rows.repartitionByRange("ingest_day", "krs_number").sortWithinPartitions("ingest_day", "krs_number")
@@ -273,9 +280,28 @@ def compact_history(spark: SparkSession, history_root: str, compacted_root: str)
     return version
 
 
+def forget_compacted(spark: SparkSession, history_root: str, compacted_root: str) -> int:
+    """Delete the batch folders that the newest manifest includes, when no
+    reader uses an older one any more; returns how many.  A batch among them
+    that a stream replays is written again and still not read."""
+    gone = 0
+    for writer, last in _snapshot_positions(spark, compacted_root).items():
+        folder = os.path.join(history_root, f"writer={writer}")
+        for path in tables.folders_in(spark, folder):
+            name = path.rstrip("/").rsplit("/", 1)[1]
+            if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= last:
+                tables.delete_folder(spark, path)
+                gone += 1
+    return gone
+
+
 def _last_batches(spark: SparkSession, root: str) -> dict[str, int]:
-    """The last batch of each writer: a row per stream, from folder names."""
-    rows = spark.read.parquet(root).groupBy("writer").agg(F.max("batch_id").alias("batch_id")).collect()
+    """The last batch of each writer: a row per stream, from folder names;
+    none where all folders are gone."""
+    try:
+        rows = spark.read.parquet(root).groupBy("writer").agg(F.max("batch_id").alias("batch_id")).collect()
+    except AnalysisException:
+        return {}
     return {r.writer: int(r.batch_id) for r in rows}
 
 

@@ -105,6 +105,28 @@ def test_compaction_changes_no_answer(spark, tmp_root):
     assert stream.compact() == 4 and not stream.files()[0] and stream.answer() == stream.answer(False)
 
 
+def test_compacted_folders_may_go(spark, tmp_root):
+    """The history goes on from the manifest, also with no batch folder left,
+    and a replayed batch among those that are gone is not read twice."""
+    stream = Arriving(spark, tmp_root)
+    for n in range(3):
+        stream([event(10 * n + i, f"{i:010d}", 1 + n) for i in range(4)])
+    want = stream.answer(False)
+    stream.compact()
+    assert changes.forget_compacted(spark, f"{tmp_root}/history", f"{tmp_root}/compacted") == 3
+    assert changes.forget_compacted(spark, f"{tmp_root}/history", f"{tmp_root}/compacted") == 0
+    assert stream.answer() == want
+    assert stream.compact() == 2 and stream.answer() == want             # nothing new: the same manifest again
+    stream([event(77, f"{1:010d}", 9)])
+    assert (f"{1:010d}", 77) in stream.answer() and stream.compact() == 3
+    writer = next(iter(changes._snapshot_positions(spark, f"{tmp_root}/compacted")))
+    again = changes.parse_changes(spark.createDataFrame([event(21, f"{1:010d}", 3)], "key string, value string"))
+    again = again.withColumn("ingest_day", F.to_date("record_created_at"))
+    changes.write_batch_folder(again, f"{tmp_root}/history", 2, ["ingest_day"], writer)
+    rows = changes.read_history(spark, f"{tmp_root}/history", f"{tmp_root}/compacted")
+    assert rows.filter("id = 21").count() == 1 and rows.count() == 13
+
+
 def test_a_failed_compaction_changes_nothing(spark, tmp_root, monkeypatch):
     stream = Arriving(spark, tmp_root)
     stream([event(1, "a", 1), event(2, "b", 1)])
