@@ -7,8 +7,11 @@ filters into the Parquet (or JDBC) scan.
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,15 +151,29 @@ def stored_keys_near(stored: DataFrame, incoming: DataFrame, key: str = "hash_id
 
 
 def publish_snapshot(df: DataFrame, root: str, version: int, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as snapshot ``version`` and then point readers at it."""
+    """Write ``df`` as snapshot ``version`` and then point readers at it.
+
+    Every attempt writes a folder of its own, so none deletes what ``df``, a
+    reader or another attempt still reads.  A version that is published stays
+    as it is: publishing it again is an error."""
     spark = df.sparkSession
-    path = os.path.join(root, f"v={version}")
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    if published_version(spark, root) >= version:
+        raise ValueError(f"snapshot {version} or a later one is published at {root}")
+    path = os.path.join(root, f"v={version}-{uuid.uuid4().hex[:12]}")
+    df.write.partitionBy(*partition_by).parquet(path)
     pointer = spark.createDataFrame([(int(version), path)], "version long, path string")
     pointer.write.mode("append").parquet(os.path.join(root, "_pointers"))
     return path
 
 
+def published_version(spark: SparkSession, root: str) -> int:
+    """The version of the newest published snapshot, -1 where there is none."""
+    try:
+        return spark.read.parquet(os.path.join(root, "_pointers")).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+    except AnalysisException:
+        return -1
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The newest published snapshot (one small aggregate over the pointer
     rows, then a plain read)."""
@@ -164,6 +181,19 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(newest)
 
 
+def forget_snapshots(spark: SparkSession, root: str) -> int:
+    """Delete the folders of versions older than the newest published one,
+    those of attempts that broke off included, when no reader uses them any
+    more; returns how many."""
+    newest, gone = published_version(spark, root), 0
+    for path in folders_in(spark, root):
+        name = re.fullmatch(r"v=(\d+)-[0-9a-f]+", path.rstrip("/").rsplit("/", 1)[1])
+        if name and int(name[1]) < newest:
+            delete_folder(spark, path)
+            gone += 1
+    return gone
+
+
 def folders_in(spark: SparkSession, path: str) -> list[str]:
     """The folders right below ``path``, none where it is missing."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -267,12 +267,16 @@ def compact_history(spark: SparkSession, history_root: str, compacted_root: str)
     meanwhile stay outside.  Readers see the new files only when the pointer
     row is written, after files and manifest are complete; a run that breaks
     off leaves the answer as it was, and the next one writes its own folder.
-    Batch folders are not touched (``forget_compacted`` does that)."""
+    Without a new batch nothing is written.  Batch folders are not touched
+    (``forget_compacted`` does that), nor are older compacted files
+    (``tables.forget_snapshots``)."""
     positions = _last_batches(spark, history_root)
     if _has_snapshot(spark, compacted_root):                 # of folders that are gone, too
         for writer, last in _snapshot_positions(spark, compacted_root).items():
             positions[writer] = max(last, positions.get(writer, last))
     version = sum(n + 1 for n in positions.values()) - 1
+    if tables.published_version(spark, compacted_root) >= version:
+        return version                                       # no batch since
     rows = versions.unique_versions(read_history(spark, history_root, compacted_root, upto=positions))
     clustered = rows.repartitionByRange("ingest_day", "krs_number").sortWithinPartitions("ingest_day", "krs_number")
     _publish_positions(spark, compacted_root, version, positions)
@@ -331,9 +335,12 @@ def current_versions(spark: SparkSession, history_root: str, pointers_root: str,
 def compact_pointers(spark: SparkSession, pointers_root: str, snapshot_root: str) -> int:
     """Publish the current pointers as a snapshot; later reads start from it.
     The last batch of each writer that it includes is written beside it.
-    Returns its version: the number of batches included, from 0."""
+    Returns its version: the number of batches included, from 0; without a new
+    batch nothing is written."""
     last = _last_batches(spark, pointers_root)
     version = sum(n + 1 for n in last.values()) - 1
+    if tables.published_version(spark, snapshot_root) >= version:
+        return version
     current = current_from_pointers(spark, pointers_root, snapshot_root)
     _publish_positions(spark, snapshot_root, version, last)
     tables.publish_snapshot(current, snapshot_root, version)
@@ -341,16 +348,12 @@ def compact_pointers(spark: SparkSession, pointers_root: str, snapshot_root: str
 
 
 def _has_snapshot(spark: SparkSession, snapshot_root: str) -> bool:
-    try:
-        spark.read.parquet(os.path.join(snapshot_root, "_pointers")).schema
-        return True
-    except AnalysisException:
-        return False
+    return tables.published_version(spark, snapshot_root) >= 0
 
 
 def _snapshot_positions(spark: SparkSession, snapshot_root: str) -> dict[str, int]:
     """Last included batch of each writer of the newest snapshot."""
-    version = spark.read.parquet(os.path.join(snapshot_root, "_pointers")).agg(F.max("version")).first()[0]
+    version = tables.published_version(spark, snapshot_root)
     rows = spark.read.parquet(os.path.join(snapshot_root, "_positions", f"v={version}")).collect()
     return {r.writer: r.batch_id for r in rows}
 

@@ -116,7 +116,9 @@ def test_compacted_folders_may_go(spark, tmp_root):
     assert changes.forget_compacted(spark, f"{tmp_root}/history", f"{tmp_root}/compacted") == 3
     assert changes.forget_compacted(spark, f"{tmp_root}/history", f"{tmp_root}/compacted") == 0
     assert stream.answer() == want
-    assert stream.compact() == 2 and stream.answer() == want             # nothing new: the same manifest again
+    files = stream.files()
+    assert stream.compact() == 2 and stream.files() == files             # nothing new: the only copy is not rewritten
+    assert stream.answer() == want
     stream([event(77, f"{1:010d}", 9)])
     assert (f"{1:010d}", 77) in stream.answer() and stream.compact() == 3
     writer = next(iter(changes._snapshot_positions(spark, f"{tmp_root}/compacted")))
@@ -147,6 +149,23 @@ def test_a_failed_compaction_changes_nothing(spark, tmp_root, monkeypatch):
     assert stream.compact() == 1 and stream.answer() == want
 
 
+def test_snapshots_overwrite_nothing(spark, tmp_root):
+    """A published version stays, an attempt that broke off is not taken over,
+    and folders go only once a later version is published."""
+    assert tables.published_version(spark, tmp_root) == -1
+    first = tables.publish_snapshot(spark.range(5), tmp_root, 1)
+    with pytest.raises(ValueError):
+        tables.publish_snapshot(spark.range(9), tmp_root, 1)
+    left = os.path.join(tmp_root, "v=2-0123456789ab")
+    spark.range(3).write.parquet(left)
+    assert tables.read_snapshot(spark, tmp_root).count() == 5 and tables.forget_snapshots(spark, tmp_root) == 0
+    second = tables.publish_snapshot(tables.read_snapshot(spark, tmp_root).filter("id > 0"), tmp_root, 2)
+    assert second not in (first, left) and tables.read_snapshot(spark, tmp_root).count() == 4
+    assert tables.forget_snapshots(spark, tmp_root) == 1 and not os.path.exists(first) and os.path.exists(left)
+    tables.publish_snapshot(tables.read_snapshot(spark, tmp_root), tmp_root, 3)
+    assert tables.forget_snapshots(spark, tmp_root) == 2 and tables.read_snapshot(spark, tmp_root).count() == 4
+
+
 def test_batches_that_arrive_during_a_compaction_stay_outside(spark, tmp_root, monkeypatch):
     stream = Arriving(spark, tmp_root)
     stream([event(1, "a", 1)])

@@ -154,6 +154,9 @@ def test_compacted_pointers_equal_full_read(spark, tmp_root):
     args = (f"{tmp_root}/hist", f"{tmp_root}/ptr")
     changes.stream_versions_to_history(source(spark, src), *args, name="t_compact", checkpoint=f"{tmp_root}/ckpt")
     assert changes.compact_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap") == 1
+    files = changes.tables.read_snapshot(spark, f"{tmp_root}/snap").inputFiles()
+    assert changes.compact_pointers(spark, f"{tmp_root}/ptr", f"{tmp_root}/snap") == 1          # no new batch: the files stay
+    assert changes.tables.read_snapshot(spark, f"{tmp_root}/snap").inputFiles() == files
     with open(os.path.join(src, "part-009.json"), "w") as f:
         f.write(json.dumps(event(8, "0000057814", "2025-03-01T00:00:00Z")) + "\n")
     changes.stream_versions_to_history(source(spark, src), *args, name="t_compact", checkpoint=f"{tmp_root}/ckpt")
