@@ -231,10 +231,9 @@ MIN_CELLS = 5   # a listing row has at least the five key parts
 _KEY_PARTS = ("document_type", "document_name", "document_from", "document_to")
 
 
-def _data_rows(min_cells: int = 1) -> Column:
-    """Table rows with at least ``min_cells`` cells; a row without any ``td``
-    is a header."""
-    return F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) >= min_cells)
+def _data_rows() -> Column:
+    """Table rows with cells; a row without any ``td`` is a header."""
+    return F.filter(F.coalesce(F.col("rows"), F.array()), lambda r: F.size(r) >= 1)
 
 
 def diagnose(checks: Sequence[tuple[str, Column]], default: str = "ok") -> Column:
@@ -284,9 +283,10 @@ def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
     the listing's column names (longer rows cut), with the content key.
 
     ``position`` counts the rows with at least ``min_cells`` cells from 1, so
-    ``(page - 1) * 10 + position`` is the row's index in the whole listing.
-    Rows without cells are headers; rows with fewer cells than the key needs,
-    or without one of its parts, are in ``listing_quarantine``."""
+    ``(page - 1) * 10 + position`` is the row's index in the whole listing;
+    ``table_row`` counts all rows with cells, as in ``listing_quarantine``,
+    where rows with fewer cells than the key needs, or without one of its
+    parts, are.  Rows without cells are headers."""
     named = _named_rows(parsed, krs, page, min_cells, keep).filter(_row_reason(krs).isNull())
     return named.withColumn("document_hash_id", keys.document_key(
         F.col(krs), F.col("document_type"), F.col("document_name"),
@@ -294,10 +294,12 @@ def listing_rows(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
 
 
 def _named_rows(parsed: DataFrame, krs: str, page: str, min_cells: int, keep: Sequence[str]) -> DataFrame:
-    rows = parsed.select(*keep, krs, page, F.posexplode(_data_rows(min_cells)).alias("_pos", "_cells"))
-    cell = lambda i: F.try_element_at(F.col("_cells"), F.lit(i + 1))
+    numbered = F.transform(_data_rows(), lambda r, i: F.struct((i + 1).alias("table_row"), r.alias("cells")))
+    long_enough = F.filter(numbered, lambda r: F.size(r["cells"]) >= min_cells)
+    rows = parsed.select(*keep, krs, page, F.posexplode(long_enough).alias("_pos", "_row"))
+    cell = lambda i: F.try_element_at(F.col("_row.cells"), F.lit(i + 1))
     return rows.select(
-        *keep, krs, page, (F.col("_pos") + 1).alias("position"),
+        *keep, krs, page, (F.col("_pos") + 1).alias("position"), F.col("_row.table_row").alias("table_row"),
         *[cell(i).alias(name) for i, name in enumerate(K.LISTING_COLUMNS)])
 
 
@@ -308,15 +310,15 @@ def _row_reason(krs: str) -> Column:
 def listing_quarantine(parsed: DataFrame, krs: str = "krs_number", page: str = "page",
                        min_cells: int = MIN_CELLS, keep: Sequence[str] = ()) -> DataFrame:
     """The data rows of a parsed page that are no listing rows: ``(krs_number,
-    page, position, n_cells, cells, reason)`` with reason ``few_cells`` or
-    ``null_part``.  ``position`` counts all rows with cells, from 1.  Rows with
-    cells are exactly ``listing_rows`` plus these."""
+    page, table_row, n_cells, cells, reason)`` with reason ``few_cells`` or
+    ``null_part``.  ``table_row`` counts all rows with cells, from 1: a page's
+    rows here and in ``listing_rows`` have the numbers 1 to n, each once."""
     keep = list(keep)
     every = parsed.select(*keep, krs, page, F.posexplode(_data_rows()).alias("_pos", "cells"))
     cell = lambda name: F.try_element_at(F.col("cells"), F.lit(K.LISTING_COLUMNS.index(name) + 1))
     reason = (F.when(F.size("cells") < min_cells, F.lit("few_cells"))
               .otherwise(keys.document_key_reason(F.col(krs), *map(cell, _KEY_PARTS))))
-    return (every.select(*keep, krs, page, (F.col("_pos") + 1).alias("position"), F.size("cells").alias("n_cells"), "cells",
+    return (every.select(*keep, krs, page, (F.col("_pos") + 1).alias("table_row"), F.size("cells").alias("n_cells"), "cells",
                          reason.alias("reason"))
             .filter(F.col("reason").isNotNull()))
 

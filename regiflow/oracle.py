@@ -188,17 +188,18 @@ SQL: dict[str, str] = {
         SELECT krs_number, page, diagnosis, CASE WHEN diagnosis = 'ok' THEN num_pages END AS num_pages FROM ({_PAGE_KINDS})
     """,
     "listing_rows": f"""
-        SELECT krs_number, CAST(page AS INTEGER) AS page, CAST(position AS INTEGER) AS position, document_id, document_type, document_name,
+        SELECT krs_number, CAST(page AS INTEGER) AS page, CAST(position AS INTEGER) AS position, CAST(rn - (page - 1) * 10 AS INTEGER) AS table_row,
+               document_id, document_type, document_name,
                document_from, document_to, 'Złożony' AS document_status, 'row:' || document_id AS internal_element_id,
                sha256(lower(trim(krs_number || document_type || document_name || document_from || document_to))) AS document_hash_id
-        FROM (SELECT krs_number, page, no_name, row_number() OVER (PARTITION BY krs_number, page ORDER BY rn) AS position,
+        FROM (SELECT krs_number, page, no_name, rn, row_number() OVER (PARTITION BY krs_number, page ORDER BY rn) AS position,
                      CAST(o_orderkey AS VARCHAR) AS document_id, o_orderstatus AS document_type, o_orderpriority AS document_name,
                      strftime(o_orderdate, '%Y-%m-%d') AS document_from, CAST(year(o_orderdate) AS VARCHAR) || '-12-31' AS document_to
               FROM ({_OK_ROWS}) WHERE NOT short)
         WHERE NOT no_name
     """,
     "listing_quarantine": f"""
-        SELECT krs_number, CAST(page AS INTEGER) AS page, CAST(rn - (page - 1) * 10 AS INTEGER) AS position,
+        SELECT krs_number, CAST(page AS INTEGER) AS page, CAST(rn - (page - 1) * 10 AS INTEGER) AS table_row,
                CAST(CASE WHEN short THEN 4 ELSE 7 END AS INTEGER) AS n_cells, CAST(o_orderkey AS VARCHAR) AS first_cell,
                CASE WHEN short THEN 'few_cells' ELSE 'null_part' END AS reason
         FROM ({_OK_ROWS}) WHERE short OR no_name

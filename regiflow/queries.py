@@ -522,7 +522,7 @@ def q_listing_quarantine(spark, sf_dir):
     """Table rows of the ok pages that are no listing rows, with the reason."""
     parsed = flows.parsed_listing(register_pages(spark, sf_dir)).filter("diagnosis = 'ok'")
     return pages.listing_quarantine(parsed).select(
-        "krs_number", "page", "position", "n_cells", F.col("cells")[0].alias("first_cell"), "reason")
+        "krs_number", "page", "table_row", "n_cells", F.col("cells")[0].alias("first_cell"), "reason")
 
 
 def q_page_updates(spark, sf_dir):

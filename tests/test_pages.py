@@ -51,7 +51,7 @@ def test_listing_rows_and_keys(spark):
     rows = pages.listing_rows(parsed, keep=["request_id"]).orderBy("request_id", "position").collect()
     assert len(rows) == 3                       # the 4-cell row is in the quarantine, the header is no row
     odd = pages.listing_quarantine(parsed, keep=["request_id"]).collect()
-    assert [(r.position, r.n_cells, r.cells, r.reason) for r in odd] == [(2, 4, ["a", "b", "c", "d"], "few_cells")]
+    assert [(r.table_row, r.n_cells, r.cells, r.reason) for r in odd] == [(2, 4, ["a", "b", "c", "d"], "few_cells")]
     first = rows[0]
     assert first.document_type == "Roczne sprawozdanie finansowe"
     assert first.internal_element_id == "searchForm:docTable:0:j_idt1"
@@ -70,8 +70,18 @@ def test_listing_rows_and_keys(spark):
 def test_row_without_a_key_part_is_quarantined(spark):
     no_id = ("<tr><td>1</td><td>T</td><td><a href='#'>Pokaż szczegóły</a></td><td>f</td><td>t</td></tr>")
     parsed = parsed_df(spark, [listing(rows=no_id + R1)])
-    assert [r.position for r in pages.listing_rows(parsed).collect()] == [2]
-    assert [(r.position, r.reason) for r in pages.listing_quarantine(parsed).collect()] == [(1, "null_part")]
+    assert [(r.position, r.table_row) for r in pages.listing_rows(parsed).collect()] == [(2, 2)]
+    assert [(r.table_row, r.reason) for r in pages.listing_quarantine(parsed).collect()] == [(1, "null_part")]
+
+
+def test_rows_and_quarantine_share_one_numbering(spark):
+    """Every table row has one number, whichever side it goes to."""
+    no_id = ("<tr><td>1</td><td>T</td><td><a href='#'>Pokaż szczegóły</a></td><td>f</td><td>t</td></tr>")
+    parsed = parsed_df(spark, [listing(rows=R1 + SHORT + no_id + R2), listing(rows=SHORT + R1)])
+    rows = pages.listing_rows(parsed, keep=["request_id"]).orderBy("request_id", "table_row").collect()
+    odd = pages.listing_quarantine(parsed, keep=["request_id"]).orderBy("request_id", "table_row").collect()
+    assert [(r.request_id, r.position, r.table_row) for r in rows] == [("0", 1, 1), ("0", 3, 4), ("1", 1, 2)]
+    assert [(r.request_id, r.table_row, r.reason) for r in odd] == [("0", 2, "few_cells"), ("0", 3, "null_part"), ("1", 1, "few_cells")]
 
 
 def test_page_count(spark):
