@@ -4,8 +4,8 @@ page count (P7).
 A landed page is a JSF partial response - XML whose ``<update id=...>``
 elements carry HTML in CDATA.  Spark's ``xpath`` functions fail the whole
 query on one malformed page, and the table cells need an HTML parser, so one
-Python step parses each page (``mapInPandas``, Arrow batches, stdlib
-``xml.etree`` and ``html.parser``) into plain columns; everything after that -
+Python step parses each page (``mapInArrow``, a few pages of a batch at a
+time, stdlib ``xml.etree`` and ``html.parser``) into plain columns; everything after that -
 the marker checks, zipping cells to column names, hashing, exploding - is
 built-in Spark.
 """
@@ -18,7 +18,8 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +138,9 @@ def _read_html(fragment: str | None) -> _TableReader | None:
 
 UPDATES_FIELD = T.StructField("updates", T.MapType(T.StringType(), T.StringType()))
 
+_ARROW_TYPES = {"malformed": pa.bool_(), "has_listing": pa.bool_(), "rows": pa.list_(pa.list_(pa.string())),
+                "updates": pa.map_(pa.string(), pa.string())}     # the other parsed fields are strings
+
 
 def update_texts(body: str | None) -> dict[str, str] | None:
     """The text of every update block of a partial response by id, the first
@@ -203,28 +207,60 @@ def parse_partial_response(body: str | None, keep_updates: bool = False) -> dict
     return out
 
 
+SLICE_PAGES, SLICE_BYTES = 256, 1 << 20
+
+
+def _slices(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """``(start, length)`` of runs of at most ``SLICE_PAGES`` pages and
+    ``SLICE_BYTES`` bytes; a larger page is a run of its own."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == SLICE_PAGES or held + size > SLICE_BYTES):
+            yield start, i - start
+            start, held = i, 0
+        held += size
+    if len(sizes) > start:
+        yield start, len(sizes) - start
+
+
+def _parsed_slice(batch: pa.RecordBatch, keep: Sequence[str], keep_updates: bool, names: Sequence[str]) -> pa.RecordBatch:
+    parsed = [parse_partial_response(b.as_py(), keep_updates) for b in batch.column(len(keep))]
+    if keep_updates:
+        for p in parsed:
+            p["updates"] = p["updates"] and list(p["updates"].items())
+    fields = [pa.array([p[f] for p in parsed], _ARROW_TYPES.get(f, pa.string())) for f in names]
+    return pa.RecordBatch.from_arrays(batch.columns[:len(keep)] + fields, [*keep, *names])
+
+
+def parsed_batches(batches: Iterator[pa.RecordBatch], keep: Sequence[str], keep_updates: bool,
+                   names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The parsed pages of Arrow batches of ``keep`` columns and the body, a
+    slice at a time: as Python objects there are only the pages of one slice,
+    however many a batch has."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(len(keep))), 0).to_pylist()
+        for start, length in _slices(sizes):
+            yield _parsed_slice(batch.slice(start, length), keep, keep_updates, names)
+        del batch       # not held while the next one is read
+
+
 def parse_pages(pages: DataFrame, body: str = "body", keep: Sequence[str] = ("request_id",),
                 keep_updates: bool = False) -> DataFrame:
     """Parse every landed page; output ``keep`` columns + ``PARSED_FIELDS``
     (+ ``updates``, id -> text of every update block, with
     ``keep_updates``: P8 is then ``F.col("updates")[id]``).
 
-    Runs per Arrow batch inside the executors; the body is not carried past
-    this step."""
+    Runs inside the executors, a slice of an Arrow batch at a time; the body
+    is not carried past this step."""
     keep = list(keep)
     fields = PARSED_FIELDS.fields + ([UPDATES_FIELD] if keep_updates else [])
     schema = T.StructType([pages.schema[c] for c in keep] + fields)
     names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parsed = [parse_partial_response(b, keep_updates) for b in pdf[body].tolist()]
-            out = pdf[keep].reset_index(drop=True)
-            for f in names:
-                out[f] = [p[f] for p in parsed]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return parsed_batches(batches, keep, keep_updates, names)
 
-    return pages.select(*keep, body).mapInPandas(run, schema)
+    return pages.select(*keep, body).mapInArrow(run, schema)
 
 
 MIN_CELLS = 5   # a listing row has at least the five key parts

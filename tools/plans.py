@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 NODES = ["Exchange", "BroadcastExchange", "ReusedExchange", "SortMergeJoin", "BroadcastHashJoin",
          "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct", "HashAggregate",
-         "SortAggregate", "ObjectHashAggregate", "Window", "ArrowEvalPython", "MapInPandas",
+         "SortAggregate", "ObjectHashAggregate", "Window", "ArrowEvalPython", "MapInPandas", "MapInArrow",
          "FlatMapGroupsInPandas", "BatchEvalPython", "Generate", "TakeOrderedAndProject"]
 
 
